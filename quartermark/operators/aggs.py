@@ -269,8 +269,8 @@ def observed_codes(df: DataFrame) -> DataFrame:
 def codes_with_data(df: DataFrame) -> DataFrame:
     """E23. Polygons present at all, trimmed, blanks removed."""
     keys = df.select(C.tier_of().alias("tier"), "geospatial_codes").distinct()
-    codes = keys.select("tier", F.trim(F.explode(C.code_list("geospatial_codes"))).alias("code"))
-    return codes.filter(F.col("code") != "").distinct()
+    codes = F.transform(C.code_list("geospatial_codes"), lambda c: F.trim(c))
+    return keys.select("tier", F.explode(codes).alias("code")).filter(F.col("code") != "").distinct()
 
 
 def latest_by_polygon(df: DataFrame, keys: list[str]) -> DataFrame:

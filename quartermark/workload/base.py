@@ -249,12 +249,11 @@ VIEWS["obs"] = """
 
 VIEWS["cls_a"] = """
   SELECT geospatial, geospatial_codes, geospatial_type, time_bucket, dwelling_type, 'all' AS bedrooms,
-         dwelling_type || '-all' AS dwelling_class, st AS statistic,
-         CASE WHEN st = 'median' THEN sum(med * cnt) / sum(cnt) ELSE sum(cnt) END AS value,
+         dwelling_type || '-all' AS dwelling_class, st AS statistic, CASE WHEN st = 'median' THEN wm ELSE n END AS value,
          'rental' AS data_type, 'quarterly' AS data_frequency,
          'imputed:rollup_rental_dwelling_all' AS source_file, 'class_a' AS source_sheet, '' AS cell
-  FROM rent_cells CROSS JOIN (VALUES ('median'), ('count')) v(st)
-  WHERE dwelling_type <> 'all' AND bedrooms NOT IN ('all', '0') GROUP BY ALL"""
+  FROM (SELECT geospatial, geospatial_codes, geospatial_type, time_bucket, dwelling_type, sum(med * cnt) / sum(cnt) AS wm, sum(cnt) AS n
+        FROM rent_cells WHERE bedrooms NOT IN ('all', '0') GROUP BY ALL) CROSS JOIN (VALUES ('median'), ('count')) v(st)"""
 
 VIEWS["filled_a"] = "SELECT * FROM obs UNION ALL SELECT * FROM cls_a"
 

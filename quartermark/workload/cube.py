@@ -154,10 +154,10 @@ def _(spark, sf):
     return Y.sales_orphans(rows, Y.direct_yields(rows)).withColumn("year", F.col("year").cast("bigint"))
 
 
-@query("D5_gap_fill", "SELECT DISTINCT unique_id AS series_id FROM long l WHERE NOT EXISTS (SELECT 1 FROM fc WHERE fc.series_id = l.unique_id)")
+@query("D5_gap_fill", "SELECT DISTINCT unique_id AS series_id FROM long l WHERE NOT EXISTS (SELECT 1 FROM fc WHERE fc.series_id = l.unique_id AND fc.bedrooms <> 'all')")
 def _(spark, sf):
     ids = S.long_frame(B.filled_a(spark, sf)).select(F.col("unique_id").alias("series_id")).distinct()
-    return joins.gap_fill(ids, B.forecasts(spark, sf))
+    return joins.gap_fill(ids, B.forecasts(spark, sf).filter(F.col("bedrooms") != "all"))
 
 
 @query("D6_restrict", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -635,7 +635,7 @@ def _(spark, sf):
 
 @query("E18_lineage_examples", """
 SELECT pattern, row_number() OVER w - 1 AS pos, dwelling_type, bedrooms, pair, n_diff AS count FROM pattern_rows
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY pattern ORDER BY n_diff DESC, dwelling_type, bedrooms, pair)""")
+WINDOW w AS (PARTITION BY pattern ORDER BY n_diff DESC, dwelling_type, bedrooms, pair) QUALIFY row_number() OVER w <= 5""")
 def _(spark, sf):
     rows = quality.lineage_rollup(*_lineage(spark, sf)).select("pattern", F.posexplode("examples").alias("pos", "e"))
     return rows.select("pattern", F.col("pos").cast("bigint").alias("pos"), "e.dwelling_type", "e.bedrooms", "e.pair", "e.count")
