@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +45,16 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder and drop its lineage.
+    """Write `df` to a table in the checkpoint folder and return it read back, lineage dropped.
 
-    Used by iterative jobs: each round reads files, so a lost executor repeats one
-    round's tasks rather than the whole loop.
+    Used by iterative jobs: each round reads files, so a lost executor repeats one round's tasks
+    rather than the whole loop. The files give the next round true sizes, so joins with what has
+    become small are broadcast under the usual threshold, and even partitions.
     """
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salt(n: int, *cols: Column | str) -> Column:
