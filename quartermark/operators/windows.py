@@ -114,7 +114,7 @@ def topk_per_group(
 def gaps(
     df: DataFrame, keys: list[str], ts: str, tie: str, long_gap: float, max_gap: float
 ) -> DataFrame:
-    """F8. Seconds since the key's previous event, with a running count of long gaps.
+    """F8. Microseconds since the key's previous event, with a running count of long gaps.
 
     Gaps of zero or of `max_gap` and more are discarded (NULL) and not counted. The previous event
     of a block's first row is the last event of the key's preceding block.
@@ -127,7 +127,7 @@ def gaps(
     )
     joined = blocks.withColumn("__lag", F.lag(ts).over(inside)).join(before, [*keys, "__block"])
     prev = F.coalesce("__lag", "__prev_block")
-    micros = F.unix_micros(ts) - F.unix_micros(prev)
+    micros = F.timestamp_diff("MICROSECOND", prev, F.col(ts))
     kept = (micros > 0) & (micros < int(max_gap * 1e6))
     flagged = joined.withColumn("gap_us", F.when(kept, micros))
     is_long = F.coalesce((F.col("gap_us") > int(long_gap * 1e6)).cast("long"), F.lit(0))
