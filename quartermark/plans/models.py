@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermark.operators import aggs, joins, windows
+from quartermark.plans.series import seasonal_naive
 from quartermark.schemas import Z_80, Z_95
+from quartermark.session import cut
 
 FIT = (
     "unique_id string, last_ds date, h int, ar_p int, ar_d int, seasonal_p int, seasonal_period int, n_obs int, use_x boolean, "
@@ -36,6 +38,8 @@ def _least_squares(Y, X, XF, p: int, d: int, sp: int, season: int, start: int, h
     D, target = np.stack(cols, axis=2), Z[:, start:]
     beta = (np.linalg.pinv(D) @ target[..., None])[..., 0]
     rss = ((target - (D @ beta[..., None])[..., 0]) ** 2).sum(axis=1)
+    # A residual at rounding level is a series without variance: its log is -inf and it is left out.
+    rss[rss <= 1e-20 * (target**2).sum(axis=1)] = 0.0
     k = D.shape[2] + 1
     with np.errstate(divide="ignore", invalid="ignore"):
         fit = n * np.log(rss / n) + 2 * k
@@ -93,9 +97,13 @@ def fold(train: DataFrame, parts: int, exog: bool) -> DataFrame:
     )
 
 
-def future_paths(folded: DataFrame, index: DataFrame, h_max: int, months: int) -> DataFrame:
-    """Exogenous values after each distinct last date, in order; series share few last dates."""
-    ends = folded.select("last_ds").distinct().withColumn("series_id", F.col("last_ds").cast("string"))
+def future_paths(index: DataFrame, h_max: int, months: int) -> DataFrame:
+    """Exogenous values after each date of the index, in order.
+
+    A training series was joined to the index on its dates, so its last date is one of these; the
+    work depends on the length of the index only.
+    """
+    ends = index.select(F.col("time_bucket").alias("last_ds"), F.col("time_bucket").cast("string").alias("series_id"))
     rows = joins.future_exog(ends, index, h_max, months)
     path = F.array_sort(F.collect_list(F.struct("ds", "cpi")))
     return rows.groupBy("series_id").agg(path.alias("p")).select(F.to_date("series_id").alias("last_ds"), F.col("p.cpi").alias("path"))
@@ -117,19 +125,28 @@ def candidates(folded: DataFrame, season: int, exog: bool) -> DataFrame:
 
 
 def fit(
-    train: DataFrame, horizons: DataFrame, season: int, months: int, index: DataFrame | None = None, h_max: int = 40, parts: int | None = None
+    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None, h_max: int = 40,
+    parts: int | None = None, keep: Column | None = None,
 ) -> DataFrame:
     """J7, J10. The best candidate of each series with its fitted values ahead.
 
-    `train` (unique_id, ds, y[, cpi]); `horizons` (unique_id, h), rows with h = 0 are not fitted.
+    `train` (unique_id, ds, y[, cpi]). `horizons` is a table (unique_id, h) or a column over the
+    folded series (last_ds, n_obs), which saves a second pass; `keep` filters the folded series
+    likewise. Series with h = 0 are not fitted.
     """
     spark = train.sparkSession
     parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     exog = index is not None
-    folded = fold(train, parts, exog).join(horizons.filter(F.col("h") > 0).select("unique_id", "h"), "unique_id")
+    folded = fold(train, parts, exog)
+    if isinstance(horizons, DataFrame):
+        folded = folded.join(horizons.filter(F.col("h") > 0).select("unique_id", "h"), "unique_id")
+    else:
+        folded = folded.withColumn("h", horizons).filter(F.col("h") > 0)
+    if keep is not None:
+        folded = folded.filter(keep)
     folded = folded.withColumn("h", F.least("h", F.lit(h_max)).cast("int"))
     if exog:
-        paths = future_paths(folded, index, h_max, months)
+        paths = future_paths(index, h_max, months)
         folded = folded.join(paths, "last_ds").withColumn("xf", F.slice("path", F.lit(1), F.col("h"))).drop("path")
         folded = folded.filter(F.size("xf") == F.col("h"))
     else:
@@ -157,9 +174,12 @@ def forecast_rows(fits: DataFrame, months: int) -> DataFrame:
     )
 
 
-def fit_forecast(train: DataFrame, horizons: DataFrame, season: int, months: int, index: DataFrame | None = None, h_max: int = 40) -> DataFrame:
+def fit_forecast(
+    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None, h_max: int = 40,
+    keep: Column | None = None,
+) -> DataFrame:
     """J7."""
-    return forecast_rows(fit(train, horizons, season, months, index, h_max), months)
+    return forecast_rows(fit(train, horizons, season, months, index, h_max, keep=keep), months)
 
 
 def backtest(train: DataFrame, index: DataFrame | None, h: int = 4, folds: int = 1, season: int = 4, months: int = 3) -> DataFrame:
@@ -169,23 +189,25 @@ def backtest(train: DataFrame, index: DataFrame | None, h: int = 4, folds: int =
     the folds of a series are averaged.
     """
     n_folds = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    numbered = train.withColumn("fold", n_folds)
-    back = F.row_number().over(windows.W.partitionBy("unique_id", "fold").orderBy(F.col("ds").desc()))
-    trimmed = numbered.withColumn("back", back).filter(F.col("back") > F.col("fold") * h)
+    back = F.row_number().over(windows.W.partitionBy("unique_id").orderBy(F.col("ds").desc()))
+    trimmed = train.withColumn("back", back).withColumn("fold", n_folds).filter(F.col("back") > F.col("fold") * h)
     keyed = trimmed.withColumn("unique_id", F.concat_ws("#", "unique_id", F.col("fold").cast("string"))).drop("fold", "back")
-    marked = windows.holdout(keyed, h)
+    # Read by the fit and by the scoring.
+    marked = cut(windows.holdout(keyed, h))
     inside, outside = marked.filter(~F.col("is_holdout")), marked.filter(F.col("is_holdout"))
-    horizons = inside.select("unique_id").distinct().withColumn("h", F.lit(h))
-    fc = fit_forecast(inside.drop("is_holdout"), horizons, season, months, index, h)
-    scored = aggs.smape(fc, outside).join(aggs.series_extent(inside).select("unique_id", "n_obs"), "unique_id")
+    fits = fit(inside.drop("is_holdout"), F.lit(h), season, months, index, h)
+    ahead = fits.select("unique_id", "last_ds", "n_obs", F.posexplode("y_hat").alias("pos", "y_hat"))
+    fc = ahead.select("unique_id", F.add_months("last_ds", (F.col("pos") + 1) * months).alias("ds"), "y_hat", "n_obs")
+    scored = fc.join(outside.select("unique_id", "ds", "y"), ["unique_id", "ds"])
+    per_fold = scored.groupBy("unique_id").agg(
+        F.avg(aggs.symmetric_error(F.col("y"), F.col("y_hat"))).alias("smape"), F.max("n_obs").alias("n_obs")
+    )
     base = F.split_part(F.col("unique_id"), F.lit("#"), F.lit(1))
-    return scored.groupBy(base.alias("series_id")).agg(F.avg("smape").alias("smape"), F.max("n_obs").cast("int").alias("n_obs"))
+    return per_fold.groupBy(base.alias("series_id")).agg(F.avg("smape").alias("smape"), F.max("n_obs").cast("int").alias("n_obs"))
 
 
 def naive_backtest(train: DataFrame, h: int = 4, season: int = 4) -> DataFrame:
     """J12 baseline. sMAPE of the seasonal repeat over the last h rows."""
-    from quartermark.plans.series import seasonal_naive
-
     marked = windows.holdout(train.select("unique_id", "ds", "y"), h)
     inside = marked.filter(~F.col("is_holdout"))
     fc = seasonal_naive(inside.drop("is_holdout"), h, season)

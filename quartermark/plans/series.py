@@ -49,19 +49,27 @@ def carry_forward(index: DataFrame, h: int, months: int = 3) -> DataFrame:
     return index.select("region", "time_bucket", "index_value").unionByName(pad)
 
 
+def quarters_to(today: date, last: str = "last_ds") -> Column:
+    now = today.year * 4 + (today.month - 1) // 3
+    return F.greatest(F.lit(0), F.lit(now) - C.quarter_ordinal(last)).cast("int")
+
+
+def years_to(year: int, last: str = "last_ds") -> Column:
+    return F.greatest(F.lit(0), F.lit(year) - F.year(last)).cast("int")
+
+
+def _ends(df: DataFrame) -> DataFrame:
+    return df.groupBy("unique_id").agg(F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n_obs"))
+
+
 def nowcast_h(df: DataFrame, today: date) -> DataFrame:
     """J4. Quarters from each series' last row to today, never negative."""
-    now = today.year * 4 + (today.month - 1) // 3
-    return df.groupBy("unique_id").agg(F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n_obs")).withColumn(
-        "h", F.greatest(F.lit(0), F.lit(now) - C.quarter_ordinal("last_ds")).cast("int")
-    )
+    return _ends(df).withColumn("h", quarters_to(today))
 
 
 def annual_h(df: DataFrame, target_year: int) -> DataFrame:
     """J4. Years from each series' last row to the target year, never negative."""
-    return df.groupBy("unique_id").agg(F.max("ds").alias("last_ds"), F.count(F.lit(1)).alias("n_obs")).withColumn(
-        "h", F.greatest(F.lit(0), F.lit(target_year) - F.year("last_ds")).cast("int")
-    )
+    return _ends(df).withColumn("h", years_to(target_year))
 
 
 def forward_h(today: date, target: date = FORECAST_TARGET, h: int = 0) -> int:
@@ -209,25 +217,28 @@ def forecast_points(fc: DataFrame) -> DataFrame:
 def yield_series(points: DataFrame, forecasts: DataFrame) -> DataFrame:
     """J17. Yield per slice present in both markets: history pairs, then forecast pairs.
 
-    The last rental quarter of a year meets the year's sale. One point per row, with the history's
-    composite qualifier and the point's own.
+    The last rental quarter of a year meets the year's sales (D11). Both markets, observed and
+    forecast, go through one aggregation by (slice, year); the slice-wide flags are a window over
+    those yearly rows. One point per row, with the history's composite qualifier and its own.
     """
-    rental = points.filter(F.col("data_type") == "rental")
-    sales = points.filter(F.col("data_type") == "sales")
-    flag = lambda df, name: df.groupBy(*SLICE).agg(
-        F.when(F.bool_and("imputed"), "imputed").otherwise("observed").alias(name)
-    )
-    series = flag(rental, "rq").join(flag(sales, "sq"), SLICE).select(
-        *SLICE, C.composite_qualifier("rq", "sq").alias("series_qualifier")
+    rows = points.withColumn("ahead", F.lit(False)).unionByName(
+        forecasts.withColumns({"imputed": F.lit(None).cast("boolean"), "ahead": F.lit(True)})
     )
-    history = joins.align_annual(rental, sales, SLICE).join(series, SLICE).withColumn(
-        "qualifier", F.col("series_qualifier")
+    is_rent, is_sale = F.col("data_type") == "rental", F.col("data_type") == "sales"
+    yearly = rows.groupBy(*SLICE, "ahead", F.year("ts").alias("year")).agg(
+        F.max_by(F.when(is_rent, F.col("value")), F.when(is_rent, F.col("ts"))).alias("rental_weekly"),
+        F.collect_list(F.when(is_sale, F.struct("ts", "value"))).alias("sold"),
+        F.bool_and(F.when(is_rent, F.col("imputed"))).alias("ri"),
+        F.bool_and(F.when(is_sale, F.col("imputed"))).alias("si"),
     )
-    fr = forecasts.filter(F.col("data_type") == "rental")
-    fs = forecasts.filter(F.col("data_type") == "sales")
-    ahead = joins.align_annual(fr, fs, SLICE).join(series, SLICE).withColumn("qualifier", F.lit("forecast"))
-    return history.unionByName(ahead).select(
-        *SLICE, "ts", C.yield_ratio("rental_weekly", "sale_price").alias("value"), "qualifier", "series_qualifier"
+    w = W.partitionBy(*SLICE)
+    market = lambda c: F.when(F.bool_and(c).over(w), "imputed").when(F.count(c).over(w) > 0, "observed")
+    flagged = yearly.withColumns({"rq": market("ri"), "sq": market("si")})
+    both = flagged.filter(F.col("rq").isNotNull() & F.col("sq").isNotNull() & F.col("rental_weekly").isNotNull())
+    series = C.composite_qualifier("rq", "sq")
+    return both.select(*SLICE, "ahead", "rental_weekly", series.alias("series_qualifier"), F.explode("sold").alias("s")).select(
+        *SLICE, "s.ts", C.yield_ratio("rental_weekly", "s.value").alias("value"),
+        F.when(F.col("ahead"), "forecast").otherwise(F.col("series_qualifier")).alias("qualifier"), "series_qualifier",
     )
 
 

@@ -189,11 +189,19 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rental_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Filtering on the market before the ids are built lets the other market's branch drop out."""
+    return S.long_frame(filled_a(spark, sf).filter(F.col("data_type") == "rental"))
+
+
+def sales_long(spark: SparkSession, sf: str) -> DataFrame:
+    return S.long_frame(obs(spark, sf).filter(F.col("data_type") == "sales"))
+
+
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:
     """Baseline forecasts of every rental series and every sales series, in table form."""
-    long = S.long_frame(filled_a(spark, sf))
-    rental = S.seasonal_naive(long.filter(F.col("unique_id").startswith("rental|")), 4)
-    sales = S.seasonal_naive(long.filter(F.col("unique_id").startswith("sales|")), 2, season=1, months=12)
+    rental = S.seasonal_naive(rental_long(spark, sf), 4)
+    sales = S.seasonal_naive(sales_long(spark, sf), 2, season=1, months=12)
     return S.annotate(rental, TODAY, date(2001, 9, 1), "naive_q", "nowcast_sarima_cpi").unionByName(
         S.annotate(sales, TODAY, None, "naive_annual", "nowcast_sarima_annual")
     )
@@ -390,7 +398,7 @@ VIEWS["diffs"] = """
                 WHEN 3 THEN fc AND NOT obs WHEN 4 THEN imp AND NOT fc ELSE fc AND NOT imp END"""
 
 VIEWS["pattern_rows"] = """
-  SELECT d.*, CASE WHEN pair = 'imp_minus_obs' THEN CASE WHEN n_obs = 0 THEN 'P1_VENDOR_GAP' WHEN n_diff <= 2 THEN 'P5_MULTI_SAL_GROUP_EDGE_CASE' ELSE 'P4_CROSS_TIER_IMPUTE_EXPANSION' END
+  SELECT d.*, n_obs, n_imp, n_fc, CASE WHEN pair = 'imp_minus_obs' THEN CASE WHEN n_obs = 0 THEN 'P1_VENDOR_GAP' WHEN n_diff <= 2 THEN 'P5_MULTI_SAL_GROUP_EDGE_CASE' ELSE 'P4_CROSS_TIER_IMPUTE_EXPANSION' END
     WHEN pair = 'obs_minus_imp' THEN CASE WHEN n_diff <= 2 THEN 'P5_MULTI_SAL_GROUP_EDGE_CASE' ELSE 'P2_OBSERVED_NOT_REIMPUTED' END
     WHEN pair LIKE '%minus_fc' THEN CASE WHEN n_diff <= 2 THEN 'P5_MULTI_SAL_GROUP_EDGE_CASE' ELSE 'P3_BELOW_SARIMAX_MIN_OBS' END
     ELSE CASE WHEN n_obs = 0 OR n_imp = 0 THEN 'P1_VENDOR_GAP' WHEN n_diff <= 2 THEN 'P5_MULTI_SAL_GROUP_EDGE_CASE' ELSE 'P4_CROSS_TIER_IMPUTE_EXPANSION' END END AS pattern

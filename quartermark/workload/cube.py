@@ -205,7 +205,7 @@ SELECT l.unique_id AS series_id, c.time_bucket AS ds, c.index_value AS cpi FROM
 JOIN cpi c ON c.region = '1-URGENT' AND c.time_bucket > l.last_ds QUALIFY row_number() OVER (PARTITION BY l.unique_id ORDER BY c.time_bucket) <= 4
 """.replace("FROM long", "FROM long WHERE unique_id LIKE 'rental|%'"))
 def _(spark, sf):
-    long = S.long_frame(B.filled_a(spark, sf)).filter(F.col("unique_id").startswith("rental|"))
+    long = B.rental_long(spark, sf)
     last = long.groupBy(F.col("unique_id").alias("series_id")).agg(F.add_months(F.max("ds"), -24).alias("last_ds"))
     return joins.future_exog(last, filters.index_series(B.cpi(spark, sf), B.INDEX_REGION), 4)
 
@@ -478,11 +478,9 @@ def _(spark, sf):
 SELECT unique_id, ds, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS horizon_q FROM naive
 QUALIFY horizon_q <= CASE WHEN unique_id LIKE '%house%' THEN 2 ELSE 3 END""".replace("FROM naive", "FROM naive n").replace("QUALIFY horizon_q", "QUALIFY row_number() OVER (PARTITION BY unique_id ORDER BY ds)"))
 def _(spark, sf):
-    long = S.long_frame(B.filled_a(spark, sf))
-    fc = S.seasonal_naive(long.filter(F.col("unique_id").startswith("rental|")), 4).unionByName(
-        S.seasonal_naive(long.filter(F.col("unique_id").startswith("sales|")), 2, 1, 12)
-    )
-    own = long.select("unique_id").distinct().withColumn("h", F.when(F.col("unique_id").contains("house"), 2).otherwise(3))
+    rent, sold = B.rental_long(spark, sf), B.sales_long(spark, sf)
+    fc = S.seasonal_naive(rent, 4).unionByName(S.seasonal_naive(sold, 2, 1, 12))
+    own = rent.unionByName(sold).select("unique_id").distinct().withColumn("h", F.when(F.col("unique_id").contains("house"), 2).otherwise(3))
     out = windows.horizon_index(fc.select("unique_id", "ds"), own)
     return out.withColumn("horizon_q", F.col("horizon_q").cast("bigint"))
 

@@ -27,7 +27,7 @@ def _long(spark, sf):
 
 
 def _rental(spark, sf):
-    return _long(spark, sf).filter(F.col("unique_id").startswith("rental|"))
+    return B.rental_long(spark, sf)
 
 
 def _index(spark, sf):
@@ -58,7 +58,7 @@ def _(spark, sf):
 
 @query("J4_annual_horizon", "SELECT unique_id, max(ds) AS last_ds, count(*) AS n_obs, CAST(greatest(0, 2002 - year(max(ds))) AS INTEGER) AS h FROM long WHERE unique_id LIKE 'sales|%' GROUP BY 1")
 def _(spark, sf):
-    return S.annual_h(_long(spark, sf).filter(F.col("unique_id").startswith("sales|")), 2002)
+    return S.annual_h(B.sales_long(spark, sf), 2002)
 
 
 @query("J5_forward_horizon", """
@@ -78,25 +78,28 @@ def _(spark, sf):
 
 
 def _fit_inputs(spark, sf):
-    rows = _rental(spark, sf)
-    horizons = S.nowcast_h(rows, B.TODAY).withColumn("h", F.col("h") + 2)
     index = S.carry_forward(_index(spark, sf), 12)
-    return joins.with_exog(S.eligible(rows, horizons, S.STALE_QUARTERS), index), horizons, index
+    return joins.with_exog(_rental(spark, sf), index), index
+
+
+def _horizon():
+    """Quarters to today plus two ahead, and the stale-series rule, over a folded series."""
+    return S.quarters_to(B.TODAY) + 2, S.quarters_to(B.TODAY) <= S.STALE_QUARTERS
 
 
 @query("J7_fit_forecast")
 def _(spark, sf):
-    train, horizons, index = _fit_inputs(spark, sf)
-    fc = S.valid_bands(M.fit_forecast(train, horizons, 4, 3, index))
+    train, index = _fit_inputs(spark, sf)
+    h, fresh = _horizon()
+    fc = S.valid_bands(M.fit_forecast(train, h, 4, 3, index, keep=fresh))
     return S.annotate(fc, B.TODAY, date(2001, 9, 1), "ar_cpi_q", "nowcast_sarima_cpi")
 
 
 @query("J7_fit_forecast_annual")
 def _(spark, sf):
-    rows = _long(spark, sf).filter(F.col("unique_id").startswith("sales|"))
-    horizons = S.annual_h(rows, 2003)
-    train = S.eligible(rows, horizons, S.STALE_YEARS, S.MIN_ANNUAL)
-    fc = S.valid_bands(M.fit_forecast(train, horizons, 1, 12))
+    h = S.years_to(2003)
+    keep = (h <= S.STALE_YEARS) & (F.col("n_obs") >= S.MIN_ANNUAL)
+    fc = S.valid_bands(M.fit_forecast(B.sales_long(spark, sf), h, 1, 12, keep=keep))
     return S.annotate(fc, B.TODAY, None, "ar_annual", "nowcast_sarima_annual")
 
 
@@ -120,8 +123,9 @@ def _(spark, sf):
 
 
 def _models(spark, sf):
-    train, horizons, index = _fit_inputs(spark, sf)
-    return S.model_table(M.fit(train, horizons, 4, 3, index), aggs.source_class(B.filled_a(spark, sf)), B.TODAY, "ar_cpi_q", "cpi")
+    train, index = _fit_inputs(spark, sf)
+    h, fresh = _horizon()
+    return S.model_table(M.fit(train, h, 4, 3, index, keep=fresh), aggs.source_class(B.filled_a(spark, sf)), B.TODAY, "ar_cpi_q", "cpi")
 
 
 @query("J10_model_table")
@@ -161,13 +165,13 @@ def _(spark, sf):
 
 @query("J12_backtest")
 def _(spark, sf):
-    train, _, index = _fit_inputs(spark, sf)
+    train, index = _fit_inputs(spark, sf)
     return M.backtest(train, index)
 
 
 @query("J12_backtest_rolling")
 def _(spark, sf):
-    train, _, index = _fit_inputs(spark, sf)
+    train, index = _fit_inputs(spark, sf)
     return M.backtest(train, index, folds=3)
 
 
