@@ -483,6 +483,10 @@ def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str, max_rounds:
             F.when(flip, F.col("nu")).otherwise(F.col("nv")).alias("nd"), "d", "w",
         )
         cur = cut(nxt.groupBy("src", "dst").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d"), F.max("ns").alias("ns"), F.max("nd").alias("nd")))
+    else:
+        raise RuntimeError(f"regions still merging after {max_rounds} rounds; raise max_rounds")
+    if not done:
+        raise ValueError("no two regions touch")
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)

@@ -17,6 +17,8 @@ def local_session(app: str = "quartermark", cpus: str = "*", **conf: str) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Medians and collected arrays keep hashing past 128 groups per task instead of sorting.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
