@@ -209,7 +209,7 @@ def mapping_summary(mapping: DataFrame, orphan_codes: DataFrame) -> DataFrame:
         multi("sales").alias("sales_groups_multi"),
         F.count_if(r.isNull() & s.isNull()).alias("no_data"),
     )
-    return main.crossJoin(orphan_codes.agg(F.count(F.lit(1)).alias("orphan_codes")))
+    return main.withColumn("orphan_codes", orphan_codes.agg(F.count(F.lit(1))).scalar())
 
 
 def region_totals(regions: DataFrame, observed: DataFrame) -> DataFrame:

@@ -64,8 +64,9 @@ def cross_values(df: DataFrame, column: str, values: list[object]) -> DataFrame:
 
 
 def cross_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """D7. Attach a one-row table; `limit(1)` proves the size, so the broadcast is bounded."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """D7. Attach the columns of a one-row table, as a scalar subquery: evaluated once, no join."""
+    row = one_row.limit(1).select(F.struct("*")).scalar()
+    return df.withColumn("__row", row).filter(F.col("__row").isNotNull()).select(*df.columns, "__row.*")
 
 
 def align_annual(quarterly: DataFrame, annual: DataFrame, keys: list[str]) -> DataFrame:

@@ -112,19 +112,23 @@ def _side(df: DataFrame, s: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{s}_{c}") for c in SIDE])
 
 
-def _bounded(pairs: DataFrame, r: float) -> DataFrame:
-    """Keep block pairs that may hold the cheapest edge, no longer than r, of either component."""
+def _near(pairs: DataFrame, r: float) -> DataFrame:
+    """Block pairs whose boxes come within r, with the least and greatest distance squared."""
     gap = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"a_{lo}") - F.col(f"b_{hi}"), F.col(f"b_{lo}") - F.col(f"a_{hi}"))
     far = lambda lo, hi: F.greatest(F.col(f"a_{hi}") - F.col(f"b_{lo}"), F.col(f"b_{hi}") - F.col(f"a_{lo}"))
     sq = lambda c: c * c
     lb = sq(gap("x0", "x1")) + sq(gap("y0", "y1"))
     ub = sq(far("x0", "x1")) + sq(far("y0", "y1"))
-    near = pairs.withColumns({"lb": lb, "ub": ub}).filter(F.col("lb") <= r * r * (1 + 1e-9))
+    return pairs.withColumns({"lb": lb, "ub": ub}).filter(F.col("lb") <= r * r * (1 + 1e-9))
+
+
+def _bounded(near: DataFrame) -> DataFrame:
+    """Keep block pairs that may hold the cheapest edge of either component."""
     best = near.select(F.explode(F.array("a_comp", "b_comp")).alias("comp"), "ub").groupBy("comp").agg(F.min("ub").alias("u"))
-    a, b = best.select(F.col("comp").alias("a_comp"), F.col("u").alias("ua")), best.select(F.col("comp").alias("b_comp"), F.col("u").alias("ub_b"))
-    kept = near.join(a, "a_comp").join(b, "b_comp")
+    a, b = best.select(F.col("comp").alias("a_comp"), F.col("u").alias("ua")), best.select(F.col("comp").alias("b_comp"), F.col("u").alias("u2"))
     slack = 1 + 1e-9
-    return kept.filter((F.col("lb") <= F.col("ua") * slack) | (F.col("lb") <= F.col("ub_b") * slack)).drop("lb", "ub", "ua", "ub_b")
+    kept = near.join(a, "a_comp").join(b, "b_comp").filter((F.col("lb") <= F.col("ua") * slack) | (F.col("lb") <= F.col("u2") * slack))
+    return kept.drop("ua", "u2")
 
 
 def _cheapest(pts: DataFrame, r: float, pair_work: int) -> DataFrame:
@@ -134,14 +138,16 @@ def _cheapest(pts: DataFrame, r: float, pair_work: int) -> DataFrame:
     would compare more than `pair_work` points are split in four and bounded again, until what
     remains is small; nothing is dropped that could win.
     """
-    blocks = cut(_blocks(pts, r, 0))
+    blocks = _blocks(pts, r, 0)
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     a = _side(blocks, "a").withColumn("o", step)
     a = a.withColumn("b_cx", F.col("a_cx") + F.col("o.i")).withColumn("b_cy", F.col("a_cy") + F.col("o.j")).drop("o")
     pairs = a.join(_side(blocks, "b"), ["b_cx", "b_cy"]).filter(F.col("a_comp") < F.col("b_comp"))
-    pairs = cut(_bounded(pairs, r))
+    pairs = cut(_near(pairs, r))
     lv, done = 0, []
     work = F.col("a_n") * F.col("b_n")
+    if not pairs.filter(work > pair_work).isEmpty():
+        pairs = cut(_bounded(pairs))
     while True:
         done.append((lv, pairs.filter(work <= pair_work)))
         heavy = pairs.filter(work > pair_work)
@@ -154,7 +160,7 @@ def _cheapest(pts: DataFrame, r: float, pair_work: int) -> DataFrame:
             parts = _side(sub, s).withColumns({f"{s}_px": F.floor(F.col(f"{s}_cx") / 2), f"{s}_py": F.floor(F.col(f"{s}_cy") / 2)})
             heavy = heavy.select(*[c for c in heavy.columns if not c.startswith(f"{s}_")], F.col(keys[0]).alias(f"{s}_px"), F.col(keys[1]).alias(f"{s}_py"), keys[2])
             heavy = heavy.join(parts, [f"{s}_px", f"{s}_py", f"{s}_comp"]).drop(f"{s}_px", f"{s}_py")
-        pairs = cut(_bounded(heavy, r))
+        pairs = cut(_bounded(_near(heavy, r)))
     edges = None
     for level, light in done:
         if level > 0 and light.isEmpty():
@@ -174,7 +180,8 @@ def _cheapest(pts: DataFrame, r: float, pair_work: int) -> DataFrame:
     )
     best = F.min(F.struct("d2", "src", "dst", "w.other"))
     return (
-        edges.filter(F.col("d2") <= r * r)
+        # A hair below r: cell numbers are rounded quotients.
+        edges.filter(F.col("d2") <= r * r * (1 - 1e-9))
         .select("d2", "src", "dst", F.explode(ways).alias("w"))
         .groupBy("w.c")
         .agg(best.alias("b"))
