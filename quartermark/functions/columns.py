@@ -14,6 +14,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate `value` once and use it by name in `fn`. An outer expression that appears inside a
+    lambda is otherwise evaluated again for every element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 # --- delimited code lists -------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quartermark.functions.columns import col
+from quartermark.functions.columns import col, let
 
 EARTH = 6378137.0
 
@@ -104,19 +104,35 @@ def contains(edge_list: Column | str, x: Column, y: Column) -> Column:
 
 
 def interior_point(geom: Column | str) -> Column:
-    """L3. Middle of the widest inside span of the scanline at half height."""
-    box = bbox(geom)
-    y = (box["miny"] + box["maxy"]) / 2
-    hit = F.filter(edges(geom), lambda e: (e["y1"] > y) != (e["y2"] > y))
-    xs = F.array_sort(F.transform(hit, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    spans = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1),
-        lambda i: F.struct(
-            (F.get(xs, i * 2 + 1) - F.get(xs, i * 2)).alias("w"), ((F.get(xs, i * 2) + F.get(xs, i * 2 + 1)) / 2).alias("x")
-        ),
-    )
-    best = F.when(F.size(xs) >= 2, F.array_max(spans))
-    return F.struct(F.coalesce(best["x"], F.get(vertices(geom), 0)["x"]).alias("x"), y.alias("y"))
+    """L3. Middle of the widest inside span of the scanline at half height of the tallest part."""
+
+    def widest(xs: Column) -> Column:
+        start = F.struct(
+            F.lit(-1).alias("n"), F.lit(0.0).alias("prev"), F.lit(-1.0).alias("w"), F.lit(None).cast("double").alias("x")
+        )
+
+        def step(acc, x):
+            # Crossings pair up in order: every second one closes an inside span.
+            closes = (acc["n"] % 2 == 0) & (x - acc["prev"] > acc["w"])
+            return F.struct(
+                (acc["n"] + 1).alias("n"),
+                x.alias("prev"),
+                F.when(closes, x - acc["prev"]).otherwise(acc["w"]).alias("w"),
+                F.when(closes, (x + acc["prev"]) / 2).otherwise(acc["x"]).alias("x"),
+            )
+
+        return F.aggregate(xs, start, step, lambda acc: acc["x"])
+
+    def at(y: Column) -> Column:
+        hit = F.filter(edges(geom), lambda e: (e["y1"] > y) != (e["y2"] > y))
+        xs = F.array_sort(F.transform(hit, lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
+        return F.struct(F.coalesce(widest(xs), F.get(vertices(geom), 0)["x"]).alias("x"), y.alias("y"))
+
+    def height(ys: Column) -> Column:
+        return F.struct((F.array_max(ys) - F.array_min(ys)).alias("h"), ((F.array_max(ys) + F.array_min(ys)) / 2).alias("mid"))
+
+    parts = F.transform(col(geom), lambda part: let(F.transform(F.flatten(part), lambda v: v["y"]), height))
+    return let(F.array_max(parts)["mid"], at)
 
 
 def edge_meets_box(e: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
@@ -171,16 +187,25 @@ def to_mga(v: Column, zone: int = 55) -> Column:
     """Longitude and latitude to metres of a Map Grid of Australia zone (transverse Mercator)."""
     e, radius, alpha = _kruger()
     k0, east0, north0 = 0.9996, 500000.0, 10000000.0
-    lam = F.radians(v["x"] - (zone * 6 - 183))
-    sin = F.sin(F.radians(v["y"]))
-    t = F.sinh(F.atanh(sin) - F.atanh(sin * e) * e)
-    xi0 = F.atan2(t, F.cos(lam))
-    eta0 = F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(alpha, 1):
-        xi = xi + F.sin(xi0 * (2 * j)) * F.cosh(eta0 * (2 * j)) * a
-        eta = eta + F.cos(xi0 * (2 * j)) * F.sinh(eta0 * (2 * j)) * a
-    return F.struct((eta * (k0 * radius) + east0).alias("x"), (xi * (k0 * radius) + north0).alias("y"))
+
+    def base(a):
+        return F.struct(
+            F.atan2(a["t"], F.cos(a["lam"])).alias("xi"),
+            F.atanh(F.sin(a["lam"]) / F.sqrt(a["t"] * a["t"] + 1)).alias("eta"),
+        )
+
+    def series(p):
+        xi, eta = p["xi"], p["eta"]
+        for j, a in enumerate(alpha, 1):
+            xi = xi + F.sin(p["xi"] * (2 * j)) * F.cosh(p["eta"] * (2 * j)) * a
+            eta = eta + F.cos(p["xi"] * (2 * j)) * F.sinh(p["eta"] * (2 * j)) * a
+        return F.struct((eta * (k0 * radius) + east0).alias("x"), (xi * (k0 * radius) + north0).alias("y"))
+
+    start = let(
+        F.struct((F.radians(v["x"] - (zone * 6 - 183))).alias("lam"), F.sin(F.radians(v["y"])).alias("s")),
+        lambda a: F.struct(F.sinh(F.atanh(a["s"]) - F.atanh(a["s"] * e) * e).alias("t"), a["lam"].alias("lam")),
+    )
+    return let(let(start, base), series)
 
 
 PROJECTIONS = {(4326, 3857): to_mercator, (3857, 4326): from_mercator, (4326, 7855): to_mga}

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quartermark.functions.columns import let
 from quartermark.operators import aggs, joins, windows
 from quartermark.plans.series import seasonal_naive
 from quartermark.schemas import Z_80, Z_95
@@ -83,8 +84,9 @@ def _fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _variance(a: Column) -> Column:
-    mean = F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    return F.aggregate(F.transform(a, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    zero, add = F.lit(0.0), lambda s, v: s + v
+    spread = lambda mean: F.aggregate(F.transform(a, lambda v: (v - mean) * (v - mean)), zero, add) / F.size(a)
+    return let(F.aggregate(a, zero, add) / F.size(a), spread)
 
 
 def fold(train: DataFrame, parts: int, exog: bool) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermark.functions import geometry as G
-from quartermark.functions.columns import col
+from quartermark.functions.columns import col, let
 
 
 def reproject(df: DataFrame, source: int, target: int, geom: str = "geom") -> DataFrame:
@@ -173,14 +173,17 @@ def thin_vertices(polys: DataFrame, tolerance: float, dp: int = 6, key: str = "c
 
     Vertices on more than one polygon stay, so shared borders stay aligned; so do ring ends.
     """
+    # Each vertex takes its two neighbours along before the ring is exploded, so rows stay small.
+    beside = lambda ring: F.transform(
+        ring, lambda p, i: F.struct(F.get(ring, i - 1).alias("prev"), p.alias("p"), F.get(ring, i + 1).alias("next"))
+    )
     v = polys.select(key, F.posexplode(geom).alias("part", "rings")).select(
         key, "part", F.posexplode("rings").alias("ring", "pts")
-    ).select(key, "part", "ring", F.size("pts").alias("n"), F.posexplode("pts").alias("pos", "p"), "pts")
-    prev, nxt = F.get("pts", F.col("pos") - 1), F.get("pts", F.col("pos") + 1)
-    dx, dy = nxt["x"] - prev["x"], nxt["y"] - prev["y"]
+    ).select(key, "part", "ring", F.posexplode(beside(F.col("pts"))).alias("pos", "v")).select(key, "part", "ring", "pos", "v.*")
+    dx, dy = F.col("next.x") - F.col("prev.x"), F.col("next.y") - F.col("prev.y")
     length = F.sqrt(dx * dx + dy * dy)
-    off = F.abs(dx * (F.col("p.y") - prev["y"]) - dy * (F.col("p.x") - prev["x"])) / F.nullif(length, F.lit(0.0))
-    end = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1)
+    off = F.abs(dx * (F.col("p.y") - F.col("prev.y")) - dy * (F.col("p.x") - F.col("prev.x"))) / F.nullif(length, F.lit(0.0))
+    end = F.col("prev").isNull() | F.col("next").isNull()
     v = v.select(key, "part", "ring", "pos", "p", end.alias("end"), off.alias("off"), F.round("p.x", 9).alias("vx"), F.round("p.y", 9).alias("vy"))
     owners = v.groupBy("vx", "vy").agg((F.min(key) != F.max(key)).alias("shared"))
     kept = v.join(owners, ["vx", "vy"]).filter(F.col("end") | F.col("shared") | F.col("off").isNull() | (F.col("off") >= tolerance))
@@ -194,8 +197,7 @@ def thin_vertices(polys: DataFrame, tolerance: float, dp: int = 6, key: str = "c
 def label_anchor(df: DataFrame, text: Column, geom: str = "geom") -> DataFrame:
     """L11. Easternmost vertex of the exterior ring, the first one on ties, and the label."""
     ring = F.get(F.get(col(geom), 0), 0)
-    east = F.array_max(F.transform(ring, lambda v: v["x"]))
-    at = F.get(F.filter(ring, lambda v: v["x"] == east), 0)
+    at = F.array_max(F.transform(ring, lambda v, i: F.struct(v["x"].alias("x"), (-i).alias("first"), v["y"].alias("y"))))
     return df.withColumn("__a", at).withColumn("text", text).select(
         "*", F.col("__a.x").alias("anchor_x"), F.col("__a.y").alias("anchor_y")
     ).drop("__a").filter(F.col("anchor_x").isNotNull())
@@ -243,15 +245,16 @@ def tile_cover(features: DataFrame, min_zoom: int, max_zoom: int, geom: str = "g
     n = F.col("__n")
     w, e = tile_west(F.col("tx"), n), tile_west(F.col("tx") + 1, n)
     north, south = tile_north(F.col("ty"), n), tile_north(F.col("ty") + 1, n)
-    rows = rows.withColumns({"__w": w, "__x": e, "__t": north, "__s": south})
-    box = [F.col("__w"), F.col("__s"), F.col("__x"), F.col("__t")]
-    meets = F.exists("__e", lambda s: G.edge_meets_box(s, *box))
-    if closed:
-        meets = meets | G.contains("__e", (F.col("__w") + F.col("__x")) / 2, (F.col("__s") + F.col("__t")) / 2)
-    point = (F.size("__e") == 0) & F.exists(
-        G.vertices(geom), lambda v: v["x"].between(F.col("__w"), F.col("__x")) & v["y"].between(F.col("__s"), F.col("__t"))
-    )
-    return rows.filter(meets | point).drop("__e", "__n", "__w", "__x", "__t", "__s")
+    box = F.struct(w.alias("w"), south.alias("s"), e.alias("e"), north.alias("n"))
+
+    def meets(b: Column) -> Column:
+        hit = F.exists("__e", lambda s: G.edge_meets_box(s, b["w"], b["s"], b["e"], b["n"]))
+        if closed:
+            hit = hit | G.contains("__e", (b["w"] + b["e"]) / 2, (b["s"] + b["n"]) / 2)
+        inside = lambda v: v["x"].between(b["w"], b["e"]) & v["y"].between(b["s"], b["n"])
+        return hit | ((F.size("__e") == 0) & F.exists(G.vertices(geom), inside))
+
+    return rows.filter(let(box, meets)).drop("__e", "__n")
 
 
 # Zoom ranges and kept properties per layer.

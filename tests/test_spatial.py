@@ -36,6 +36,12 @@ def test_holes_and_parts_count(spark):
     assert inside(p.x, p.y)
 
 
+def test_interior_point_of_parts_with_a_gap_at_half_height(spark):
+    df = spark.createDataFrame([("a", "a", [square(0.0, 0.0)[0], square(0.0, 9.0)[0]])], SHAPE)
+    p = P.interior_points(df).first()
+    assert df.select(G.contains(G.edges("geom"), F.lit(p.x), F.lit(p.y))).first()[0]
+
+
 def test_mga_projection_known_mark(spark):
     # Published coordinates of the Flinders Peak survey mark, zone 55.
     lon, lat = 144 + 25 / 60 + 29.52440 / 3600, -(37 + 57 / 60 + 3.72030 / 3600)
