@@ -52,6 +52,26 @@ VIEWS["tree"] = """
   LEFT JOIN (SELECT unnest([left_id, right_id]) AS node_id, 'C' || CAST(merge_idx AS VARCHAR) AS parent_id FROM links) p USING (node_id)"""
 
 
+VIEWS["inner_nodes"] = """
+  SELECT t.node_id, t.parent_id, t.size, CASE WHEN t.distance > 0 THEN 1 / t.distance ELSE 0 END AS lam, a.node_id AS big, a.size AS big_size,
+         b.node_id AS small, coalesce(b.size, 0) AS small_size, coalesce(l.n, 0) AS n_leaf
+  FROM tree t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY size DESC, node_id) AS o FROM tree WHERE NOT is_leaf) a ON a.parent_id = t.node_id AND a.o = 1
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY size DESC, node_id) AS o FROM tree WHERE NOT is_leaf) b ON b.parent_id = t.node_id AND b.o = 2
+  LEFT JOIN (SELECT parent_id, count(*) AS n FROM tree WHERE is_leaf GROUP BY 1) l ON l.parent_id = t.node_id WHERE NOT t.is_leaf"""
+# One row per cluster and node it passes through, from the root down.
+WALK = """
+WITH RECURSIVE walk AS (
+  SELECT node_id AS start, CAST(NULL AS VARCHAR) AS above, CAST(0 AS DOUBLE) AS birth, node_id AS cursor FROM inner_nodes WHERE parent_id IS NULL
+  UNION ALL
+  SELECT CASE WHEN small_size >= 4 THEN c.node ELSE start END, CASE WHEN small_size >= 4 THEN start ELSE above END, CASE WHEN small_size >= 4 THEN lam ELSE birth END, c.node
+  FROM walk JOIN inner_nodes ON node_id = cursor, LATERAL (SELECT unnest(CASE WHEN small_size >= 4 THEN [big, small] ELSE [big] END) AS node) c WHERE big IS NOT NULL),
+cond AS (
+  SELECT start AS node_id, above AS parent_id, first.size AS size_at_birth, birth AS lambda_birth,
+    CASE WHEN last.small_size >= 4 OR last.n_leaf > 0 THEN last.lam ELSE birth END AS lambda_death
+  FROM walk JOIN inner_nodes last ON last.node_id = cursor JOIN inner_nodes first ON first.node_id = start WHERE last.big IS NULL OR last.small_size >= 4)
+"""
+
+
 def _tree(spark, sf):
     return K.linkage_to_tree(K.merges(line_tree(spark, sf)), line_points(spark, sf))
 
@@ -102,14 +122,16 @@ def _(spark, sf):
     return K.subtree_sizes(_tree(spark, sf))
 
 
-@query("K6_condense")
+@query("K6_condense", WALK + "SELECT * FROM cond")
 def _(spark, sf):
     return K.condense(_tree(spark, sf), 4)
 
 
-@query("K7_stability")
+@query("K7_stability", WALK + """
+SELECT start AS node_id, round(sum((size - CASE WHEN small_size >= 4 OR big IS NULL THEN 0 ELSE big_size END) * (lam - birth)), 4) AS stability
+FROM walk JOIN inner_nodes ON node_id = cursor GROUP BY 1""")
 def _(spark, sf):
-    return K.stability(_tree(spark, sf), 4)
+    return K.stability(_tree(spark, sf), 4).withColumn("stability", r6("stability", 4))
 
 
 def _adjacent(spark, sf):
@@ -154,7 +176,9 @@ def _(spark, sf):
     return K.tree_edges(_tree(spark, sf))
 
 
-@query("K12_condensed_edges")
+@query("K12_condensed_edges", WALK + """
+SELECT parent_id || '→' || node_id AS id, parent_id AS source, node_id AS target, greatest(0, lambda_death - lambda_birth) AS delta_lambda,
+  CAST(least(50, greatest(1, floor(greatest(0, lambda_death - lambda_birth) * 1000 + 0.5))) AS DOUBLE) AS min_len FROM cond WHERE parent_id IS NOT NULL""")
 def _(spark, sf):
     return K.condensed_edges(K.condense(_tree(spark, sf), 4), 1000, 50)
 
