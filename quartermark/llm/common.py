@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quartermark.session import scratch_root
+from quartermark.session import salt, scratch_root
 
 #: The white space that separates words, as bytes.split() and this pattern see it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,3 +66,17 @@ def file_system(uri: str) -> tuple[Any, str]:
 def by_code_point(column: str):
     """Sort key under which strings order by code point and null comes last."""
     return [F.col(column).isNull(), F.col(column)]
+
+
+#: Parts that rows of one key are split into when they look up a small table of keys.
+SALTS = 16
+
+
+def salted_left(rows: DataFrame, keyed: DataFrame, key: str, spread: str) -> DataFrame:
+    """`rows` left-joined to `keyed` (one row per key) on `key`; a key's rows are dealt by `spread`.
+
+    `keyed` is repeated once per salt, so give it only the keys that occur more than once.
+    """
+    left = rows.withColumn("__salt", salt(SALTS, spread))
+    right = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "__salt"], "left").drop("__salt")

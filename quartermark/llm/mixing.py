@@ -72,7 +72,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int
     The document that crosses the budget is in if that ends nearer to it.
     """
     goal = cut(targets(sized, weights, max_epochs))
-    running = running_sums(sized, ["source"], ["key", "doc_id", "size"], {"reach": F.col("size")})
+    keyed = sized.withColumns({"__null": F.col("source").isNull(), "__source": F.coalesce("source", F.lit(""))})
+    running = running_sums(keyed, ["__null", "__source"], ["key", "doc_id", "size"], {"reach": F.col("size")})
     left = running.join(goal.select(F.col("source").alias("__s"), "rest"), F.col("source").eqNullSafe(F.col("__s")))
     before = F.col("reach") - F.col("size")
     inside = (F.col("reach") <= F.col("rest")) | ((before < F.col("rest")) & (F.col("reach") - F.col("rest") < F.col("rest") - before))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import mixing, quality_rules, trie_dedup
+from quartermark.llm import mixing, quality_rules, simhash, trie_dedup
 from quartermark.llm.common import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.owners(documents(spark, sf_dir), largest=True)
 
@@ -21,6 +25,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_trie_dedup": op3_trie_dedup,
     "op5_mixing": op5_mixing,
     "op10_quality_rules": op10_quality_rules,

@@ -24,13 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_bytes
-from quartermark.session import salt
+from quartermark.llm.common import as_bytes, salted_left
 
 #: Bytes of labels and rows a trie holds before it writes a subtree to disk.
 TRIE_BYTES = 128 << 20
-#: Parts a group of copies is split into when rows look their owner up.
-SALTS = 16
 
 
 class Node:
@@ -66,11 +63,11 @@ def shared(a: bytes, b: bytes, at: int) -> int:
 class Trie:
     """Radix trie over byte strings; a text's last node holds its owner's rank, row and the row count."""
 
-    def __init__(self, budget: int = TRIE_BYTES):
-        self.root, self.budget, self.held, self.ends = Node(b""), budget, 0, 0
+    def __init__(self, budget: int = TRIE_BYTES, largest: bool = True):
+        self.root, self.budget, self.largest, self.held, self.ends = Node(b""), budget, largest, 0, 0
 
     def insert(self, key: bytes, rank: Any, count: int, row: Any = None, size: int = 0) -> None:
-        """`rank` orders rows of equal text, the greatest owns it; `size` is the row's own bytes."""
+        """`rank` orders rows of equal text and says who owns it; `size` is the row's own bytes."""
         node, at = self.root, 0
         while True:
             if node.file is not None:
@@ -94,7 +91,7 @@ class Trie:
             node = child
         if not node.count:
             self.ends += 1
-        if node.best is None or rank > node.best:
+        if node.best is None or _wins(rank, node.best, self.largest):
             node.best, node.row = rank, row
             self.held += size
         node.count += count
@@ -157,30 +154,19 @@ class Trie:
             if node.file is None:
                 yield key, node.best, node.count, node.row
                 continue
-            lower = Trie(self.budget)
+            lower = Trie(self.budget, self.largest)
             for entry in records(node.file):
                 lower.insert(*entry)
             yield from lower.owners(key)
 
 
-def _rank(id: Any, largest: bool) -> Any:
-    """Rank under which the largest (or smallest) id owns a text; null ids come last."""
-    return (id is not None, id if id is None or largest else Reverse(id))
+def _rank(id: Any, largest: bool) -> tuple:
+    """Sort key of an id; a null id never wins against another."""
+    return ((id is not None) if largest else (id is None), id)
 
 
-class Reverse:
-    """Orders values downwards."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value: Any):
-        self.value = value
-
-    def __lt__(self, other: Reverse) -> bool:
-        return other.value < self.value
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, Reverse) and self.value == other.value
+def _wins(a: tuple, b: tuple, largest: bool) -> bool:
+    return a > b if largest else a < b
 
 
 def _dealt(docs: DataFrame, id_at: int, text_at: int, largest: bool, rows: bool) -> DataFrame:
@@ -198,7 +184,7 @@ def _dealt(docs: DataFrame, id_at: int, text_at: int, largest: bool, rows: bool)
                     found[key] = [i, 1]
                 else:
                     slot[1] += 1
-                    if _rank(ids[slot[0]], largest) < _rank(ids[i], largest):
+                    if _wins(_rank(ids[i], largest), _rank(ids[slot[0]], largest), largest):
                         slot[0] = i
             at = pa.array([s[0] for s in found.values()], pa.int64())
             hashes = [xxhash.xxh64_intdigest(k) - (1 << 63) for k in found]
@@ -223,7 +209,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", largest: boo
     dealt = _dealt(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), 0, 1, largest, rows=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(budget)
+        trie = Trie(budget, largest)
         kind = None
         for b in batches:
             kind = b.schema.field("__id").type
@@ -253,10 +239,8 @@ def owners(docs: DataFrame, id: str = "doc_id", text: str = "text", largest: boo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], ["doc_id", "sha256"])
 
     keyed = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(digest, f"doc_id {kind}, sha256 binary")
-    keyed = keyed.withColumn("__salt", salt(SALTS, "doc_id"))
     copies = groups(docs, id, text, largest, budget).filter("group_size > 1")
-    copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = keyed.join(copies, ["sha256", "__salt"], "left")
+    joined = salted_left(keyed, copies, "sha256", "doc_id")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
@@ -275,7 +259,7 @@ def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", largest:
     kept = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, schema = Trie(budget), None
+        trie, schema = Trie(budget, largest), None
         for b in batches:
             rows = pa.RecordBatch.from_arrays(b.columns[5:], [f"c{i}" for i in range(width)])
             schema = rows.schema
