@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import mixing, quality_rules, simhash, trie_dedup
+from quartermark.llm import bpe_codec, mixing, quality_rules, simhash, trie_dedup
 from quartermark.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(documents(spark, sf_dir)).drop("ids")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -28,6 +32,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_trie_dedup": op3_trie_dedup,
     "op5_mixing": op5_mixing,
+    "op7_bpe_codec": op7_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
 }
 
