@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, mixing, quality_rules, simhash, trie_dedup
+from quartermark.llm import bpe_codec, mixing, quality_rules, simhash, token_shards, trie_dedup
 from quartermark.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.written_and_read(spark, documents(spark, sf_dir))
+
+
 def op3_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.owners(documents(spark, sf_dir), largest=True)
 
@@ -30,6 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_shards": op2_token_shards,
     "op3_trie_dedup": op3_trie_dedup,
     "op5_mixing": op5_mixing,
     "op7_bpe_codec": op7_bpe_codec,
