@@ -37,14 +37,14 @@ from quartermark.session import cut
 
 MAGIC = b"QMTS0001"
 #: Words whose ids a Python worker keeps.
-CACHE = 500_000
+CACHE = 1_000_000
 #: Id appended to every document.
 END = 1
 #: Bits per key on each level of the hash.
 SPREAD = 2.0
 _NO_KEY = np.iinfo(np.int64).min
-_HEAD = re.compile("(.*[a-zß-öø-ÿ])([.,;:!?]+)", re.S)
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_LATIN = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
 
 
 def default_path() -> str:
@@ -79,24 +79,35 @@ class WordEncoder:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word that is not known yet."""
-        if word.isascii() and "<|" not in word:
-            word = word.lower()
-        split = _HEAD.fullmatch(word)
-        if split:
-            return b"".join(self.known.get(w) or self.known.setdefault(w, self.word(w)) for w in split.groups())
-        if _LETTERS.fullmatch(word):
+    def learn(self, words: set[str]) -> None:
+        """Put words into the cache: Latin letters, then at most a tail of punctuation, are two pre-tokens."""
+        known = self.known
+        for word in words:
+            head = word.rstrip(_MARKS)
+            if not _LATIN.fullmatch(head):
+                known[word] = self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                continue
+            ids = self.letters(head.lower())
+            if len(head) < len(word):
+                tail = word[len(head) :]
+                if tail not in known:
+                    known[tail] = self.pack(self.tokenizer.encode(tail, add_special_tokens=False).ids)
+                ids += known[tail]
+            known[word] = ids
+
+    def letters(self, word: str) -> bytes:
+        """Ids of a lower-case word of Latin letters, a single pre-token, from the library's model."""
+        ids = self.known.get(word)
+        if ids is None:
             symbols = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-            return self.pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
-        return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = self.known[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(symbols)])
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.limit:
             self.known = {"": b""}
-        for w in set().union(*split) - self.known.keys():
-            self.known[w] = self.word(w)
+        self.learn(set().union(*split) - self.known.keys())
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 

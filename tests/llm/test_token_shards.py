@@ -22,7 +22,7 @@ def plain(text):
 @given(st.lists(st.text(st.sampled_from(ODD) | st.characters(blacklist_categories=["Cs"]), max_size=50), max_size=4))
 def test_equals_the_library(texts):
     tool = per_process("words", lambda: token_shards.WordEncoder(PATH, cache=500))
-    texts = texts + ["The, the. END!", "<|ENDOFTEXT|> <|endoftext|>. <|startoftext|>", "don't I'LL.", "H̱ ẖ."]
+    texts = texts + ["The, the. END! end$$$ \xc9T\xc9| \xdf. \xff! it'. it's' \xd7x x\xf7. a<|b", "<|ENDOFTEXT|> <|endoftext|>. <|startoftext|>", "don't I'LL.", "H̱ ẖ."]
     assert [np.frombuffer(x, "<u2").tolist() for x in tool.encode(texts)] == [plain(t) for t in texts]
 
 
