@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, mixing, quality_rules, simhash, token_shards, trie_dedup
+from quartermark.llm import bpe_codec, language_id, mixing, quality_rules, simhash, token_shards, trie_dedup
 from quartermark.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir)).drop("ids")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_trie_dedup": op3_trie_dedup,
     "op5_mixing": op5_mixing,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
