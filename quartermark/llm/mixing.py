@@ -105,4 +105,4 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     size = word_count(at[text])
     joined = rows.join(mix.withColumnRenamed("source", "__s"), F.col(at[source]).eqNullSafe(F.col("__s")))
     times = _times(mix, exponential_key(at[id], quality(at[text], size), seed), F.col(at[id]), size)
-    return joined.filter(times > 0).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*names).toDF(*docs.columns)
+    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*names).toDF(*docs.columns)

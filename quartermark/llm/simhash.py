@@ -215,42 +215,46 @@ def bits_apart(similarity: float, bits: int, slack: float = 1.0) -> int:
 
 
 def _banded(classes: DataFrame, bands: int, band_bits: int) -> DataFrame:
-    """fp and a key per band: `band_bits` bits spread over the fingerprint."""
+    """node and a key per band: `band_bits` bits spread over the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            bits = np.unpackbits(_words(b.column(0)), axis=1)
+            bits = np.unpackbits(_words(b.column(1)), axis=1)
             order = np.random.default_rng(SEED)
             for k in range(bands):
                 at = order.permutation(bits.shape[1])[:band_bits]
                 key = (bits[:, at].astype(np.int64) << np.arange(band_bits)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(key), k, np.int32)), pa.array(key)], ["fp", "band", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(key), k, np.int32)), pa.array(key)], ["node", "band", "key"])
 
-    return classes.select("fp").mapInArrow(run, "fp binary, band int, key long")
+    return classes.select("node", "fp").mapInArrow(run, "node long, band int, key long")
 
 
 def similar(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, lanes: int = LANES) -> DataFrame:
-    """Links (src, dst) between distinct wide fingerprints of about that similarity or more.
+    """Links (src, dst) between nodes of distinct wide fingerprints of about that similarity or more.
 
-    Bands are as long as the base-2 logarithm of the table, so that unrelated rows seldom meet; more
-    bands raise the share of links found at the threshold itself.
+    `classes` has node (a 64-bit hash) and fp. Bands are as long as the base-2 logarithm of the table,
+    so that unrelated rows seldom meet; more bands raise the share of links found at the threshold
+    itself. Only nodes and keys are shuffled; fingerprints join the pairs that have met.
     """
     most = bits_apart(similarity, 64 * lanes)
     band_bits = max(12, min(62, math.ceil(math.log2(classes.count() + 1)) + 1))
     banded = _banded(classes, bands, band_bits)
-    leader = F.min_by("fp", F.xxhash64("fp", "band"))
+    leader = F.min_by("node", F.xxhash64("node", "band"))
     led = banded.groupBy("band", "key").agg(leader.alias("src"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    pairs = banded.join(led, ["band", "key"]).filter(F.col("fp") != F.col("src")).select("src", F.col("fp").alias("dst"))
+    pairs = banded.join(led, ["band", "key"]).filter(F.col("node") != F.col("src"))
+    pairs = pairs.select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct()
+    for side in ("src", "dst"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("fp").alias(f"{side}_fp")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                apart = np.bitwise_count(_words(b.column(0)) ^ _words(b.column(1))).sum(axis=1)
-                yield b.filter(pa.array(apart <= most))
+                apart = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(axis=1)
+                yield b.select(["src", "dst"]).filter(pa.array(apart <= most))
 
-    return pairs.mapInArrow(run, "src binary, dst binary").distinct()
+    return pairs.select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long").distinct()
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -259,11 +263,12 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     Rows with a null id stay. Rows that share an id stay or go together.
     """
     prints = cut(fingerprints(docs, id, text, width, LANES))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = cut(classes.withColumn("node", F.xxhash64("fp")))
     found = cut(components(similar(classes, similarity)))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    named = classes.drop("fp").join(found, "node", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     several = named.join(least, "component", "left").filter((F.col("rows") > 1) | F.col("least").isNotNull())
-    several = several.select("fp", F.coalesce("least", "first").alias("least"))
-    lost = salted_left(prints, several, "fp", "doc_id").filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("__lost")).distinct()
+    several = several.select("node", F.coalesce("least", "first").alias("least"))
+    lost = salted_left(prints.select("doc_id", F.xxhash64("fp").alias("node")), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("__lost")).distinct()
     return docs.join(lost, docs[id] == F.col("__lost"), "left_anti")
