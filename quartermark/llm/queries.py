@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, language_id, mixing, quality_rules, simhash, token_shards, trie_dedup
-from quartermark.llm.common import documents
+from quartermark.llm import bpe_codec, language_id, mixing, quality_rules, simhash, token_shards, toxicity, trie_dedup
+from quartermark.llm.common import documents, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.owners(documents(spark, sf_dir), largest=True)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_shards": op2_token_shards,
     "op3_trie_dedup": op3_trie_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_language_id": op8_language_id,

@@ -9,12 +9,12 @@ Sentences of labelled documents inherit the label, and a sentence is as toxic as
 training, words are told apart by the sentences they come from: landmarks are the words whose
 sentences differ most in label, and the commonest others; words of toxic sentences far beyond chance
 are positive, also with a character inserted, words of clean sentences negative; a second round adds
-the worst word of toxic documents in which none was found. A squared-hinge machine is trained on the
+the worst word of toxic documents in which none was found and the clean words that came near. A squared-hinge machine is trained on the
 Nystrom map of the kernel. Since the map is linear in a word's triples, the machine folds into one
 weight per triple, and scoring a word needs no landmark at all.
 
-A document's score is a logistic of its three worst distinct words' margins, fitted on the same
-training rows. Whole texts are read; empty and null texts have no words and get the score of that.
+A document's score is a logistic of its three worst distinct words' margins and of the log of their
+number, fitted on the same training rows. Whole texts are read; empty and null texts have no words and get the score of that.
 Labels of a document that appears more than once are combined by the greatest. Without rows of both
 labels every score is the smoothed share of toxic rows. Only the model, of fixed size, is broadcast.
 """
@@ -47,8 +47,12 @@ CONTRAST, COMMON, NEGATIVES = 96, 64, 12_000
 CLASSES = 64
 #: Words whose margins a Python worker keeps.
 CACHE = 1_000_000
+#: Texts of fewer distinct words are calibrated as if they had so many.
+LEAST_WORDS = 60
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
+#: Code points that are no characters, as a word's ends.
+START, STOP = "\ufffe", "\uffff"
 _ALONE = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]+){2,}[^\W\d_](?![^\W\d_])")
 _MARKS = re.compile(r"[\W_]+")
 
@@ -68,14 +72,14 @@ class Kernel:
     def __init__(self, alphabet: str):
         self.alphabet = alphabet
         self.table = np.full(0x110000, 2, np.int64)
-        self.table[0xFFFE], self.table[0xFFFF] = 0, 1
+        self.table[ord(START)], self.table[ord(STOP)] = 0, 1
         for i, c in enumerate(alphabet[: CLASSES - 3]):
             self.table[ord(c)] = 3 + i
 
     def triples(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, triple, weight) sorted by both, weights scaled to a norm of 1 per word."""
         sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 2
-        raw = np.frombuffer("".join([f"￾{w}￿" for w in batch]).encode("utf-32-le", "replace"), "<u4")
+        raw = np.frombuffer("".join([f"{START}{w}{STOP}" for w in batch]).encode("utf-32-le", "replace"), "<u4")
         c, own = self.table[raw], np.repeat(np.arange(len(batch)), sizes)
         keys, weights = [], []
         for j, k in combinations(range(1, SPAN), 2):
@@ -94,7 +98,7 @@ class Kernel:
 
 
 class Model:
-    """Weight per triple, bias, and the logistic over a document's three worst margins."""
+    """Weight per triple, bias, and the logistic over a document's worst margins and size."""
 
     def __init__(self, alphabet: str, weights: np.ndarray, bias: float, logistic: np.ndarray):
         self.kernel, self.weights, self.bias, self.logistic = Kernel(alphabet), weights, bias, logistic
@@ -104,17 +108,23 @@ class Model:
         word, triple, weight = self.kernel.triples(batch)
         return np.bincount(word, weight * self.weights[triple], len(batch)) + self.bias
 
+    def margin(self, word: str) -> float:
+        if word not in self.known:
+            self.known[word] = float(self.margins([word])[0])
+        return self.known[word]
+
     def worst(self, bags: list[set[str]]) -> np.ndarray:
-        """Three greatest margins of each bag's words, -2 where there are fewer."""
+        """Three greatest margins of each bag's words, -2 where there are fewer, and the log of its size."""
         if len(self.known) > CACHE:
             self.known = {}
         new = list(set().union(*bags) - self.known.keys())
         for at in range(0, len(new), 20_000):
             self.known.update(zip(new[at : at + 20_000], self.margins(new[at : at + 20_000]).tolist()))
-        out = np.full((len(bags), 3), -2.0)
+        out = np.full((len(bags), 4), -2.0)
         for i, bag in enumerate(bags):
             top = heapq.nlargest(3, map(self.known.__getitem__, bag))
             out[i, : len(top)] = np.maximum(top, -2.0)
+            out[i, 3] = np.log(max(len(bag), LEAST_WORDS))
         return out
 
     def scores(self, bags: list[set[str]]) -> np.ndarray:
@@ -195,7 +205,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, np.float64)
     bags = [words(t) for t in texts]
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    share = np.array([np.log((n1 + 1) / (n0 + 1)), 0, 0, 0])
+    share = np.array([np.log((n1 + 1) / (n0 + 1)), 0, 0, 0, 0])
     if not n1 or not n0:
         return Model("a", np.zeros(CLASSES**3), 0.0, share)
     bad, good = Counter(), Counter()
@@ -224,8 +234,6 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     z, root = landmarks_map(kernel, positive[:CONTRAST] + common[:COMMON])
     rest = common[COMMON:]
     negative = common[:COMMON] + rest[:: max(1, len(rest) // NEGATIVES)]
-    near = [w for w in rest if any(w[i : i + 3] in p for p in positive[:CONTRAST] for i in range(1))][:NEGATIVES]
-    negative = sorted({*negative, *near})
     model = None
     for _ in range(2):
         rows = positive + [inserted(w, alphabet[:20]) for w in positive] + negative
@@ -236,6 +244,8 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         seen = set(positive)
         missed = [max(bag, key=lambda v: (model.known[v], v)) for bag, t, m in zip(bags, toxic, model.worst(bags)) if t and bag and not bag & seen and m[0] > 0]
         positive = positive + sorted(set(missed) - seen)
+        hard = [w for w in rest if w not in seen and model.margin(w) > -0.5]
+        negative = sorted({*negative, *hard[:NEGATIVES]})
     model.logistic = logistic(model.worst(bags), y)
     return model
 
