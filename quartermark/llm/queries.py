@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, language_id, mixing, quality_rules, simhash, token_shards, toxicity, trie_dedup
+from quartermark.llm import bpe_codec, language_id, lm_scoring, mixing, quality_rules, simhash, token_shards, toxicity, trie_dedup, warc
 from quartermark.llm.common import documents, table
 
 
@@ -28,6 +28,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents whose quality label is 1."""
+    wanted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.score(documents(spark, sf_dir), wanted)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(documents(spark, sf_dir)).drop("ids")
 
@@ -36,6 +42,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archived(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -46,8 +57,10 @@ QUERIES = {
     "op3_trie_dedup": op3_trie_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_language_id": op8_language_id,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -89,6 +102,20 @@ WITH d AS (
   SELECT *, epochs + CASE WHEN reach <= rest OR (reach - size < rest AND reach - rest < rest - (reach - size)) THEN 1 ELSE 0 END AS times FROM x
 )
 SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, times::BIGINT AS times FROM y""",
+    "op9_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT html, min(page_id) AS first FROM p GROUP BY html
+), h AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS sha, first FROM p JOIN g USING (html)
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(sha, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h""",
     "op10_quality_rules": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
