@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartermark.llm.common import as_text, per_process
+from quartermark.llm.common import as_text, per_process, slices
 
 #: Longest pre-token in characters that is encoded in one go.
 LEAF = 64
@@ -56,9 +57,8 @@ class Codec:
 
     def __init__(self, path: str, leaf: int = LEAF):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.leaf = Tokenizer.from_file(path), leaf
+        self.path, self.leaf = path, leaf
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -74,6 +74,12 @@ class Codec:
         self.flat = np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8)
         self.unsplit = re.compile(f"[^{_WS}]{{{leaf + 1}}}|[{_WS}]{{{leaf + 1}}}")
 
+    @cached_property
+    def tokenizer(self) -> Any:
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     # --- encoding ---
 
     def part(self, text: str) -> list[int]:
@@ -170,11 +176,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(file, leaf)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [tool.encode(t) for t in as_text(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
+        for part in slices(batches):
+            ids = [tool.encode(t) for t in as_text(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, ids binary, n_tokens long")
 
@@ -185,7 +189,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(file)
-        for b in batches:
+        for b in slices(batches):
             texts = [tool.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
@@ -194,6 +198,19 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every row, decoded again from its ids."""
-    both = decode(encode(docs, id, text, path), path)
+    """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every row, decoded again from its ids.
+
+    Both ways run in one Python worker: the ids are not sent out and back in between.
+    """
+    file = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(file)
+        for b in slices(batches):
+            ids = [tool.encode(t) for t in as_text(b.column(1))]
+            out = [b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(tool.decode, ids), pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "n_tokens", "decoded"])
+
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    both = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, ids binary, n_tokens long, decoded string")
     return both.select("doc_id", "ids", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

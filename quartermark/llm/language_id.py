@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_text, per_process
+from quartermark.llm.common import as_text, per_process, slices
 from quartermark.operators.windows import topk_per_group
 
 #: Rows per language that a sample is filled from, the longest text it takes, and its length in characters.
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = per_process(("languages", hash(tuple(sorted(model.value.items())))), lambda: Parser(model.value))
-        for b in batches:
+        for b in slices(batches, 2000):
             found = parser.predict(as_text(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for n, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_text, per_process
+from quartermark.llm.common import as_text, per_process, slices
 from quartermark.session import cut
 
 #: Tokens (boundary and unknown included) and order of the models.
@@ -44,7 +44,7 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
-        for b in batches:
+        for b in slices(batches):
             for part in pieces(as_text(b.column(0))):
                 points, n = np.unique(np.frombuffer("".join(part).encode("utf-32-le", "replace"), "<u4"), return_counts=True)
                 seen.update(dict(zip(points.tolist(), n.tolist())))
@@ -103,7 +103,7 @@ def counts(docs: DataFrame, points: list[int], order: int = ORDER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = per_process(("tokens", tuple(points)), lambda: Tokens(points))
         seen = np.zeros((2, base**order), np.int64)
-        for b in batches:
+        for b in slices(batches):
             texts, wanted = as_text(b.column(0)), b.column(1).to_pylist()
             for row, own in ((0, texts), (1, [t for t, w in zip(texts, wanted) if w])):
                 for part in pieces(own):
@@ -148,7 +148,7 @@ def score(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, table = per_process(("tokens", tuple(points)), lambda: Tokens(points)), model.value
-        for b in batches:
+        for b in slices(batches):
             at = 0
             for part in pieces(as_text(b.column(1))):
                 cell, sizes = tool.grams(part, order, base)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartermark.llm.common import as_bytes
+from quartermark.llm.common import as_bytes, slices
 
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 UPPER_ASCII, LOWER_ASCII = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -155,7 +155,7 @@ def passing(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, samp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = ordered(rules, order)
-        for b in batches:
+        for b in slices(batches):
             keep = [not any(step(f) for step in steps) for f in (Features(*t) for t in _texts(b.column(at)))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
@@ -173,7 +173,7 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: list[R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps, base = ordered(rules, order), [r for n, r in rules if n in BASE]
-        for b in batches:
+        for b in slices(batches):
             features = [Features(*t) for t in _texts(b.column(1))]
             kept = [not any(step(f) for step in steps) for f in features]
             failed = [any(r(f) for r in base) for f in features]

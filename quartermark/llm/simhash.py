@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartermark.llm.common import as_bytes, salted_left
+from quartermark.llm.common import as_bytes, salted_left, slices
 from quartermark.plans.graph import components
 from quartermark.session import cut
 
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     """doc_id, fp (binary) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             prints = [fingerprint(x, width, lanes) for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 

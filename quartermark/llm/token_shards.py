@@ -32,12 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartermark.llm.bpe_codec import byte_symbols
-from quartermark.llm.common import as_text, file_system, per_process, shared_folder
+from quartermark.llm.common import as_text, file_system, per_process, shared_folder, slices
 from quartermark.session import cut
 
 MAGIC = b"QMTS0001"
 #: Words whose ids a Python worker keeps.
-CACHE = 1_000_000
+CACHE = 700_000
 #: Id appended to every document.
 END = 1
 #: Bits per key on each level of the hash.
@@ -286,12 +286,10 @@ def write(docs: DataFrame, folder: str | None = None, id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = per_process(("words", file), lambda: WordEncoder(file))
         end, out, name = tool.pack([END]), None, f"{to}/{uuid.uuid4().hex}.tokens"
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                out = out or ShardWriter(file_system(to)[0].open_output_stream(file_system(name)[1]), tool.width)
-                for key, ids in zip(part.column(0).to_pylist(), tool.encode(as_text(part.column(1)))):
-                    out.add(key, ids + end)
+        for part in slices(batches, 2000):
+            out = out or ShardWriter(file_system(to)[0].open_output_stream(file_system(name)[1]), tool.width)
+            for key, ids in zip(part.column(0).to_pylist(), tool.encode(as_text(part.column(1)))):
+                out.add(key, ids + end)
         if out:
             out.close()
             held = [k for k in out.keys if k != _NO_KEY] or [None]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_text, per_process
+from quartermark.llm.common import as_text, per_process, slices
 from quartermark.llm.language_id import held_out
 
 #: Labelled rows the machine is trained on at most, in the order of a hash of the id.
@@ -46,7 +46,7 @@ CONTRAST, COMMON, NEGATIVES = 96, 64, 12_000
 #: Classes of letters: start, end, other, then the commonest letters.
 CLASSES = 64
 #: Words whose margins a Python worker keeps.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Texts of fewer distinct words are calibrated as if they had so many.
 LEAST_WORDS = 60
 #: Score from which a document is predicted toxic.
@@ -273,11 +273,9 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = per_process(("toxicity", model.value), lambda: Model.load(model.value))
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found = tool.scores([words(t) for t in as_text(part.column(1))])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.float64()), pa.array(found >= THRESHOLD).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        for part in slices(batches):
+            found = tool.scores([words(t) for t in as_text(part.column(1))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.float64()), pa.array(found >= THRESHOLD).cast(pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return own.withColumn("held_out", held_out("doc_id", 3, 1)).mapInArrow(run, schema)

@@ -6,8 +6,8 @@ owner among the rows that carry it and their number. A trie that outgrows its by
 heaviest subtree to a local file of the task, later texts of that subtree follow it there, and each
 file becomes a trie of its own in the end.
 
-Copies meet early: every Arrow batch is reduced to its distinct texts before the shuffle, so a group
-that holds a third of all rows reaches its partition as one row per batch.
+Copies meet early: every COMBINED rows are reduced to their distinct texts before the shuffle, so a
+group that holds a third of all rows reaches its partition as one row per slice.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import hashlib
 import pickle
 import tempfile
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_bytes, salted_left
+from quartermark.llm.common import as_bytes, salted_left, slices
 
 #: Bytes of labels and rows a trie holds before it writes a subtree to disk.
-TRIE_BYTES = 128 << 20
+TRIE_BYTES = 64 << 20
+#: Rows whose copies are put together before the shuffle.
+COMBINED = 2500
 
 
 class Node:
@@ -170,12 +173,16 @@ def _wins(a: tuple, b: tuple, largest: bool) -> bool:
 
 
 def _dealt(docs: DataFrame, id_at: int, text_at: int, largest: bool, rows: bool) -> DataFrame:
-    """Distinct texts of each batch with their owner there, dealt out by length and content hash."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    head = ["__length", "__hash", "__key", "__id", "__count"]
+    """Distinct texts of each slice with their owner there, dealt out by length and content hash.
+
+    With `rows` the owner's whole row goes along instead of the folded text, which it implies.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))] if rows else ["__key", "__id"]
+    kinds = [f.dataType for f in docs.schema] if rows else [T.BinaryType(), docs.schema[id_at].dataType]
+    head = ["__length", "__hash", "__count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, COMBINED):
             ids, found = b.column(id_at).to_pylist(), {}
             for i, raw in enumerate(as_bytes(b.column(text_at))):
                 key = raw.lower()
@@ -191,16 +198,12 @@ def _dealt(docs: DataFrame, id_at: int, text_at: int, largest: bool, rows: bool)
             out = [
                 pa.array([len(k) for k in found], pa.int64()),
                 pa.array(hashes, pa.int64()),
-                pa.array(list(found), pa.binary()),
-                b.column(id_at).take(at),
                 pa.array([s[1] for s in found.values()], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(out + ([c.take(at) for c in b.columns] if rows else []), head + (names if rows else []))
+            out += [c.take(at) for c in b.columns] if rows else [pa.array(list(found), pa.binary()), b.column(id_at).take(at)]
+            yield pa.RecordBatch.from_arrays(out, head + names)
 
-    schema = T.StructType(
-        [T.StructField(n, t) for n, t in zip(head, (T.LongType(), T.LongType(), T.BinaryType(), docs.schema[id_at].dataType, T.LongType()))]
-        + ([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)] if rows else [])
-    )
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in head), *map(T.StructField, names, kinds)])
     return docs.mapInArrow(run, schema).repartition("__length", "__hash")
 
 
@@ -211,14 +214,12 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", largest: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(budget, largest)
         kind = None
-        for b in batches:
+        for b in slices(batches):
             kind = b.schema.field("__id").type
             for key, i, n in zip(b.column("__key").to_pylist(), b.column("__id").to_pylist(), b.column("__count").to_pylist()):
                 trie.insert(key, _rank(i, largest), n, i)
-        out: list[tuple] = []
-        for key, _, n, i in trie.owners():
-            out.append((hashlib.sha256(key).digest(), i, n))
-        if out:
+        found = ((hashlib.sha256(key).digest(), i, n) for key, _, n, i in trie.owners())
+        while out := list(islice(found, 10_000)):
             sha, ids, counts = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(ids, kind), pa.array(counts, pa.int64())], ["sha256", "keep_id", "group_size"])
 
@@ -234,7 +235,7 @@ def owners(docs: DataFrame, id: str = "doc_id", text: str = "text", largest: boo
     kind = dict(docs.dtypes)[id]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sha = [hashlib.sha256(x.lower()).digest() for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], ["doc_id", "sha256"])
 
@@ -260,18 +261,18 @@ def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text", largest:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, schema = Trie(budget, largest), None
-        for b in batches:
-            rows = pa.RecordBatch.from_arrays(b.columns[5:], [f"c{i}" for i in range(width)])
+        for b in slices(batches):
+            rows = pa.RecordBatch.from_arrays(b.columns[3:], [f"c{i}" for i in range(width)])
             schema = rows.schema
             values = zip(*[c.to_pylist() for c in rows.columns])
-            for key, i, n, row in zip(b.column("__key").to_pylist(), b.column("__id").to_pylist(), b.column("__count").to_pylist(), values):
-                trie.insert(key, _rank(i, largest), n, row, len(key))
+            for raw, n, row in zip(as_bytes(rows.column(text_at)), b.column("__count").to_pylist(), values):
+                trie.insert(raw.lower(), _rank(row[id_at], largest), n, row, len(raw))
         out: list[tuple] = []
         size = 0
         for key, _, _, row in trie.owners():
             out.append(row)
             size += len(key)
-            if size > 32 << 20:
+            if size > 8 << 20:
                 yield _batch(out, schema)
                 out, size = [], 0
         if out:

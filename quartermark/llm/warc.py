@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartermark.llm.common import as_bytes, file_system, salted_left, shared_folder
+from quartermark.llm.common import as_bytes, file_system, salted_left, shared_folder, slices
 from quartermark.session import cut
 
 #: Payloads below this size are always responses.
@@ -228,8 +228,8 @@ def write(pages: DataFrame, folder: str | None = None, id: str = "page_id", url:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = f"{to}/{uuid.uuid4().hex}.warc.gz", None, 0
-        for b in batches:
-            if b.num_rows and out is None:
+        for b in slices(batches):
+            if out is None:
                 out = file_system(to)[0].open_output_stream(file_system(name)[1], compression=None)
             for page, link, raw, time, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 out.write(record(page, link, time, raw, first is None, first))

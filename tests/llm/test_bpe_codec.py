@@ -60,3 +60,5 @@ def test_round_trip_of_a_table(spark):
     want = sorted((str(i), len(plain(t or "")), sha(np.array(plain(t or ""), "<u4").tobytes()), sha((t or "").encode())) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want
     assert bpe_codec.round_trip(df.limit(0)).count() == 0
+    apart = bpe_codec.decode(bpe_codec.encode(df)).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in apart) == sorted((str(i), t or "") for i, t in rows)
