@@ -159,7 +159,7 @@ DASH = "—"
 
 def slice_label(dwelling: Column | str = "dwelling_type", bedrooms: Column | str = "bedrooms") -> Column:
     d, b = col(dwelling), col(bedrooms)
-    cap = F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, 2, 1000))
+    cap = F.concat(F.upper(F.substring(d, 1, 1)), F.substr(d, F.lit(2)))
     return (
         F.when((d == "all") & (b == "all"), "All dwellings")
         .when(b == "all", cap)
@@ -187,7 +187,7 @@ def variance_label(v: Column | str) -> Column:
 
 def source_label(source: Column | str) -> Column:
     s = col(source)
-    tail = F.replace(F.substring(s, len(IMPUTED_PREFIX) + 1, 1000), F.lit("_"), F.lit(" "))
+    tail = F.replace(F.substr(s, F.lit(len(IMPUTED_PREFIX) + 1)), F.lit("_"), F.lit(" "))
     return (
         F.when(s == "observed", "Observed")
         .when(s.startswith(IMPUTED_PREFIX), F.concat(F.lit("Imputed · "), tail))

@@ -82,12 +82,12 @@ def valid_slices(df: DataFrame) -> DataFrame:
     return df.filter((F.col("dwelling_type") != "vacant_land") & (F.col("bedrooms") != "0"))
 
 
-def filter_or_fail(df: DataFrame, column: str, value: object) -> DataFrame:
-    """C9. Equality filter that names the values on offer when nothing matches."""
+def filter_or_fail(df: DataFrame, column: str, value: object, shown: int = 50) -> DataFrame:
+    """C9. Equality filter whose error names the first `shown` values on offer when nothing matches."""
     hit = df.filter(F.col(column) == F.lit(value))
     if hit.isEmpty():
-        shown = [r[0] for r in df.select(column).dropna().distinct().orderBy(column).limit(50).collect()]
-        raise ValueError(f"no rows with {column}={value!r}; first values on offer: {shown}")
+        offer = [r[0] for r in df.select(column).dropna().distinct().orderBy(column).limit(shown).collect()]
+        raise ValueError(f"no rows with {column}={value!r}; first values on offer: {offer}")
     return hit
 
 

@@ -77,9 +77,13 @@ def align_annual(quarterly: DataFrame, annual: DataFrame, keys: list[str]) -> Da
 
 
 def with_exog(series: DataFrame, index: DataFrame) -> DataFrame:
-    """D12. Inner join on the date. Annual rows sit on dates the quarterly index lacks and drop out."""
-    right = index.filter(F.col("index_value").isNotNull()).select(
-        F.col("time_bucket").alias("ds"), F.col("index_value").alias("cpi")
+    """D12. Inner join on the date. Annual rows sit on dates the quarterly index lacks and drop out.
+
+    The index is that of one region: a date that occurs twice fails the job rather than doubling rows.
+    """
+    twice = F.raise_error(F.lit("the index has several rows for one date; pass one region")).cast("double")
+    right = index.filter(F.col("index_value").isNotNull()).groupBy(F.col("time_bucket").alias("ds")).agg(
+        F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.max("index_value")).alias("cpi")
     )
     return series.filter(F.col("y").isNotNull()).join(right, "ds")
 

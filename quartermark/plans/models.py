@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermark.functions.columns import let
-from quartermark.operators import aggs, joins, windows
+from quartermark.operators import aggs, windows
 from quartermark.plans.series import seasonal_naive
 from quartermark.schemas import Z_80, Z_95
 from quartermark.session import cut
@@ -99,16 +99,18 @@ def fold(train: DataFrame, parts: int, exog: bool) -> DataFrame:
     )
 
 
-def future_paths(index: DataFrame, h_max: int, months: int) -> DataFrame:
-    """Exogenous values after each date of the index, in order.
+def with_path(folded: DataFrame, index: DataFrame, months: int) -> DataFrame:
+    """`xf`: exogenous values of the `h` grid dates after `last_ds`; a date the index lacks fails the job.
 
-    A training series was joined to the index on its dates, so its last date is one of these; the
-    work depends on the length of the index only.
+    The index has one row per calendar date and is attached as one map, so series that end on the
+    same date do not meet in one task. Dates of several regions repeat and fail as well.
     """
-    ends = index.select(F.col("time_bucket").alias("last_ds"), F.col("time_bucket").cast("string").alias("series_id"))
-    rows = joins.future_exog(ends, index, h_max, months)
-    path = F.array_sort(F.collect_list(F.struct("ds", "cpi")))
-    return rows.groupBy("series_id").agg(path.alias("p")).select(F.to_date("series_id").alias("last_ds"), F.col("p.cpi").alias("path"))
+    known = index.filter(F.col("index_value").isNotNull()).select(F.struct("time_bucket", "index_value").alias("e"))
+    by_date = known.agg(F.map_from_entries(F.collect_list("e"))).scalar()
+    short = F.raise_error(F.concat(F.lit("the index lacks a date within the horizon of "), F.col("unique_id"))).cast("double")
+    at = lambda k: F.try_element_at("__index", F.add_months("last_ds", k * months))
+    path = F.transform(F.sequence(F.lit(1), F.col("h")), lambda k: F.coalesce(at(k), short))
+    return folded.withColumn("__index", by_date).withColumn("xf", path).drop("__index")
 
 
 def candidates(folded: DataFrame, season: int, exog: bool) -> DataFrame:
@@ -127,7 +129,7 @@ def candidates(folded: DataFrame, season: int, exog: bool) -> DataFrame:
 
 
 def fit(
-    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None, h_max: int = 40,
+    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None,
     parts: int | None = None, keep: Column | None = None,
 ) -> DataFrame:
     """J7, J10. The best candidate of each series with its fitted values ahead.
@@ -146,11 +148,9 @@ def fit(
         folded = folded.withColumn("h", horizons).filter(F.col("h") > 0)
     if keep is not None:
         folded = folded.filter(keep)
-    folded = folded.withColumn("h", F.least("h", F.lit(h_max)).cast("int"))
+    folded = folded.withColumn("h", F.col("h").cast("int"))
     if exog:
-        paths = future_paths(index, h_max, months)
-        folded = folded.join(paths, "last_ds").withColumn("xf", F.slice("path", F.lit(1), F.col("h"))).drop("path")
-        folded = folded.filter(F.size("xf") == F.col("h"))
+        folded = with_path(folded, index, months)
     else:
         folded = folded.withColumn("xf", F.lit(None).cast("array<double>"))
     cand = candidates(folded, season, exog).select(
@@ -177,11 +177,11 @@ def forecast_rows(fits: DataFrame, months: int) -> DataFrame:
 
 
 def fit_forecast(
-    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None, h_max: int = 40,
+    train: DataFrame, horizons: DataFrame | Column, season: int, months: int, index: DataFrame | None = None,
     keep: Column | None = None,
 ) -> DataFrame:
     """J7."""
-    return forecast_rows(fit(train, horizons, season, months, index, h_max, keep=keep), months)
+    return forecast_rows(fit(train, horizons, season, months, index, keep=keep), months)
 
 
 def backtest(train: DataFrame, index: DataFrame | None, h: int = 4, folds: int = 1, season: int = 4, months: int = 3) -> DataFrame:
@@ -197,7 +197,7 @@ def backtest(train: DataFrame, index: DataFrame | None, h: int = 4, folds: int =
     # Read by the fit and by the scoring.
     marked = cut(windows.holdout(keyed, h))
     inside, outside = marked.filter(~F.col("is_holdout")), marked.filter(F.col("is_holdout"))
-    fits = fit(inside.drop("is_holdout"), F.lit(h), season, months, index, h)
+    fits = fit(inside.drop("is_holdout"), F.lit(h), season, months, index)
     ahead = fits.select("unique_id", "last_ds", "n_obs", F.posexplode("y_hat").alias("pos", "y_hat"))
     fc = ahead.select("unique_id", F.add_months("last_ds", (F.col("pos") + 1) * months).alias("ds"), "y_hat", "n_obs")
     scored = fc.join(outside.select("unique_id", "ds", "y"), ["unique_id", "ds"])

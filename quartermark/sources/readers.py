@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from quartermark.functions import columns as C
 
-# Up to this many literal keys go to the reader as a pushed IN list; more are joined.
-IN_LIST = 1000
-
 POLYGON = "array<array<array<struct<x:double,y:double>>>>"
 
 
@@ -24,16 +21,11 @@ def scan(spark: SparkSession, path: str, cols: list[str] | None = None) -> DataF
 
 
 def scan_filtered(spark: SparkSession, path: str, column: str, keys: DataFrame | Iterable[object]) -> DataFrame:
-    """A2. Rows whose key is listed: a pushed IN list when short, a semi-join for a key table."""
+    """A2. Rows whose key is listed: literal keys are pushed to the reader, a key table is a semi-join."""
     df = spark.read.parquet(path)
     if isinstance(keys, DataFrame):
         return df.join(keys.select(column), column, "left_semi")
-    keys = list(keys)
-    if len(keys) <= IN_LIST:
-        return df.filter(F.col(column).isin(keys))
-    kind = df.schema[column].dataType
-    table = spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(column, kind)]))
-    return df.join(table, column, "left_semi")
+    return df.filter(F.col(column).isin(list(keys)))
 
 
 def feature_schema(properties: T.StructType, coordinates: str = "array<array<array<double>>>") -> str:

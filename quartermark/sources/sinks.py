@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from quartermark.functions import geometry as G
 from quartermark.session import scratch_root
 
-# A single map document holds at most this many keys; larger maps are written as several documents.
-DOC_KEYS = 100_000
-
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -60,9 +57,8 @@ def compact(spark: SparkSession, source: str, target: str, n_files: int) -> str:
     return target
 
 
-def to_map_doc(df: DataFrame, key: str, value: str, doc_keys: int = DOC_KEYS) -> DataFrame:
-    """B7. `{key: value}` documents: one if the keys fit `doc_keys`, otherwise one per key shard."""
-    shards = max(1, -(-df.count() // (doc_keys // 2 or 1))) if df.limit(doc_keys + 1).count() > doc_keys else 1
+def to_map_doc(df: DataFrame, key: str, value: str, shards: int = 1) -> DataFrame:
+    """B7. `{key: value}` documents, one per key shard; choose `shards` so that one document fits a task."""
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"))))
     return df.groupBy(shard).agg(F.to_json(F.map_from_entries(entries)).alias("doc"), F.count(F.lit(1)).alias("n_keys"))

@@ -516,8 +516,8 @@ SELECT geospatial_codes, dwelling_type, bedrooms, row_number() OVER (PARTITION B
 FROM (SELECT DISTINCT geospatial_codes, dwelling_type, bedrooms FROM filled_a WHERE data_type = 'rental')""")
 def _(spark, sf):
     keys = sets.distinct_keys(B.filled_a(spark, sf).filter(F.col("data_type") == "rental"), ["geospatial_codes", "dwelling_type", "bedrooms"])
-    slots = windows.palette_slot(windows.slice_sorted(keys), ["geospatial_codes"], 1000)
-    return slots.withColumnRenamed("slot", "pos").withColumn("pos", F.col("pos").cast("bigint"))
+    in_order = windows.slice_sorted(keys).withColumn("at", F.monotonically_increasing_id())
+    return windows.row_index(in_order, ["geospatial_codes"], ["at"], "pos").drop("at")
 
 
 @query("G6_palette_slot", """

@@ -122,27 +122,29 @@ def _grid(spark, sf):
     """Sheets as a vendor ships them: one row per region, count and median columns per quarter."""
     li = B.table(spark, sf, "lineitem")
     d = F.col("l_shipdate")
-    q = (F.year(d) - 1995) * 4 + F.quarter(d) - 1
+    first, last = li.agg(F.min(F.year(d)), F.max(F.year(d))).first()
+    n = 4 * (last - first + 1)
+    q = (F.year(d) - first) * 4 + F.quarter(d) - 1
     cells = li.groupBy(F.col("l_suppkey").alias("s"), q.alias("q")).agg(
         F.count(F.lit(1)).cast("string").alias("n"), F.median(F.floor("l_extendedprice")).cast("string").alias("m")
     )
     by_q = cells.groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("q", F.array("n", "m")))).alias("c"))
-    quarters = F.sequence(F.lit(0), F.lit(27))
+    quarters = F.sequence(F.lit(0), F.lit(n - 1))
     blank = F.array(F.lit("-"), F.lit(""))
     values = F.flatten(F.transform(quarters, lambda i: F.coalesce(F.element_at("c", i), blank)))
     rows = by_q.select(
         (F.col("s") + 4).cast("int").alias("row_no"),
         F.concat(F.array(F.lit(""), F.concat(F.lit("suburb "), F.col("s").cast("string"))), values).alias("cells"),
     )
-    label = lambda i: F.date_format(F.make_date(1995 + F.floor(i / 4).cast("int"), (i % 4) * 3 + 3, F.lit(1)), "MMM yyyy")
+    label = lambda i: F.date_format(F.make_date(first + F.floor(i / 4).cast("int"), (i % 4) * 3 + 3, F.lit(1)), "MMM yyyy")
     head = li.limit(1).select(
         F.lit(2).alias("row_no"),
         F.concat(F.array(F.lit(""), F.lit("")), F.flatten(F.transform(quarters, lambda i: F.array(label(i), label(i))))).alias("cells"),
     )
-    total = li.limit(1).select(F.lit(3).alias("row_no"), F.concat(F.array(F.lit(""), F.lit("Group Total")), F.array_repeat(F.lit("1"), 56)).alias("cells"))
+    total = li.limit(1).select(F.lit(3).alias("row_no"), F.concat(F.array(F.lit(""), F.lit("Group Total")), F.array_repeat(F.lit("1"), 2 * n)).alias("cells"))
     grid = head.unionByName(total).unionByName(rows).withColumns({"source_file": F.lit("rents.xlsx"), "source_sheet": F.lit("All properties")})
     mapping = spark.createDataFrame(
-        [("rents.xlsx", "All properties", 2, 3, 58, 2, 3, 2**31 - 1, ["count", "median"], "MMM yyyy", "all", "all", "suburb", "rental", "quarterly")],
+        [("rents.xlsx", "All properties", 2, 3, 2 * n + 2, 2, 3, 2**31 - 1, ["count", "median"], "MMM yyyy", "all", "all", "suburb", "rental", "quarterly")],
         "source_file string, source_sheet string, header_row int, first_col int, last_col int, geo_col int, first_row int, last_row int, "
         "statistics array<string>, time_format string, dwelling_type string, bedrooms string, geospatial_type string, data_type string, data_frequency string",
     )
@@ -152,7 +154,7 @@ def _grid(spark, sf):
 @query("A5_grid_to_long", """
 SELECT 'suburb ' || CAST(s AS VARCHAR) AS geospatial, b AS time_bucket, st AS statistic, CASE WHEN st = 'count' THEN n ELSE m END AS value,
   CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INTEGER)) ELSE chr(CAST(64 + (k - 1) // 26 AS INTEGER)) || chr(CAST(65 + (k - 1) % 26 AS INTEGER)) END || CAST(s + 4 AS VARCHAR) AS cell
-FROM (SELECT *, 3 + 2 * q + CASE WHEN st = 'count' THEN 0 ELSE 1 END AS k FROM (SELECT l_suppkey AS s, (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS q,
+FROM (SELECT *, 3 + 2 * q + CASE WHEN st = 'count' THEN 0 ELSE 1 END AS k FROM (SELECT l_suppkey AS s, (year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM lineitem)) * 4 + quarter(l_shipdate) - 1 AS q,
     make_date(year(l_shipdate), quarter(l_shipdate) * 3, 1) AS b, CAST(count(*) AS DOUBLE) AS n, CAST(median(floor(l_extendedprice)) AS DOUBLE) AS m FROM lineitem GROUP BY ALL)
   CROSS JOIN (VALUES ('count'), ('median')) v(st))""")
 def _(spark, sf):
@@ -252,7 +254,7 @@ def _(spark, sf):
 
 @query("B7_map_document", "SELECT code AS key, name AS value FROM sq")
 def _(spark, sf):
-    docs = sinks.to_map_doc(squares(spark, sf), "code", "name", doc_keys=64)
+    docs = sinks.to_map_doc(squares(spark, sf), "code", "name", shards=4)
     return readers.scan_map_json(docs, "doc")
 
 

@@ -6,7 +6,7 @@ from helpers import obs_frame, rental, sale
 from pyspark.sql import functions as F
 
 from quartermark.functions import columns as C
-from quartermark.operators import quality
+from quartermark.operators import joins, quality
 from quartermark.plans import models as M
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
@@ -152,3 +152,31 @@ def test_constant_series_has_no_bands(spark):
 def test_gate(spark, rental_smape, breach):
     d = spark.createDataFrame([(f"rental|s|{i}|h|2", v) for i, v in enumerate(rental_smape)], "series_id string, smape double")
     assert [r.breach for r in quality.quality_gate(d).collect()] == [breach]
+
+
+def _exog_rows(spark, n, ends):
+    rows = [("s", d, float(i % 7 + i), 1.0 + i) for i, d in enumerate(_quarters(n))]
+    index = [(d, 1.0 + i) for i, d in enumerate(_quarters(n + ends))]
+    return spark.createDataFrame(rows, "unique_id string, ds date, y double, cpi double"), spark.createDataFrame(index, "time_bucket date, index_value double")
+
+
+def _quarters(n):
+    from datetime import date
+
+    return [date(1990 + i // 4, 3 * (i % 4) + 3, 1) for i in range(n)]
+
+
+def test_horizon_has_no_cap(spark):
+    train, index = _exog_rows(spark, 40, 45)
+    assert M.fit_forecast(train, F.lit(45), 4, 3, index).count() == 45
+    assert M.fit_forecast(train, F.lit(45), 4, 3).count() == 45
+
+
+def test_short_or_doubled_index_fails(spark):
+    train, index = _exog_rows(spark, 40, 10)
+    with pytest.raises(Exception, match="lacks a date"):
+        M.fit_forecast(train, F.lit(11), 4, 3, index).collect()
+    with pytest.raises(Exception, match="lacks a date"):
+        M.fit_forecast(train, F.lit(8), 4, 3, index.filter("time_bucket <> date '2001-03-01'")).collect()
+    with pytest.raises(Exception, match="one region"):
+        joins.with_exog(train.drop("cpi"), index.unionByName(index)).collect()
