@@ -221,9 +221,6 @@ def mst(points: DataFrame, occupancy: int = OCCUPANCY, pair_work: int = PAIR_WOR
 
 # --- linkage (K2, K3, K5) -----------------------------------------------------------
 
-MERGE_CHUNK = 200_000
-
-
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge the edges of one rank range in order; ends already carry their size and last merge."""
     parent: dict[str, str] = {}
@@ -250,13 +247,13 @@ def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["merge_idx", "left_id", "right_id", "distance", "size"])
 
 
-def merges(tree: DataFrame, chunk: int = MERGE_CHUNK) -> DataFrame:
+def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
     """K2. Single-linkage merges of a spanning tree: (merge_idx, left_id, right_id, distance, size).
 
     Edges are ranked by (distance, ids). The rank range is bisected: the upper half of a range only
     needs the lower half contracted to its components, so both halves go on independently, with all
-    ranges of a level in one DataFrame. Ranges of at most `chunk` edges are merged in order, one
-    range per group, which bounds every group by `chunk`.
+    ranges of a level in one DataFrame. In the end there are at least `ranges` of them (as many as
+    shuffle partitions if not given), each merged in order by one task.
     """
     ranked = row_index(tree.select("src", "dst", "distance"), [], ["distance", "src", "dst"], "rank")
     text = lambda c: F.col(c).cast("string")
@@ -266,8 +263,10 @@ def merges(tree: DataFrame, chunk: int = MERGE_CHUNK) -> DataFrame:
             text("src").alias("tu"), text("dst").alias("tv"),
         )
     )
-    total = cur.count()
-    span = chunk * 2 ** max(0, math.ceil(math.log2(max(total, 1) / chunk)))
+    ranges = ranges or int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    depth = max(0, math.ceil(math.log2(ranges)))
+    chunk = max(1, -(-cur.count() // 2**depth))
+    span = chunk * 2**depth
     while span > chunk:
         half = span // 2
         tagged = cur.withColumns({"seg": F.floor(F.col("rank") / span), "low": F.col("rank") % span < half})
@@ -445,74 +444,102 @@ def stability(tree: DataFrame, m: int) -> DataFrame:
 # --- contiguous regions (K8-K11) ------------------------------------------------------
 
 
-def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str, max_rounds: int = 10_000) -> DataFrame:
+def _hub_merges(cur: DataFrame, best: DataFrame) -> DataFrame:
+    """Regions with one neighbour that are nearer to it than its other neighbours: all merge at once.
+
+    Such a region's distance to its hub stays what it is while the hub grows, so a hub takes them in
+    the order of distance in a single round, however many there are.
+    """
+    single = best.filter("deg = 1").select(F.col("c").alias("__c"), F.lit(True).alias("__one"))
+    flag = lambda end: single.withColumnsRenamed({"__c": end, "__one": f"one_{end}"})
+    e = cur.join(flag("src"), "src", "left").join(flag("dst"), "dst", "left").fillna(False, ["one_src", "one_dst"])
+    rank = F.struct("d", _tie("src", "dst").alias("tie"))
+    inner = e.filter("not one_src and not one_dst").select(F.explode(F.array("src", "dst")).alias("keep"), rank.alias("limit"))
+    inner = inner.groupBy("keep").agg(F.min("limit").alias("limit"))
+    pick = lambda a, b: F.when(F.col("one_dst"), F.col(a)).otherwise(F.col(b))
+    arms = e.filter("one_src <> one_dst").select(
+        pick("src", "dst").alias("keep"), pick("dst", "src").alias("gone"), "d", rank.alias("rank"),
+        pick("ns", "nd").alias("nk"), pick("nd", "ns").alias("ng"), pick("hs", "hd").alias("hk"), pick("hd", "hs").alias("hg"),
+    )
+    arms = arms.join(inner, "keep", "left").filter(F.col("limit").isNull() | (F.col("rank") < F.col("limit")))
+    w = W.partitionBy("keep").orderBy("rank", "gone")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    return arms.select(
+        "keep", "gone", "d", (F.row_number().over(w) - 1).alias("seq"), (F.col("nk") + F.sum("ng").over(upto)).alias("n"),
+        F.max(F.greatest("d", "hk", "hg")).over(upto).alias("height"),
+    )
+
+
+def _tie(a: str, b: str) -> Column:
+    """Order of equal distances: by a digest of the ids, so that regular grids pair off everywhere at once."""
+    return F.md5(F.concat_ws("|", a, b))
+
+
+def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str) -> DataFrame:
     """K9. Merges of an average-linkage agglomeration that only joins adjacent regions.
 
-    `nodes` (id, x, y), `edges` (src, dst). Each round merges every mutually nearest pair; distances
-    to a merged cluster are the size-weighted means of the existing ones. Equal distances are
-    ordered by a hash, so that regular grids still pair off everywhere at once. Rows carry
+    `nodes` (id, x, y), `edges` (src, dst). Each round merges every mutually nearest pair and the arms
+    of hubs; distances to a merged cluster are the size-weighted means of the existing ones. A merge
+    is as high as its distance, lifted to its children's heights, and merges are numbered by height:
+    cutting takes the closest regions together first, wherever they merged. Rows carry
     (merge_step, cluster_a, cluster_b) with leaves 0..N-1 in id order and merge k as N + k, plus one
     leaf of each side (rep_a, rep_b).
     """
     a = nodes.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = nodes.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    one = F.lit(1).cast("long")
-    # Size and last merge ride on the edges; isolated nodes need no rows.
+    one, zero = F.lit(1).cast("long"), F.lit(0.0)
+    # Size and height ride on the edges; isolated nodes need no rows.
     cur = cut(
         edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().join(a, "src").join(b, "dst")
-        .select("src", "dst", d.alias("d"), one.alias("ns"), one.alias("nd"))
+        .select("src", "dst", d.alias("d"), one.alias("ns"), one.alias("nd"), zero.alias("hs"), zero.alias("hd"))
     )
     done = []
-    for rnd in range(max_rounds):
-        if cur.isEmpty():
-            break
-        order = F.struct("d", F.xxhash64("src", "dst").alias("h"), "src", "dst", "ns", "nd")
+    while not cur.isEmpty():
+        order = F.struct("d", _tie("src", "dst").alias("tie"), "src", "dst", "ns", "nd", "hs", "hd")
         ends = cur.select(F.explode(F.array("src", "dst")).alias("c"), order.alias("e"))
-        best = ends.groupBy("c").agg(F.min("e").alias("e"))
-        mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == 2)
-        pairs = cut(mutual.select("e.src", "e.dst", "e.d", "e.ns", "e.nd"))
-        done.append(pairs.withColumn("round", F.lit(rnd)))
-        # The pair keeps its lesser id as representative.
-        moved = pairs.select(F.explode(F.array(
-            F.struct(F.col("src").alias("c"), F.col("src").alias("r"), (F.col("ns") + F.col("nd")).alias("n")),
-            F.struct(F.col("dst").alias("c"), F.col("src").alias("r"), (F.col("ns") + F.col("nd")).alias("n")),
-        )).alias("m")).select("m.*")
-        ms = moved.select(F.col("c").alias("src"), F.col("r").alias("rs"), F.col("n").alias("ms"))
-        md = moved.select(F.col("c").alias("dst"), F.col("r").alias("rd"), F.col("n").alias("md"))
-        nxt = cur.join(ms, "src", "left").join(md, "dst", "left").select(
-            F.coalesce("rs", "src").alias("u"), F.coalesce("rd", "dst").alias("v"), F.coalesce("ms", "ns").alias("nu"), F.coalesce("md", "nd").alias("nv"),
-            "d", (F.col("ns") * F.col("nd")).alias("w"),
+        best = cut(ends.groupBy("c").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("deg")))
+        # A pair with one single-neighbour end is an arm and comes from there.
+        mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("deg") == 1).cast("int")).alias("singles"))
+        mutual = mutual.filter("k = 2 and singles <> 1").select(
+            F.col("e.src").alias("keep"), F.col("e.dst").alias("gone"), "e.d", F.lit(0).alias("seq"),
+            (F.col("e.ns") + F.col("e.nd")).alias("n"), F.greatest("e.d", "e.hs", "e.hd").alias("height"),
+        )
+        pairs = cut(mutual.unionByName(_hub_merges(cur, best)))
+        done.append(pairs.withColumn("round", F.lit(len(done))))
+        kept = pairs.groupBy("keep").agg(F.max("n").alias("n"), F.max("height").alias("h"))
+        gone = pairs.select("keep", F.col("gone").alias("c")).unionByName(kept.select("keep", F.col("keep").alias("c")))
+        moved = gone.join(kept, "keep").withColumnRenamed("keep", "r")
+        to = lambda end: moved.select(F.col("c").alias(end), F.col("r").alias(f"r_{end}"), F.col("n").alias(f"n_{end}"), F.col("h").alias(f"h_{end}"))  # noqa: B023, E731
+        nxt = cur.join(to("src"), "src", "left").join(to("dst"), "dst", "left").select(
+            F.coalesce("r_src", "src").alias("u"), F.coalesce("r_dst", "dst").alias("v"), F.coalesce("n_src", "ns").alias("nu"), F.coalesce("n_dst", "nd").alias("nv"),
+            F.coalesce("h_src", "hs").alias("hu"), F.coalesce("h_dst", "hd").alias("hv"), "d", (F.col("ns") * F.col("nd")).alias("w"),
         ).filter(F.col("u") != F.col("v"))
         flip = F.col("u") > F.col("v")
+        side = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)  # noqa: B023, E731
         nxt = nxt.select(
-            F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), F.when(flip, F.col("nv")).otherwise(F.col("nu")).alias("ns"),
-            F.when(flip, F.col("nu")).otherwise(F.col("nv")).alias("nd"), "d", "w",
+            F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), side("nu", "nv", "ns"), side("nv", "nu", "nd"),
+            side("hu", "hv", "hs"), side("hv", "hu", "hd"), "d", "w",
         )
-        cur = cut(nxt.groupBy("src", "dst").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d"), F.max("ns").alias("ns"), F.max("nd").alias("nd")))
-    else:
-        raise RuntimeError(f"regions still merging after {max_rounds} rounds; raise max_rounds")
+        mean = (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d")
+        cur = cut(nxt.groupBy("src", "dst").agg(mean, *[F.max(c).alias(c) for c in ("ns", "nd", "hs", "hd")]))
     if not done:
         raise ValueError("no two regions touch")
     rows = done[0]
     for more in done[1:]:
         rows = rows.unionByName(more)
-    steps = cut(row_index(rows, [], ["round", "d", "src", "dst"], "merge_step"))
-    index = row_index(nodes.select("id"), [], ["id"], "leaf")
+    steps = cut(row_index(rows, [], ["height", "round", "keep", "seq"], "merge_step"))
+    index = row_index(nodes.select("id"), [], ["id"], "leaf").withColumnRenamed("id", "rep")
     n = nodes.count()
     # A side is the latest earlier merge that kept its representative, or the leaf itself.
-    side = lambda c: F.coalesce(F.max("prev"), F.first("leaf")).alias(c)
-    made = steps.select(F.col("src").alias("rep"), F.col("round").alias("r2"), (F.lit(n) + F.col("merge_step")).alias("prev"))
-
-    def resolve(end: str, name: str) -> DataFrame:
-        # Merges of one representative fall in distinct rounds; at most log-many, so the join is small.
-        e = steps.select("merge_step", "round", F.col(end).alias("rep"))
-        hit = e.join(made, "rep", "left").withColumn("prev", F.when(F.col("r2") < F.col("round"), F.col("prev")))
-        return hit.join(index.select(F.col("id").alias("rep"), "leaf"), "rep").groupBy("merge_step").agg(side(name))
-
-    return steps.join(resolve("src", "ia"), "merge_step").join(resolve("dst", "ib"), "merge_step").select(
-        F.lit(tier).alias("tier"), "merge_step", F.least("ia", "ib").alias("cluster_a"), F.greatest("ia", "ib").alias("cluster_b"),
-        F.col("d").alias("distance"), (F.col("ns") + F.col("nd")).alias("n_obs"), F.col("src").alias("rep_a"), F.col("dst").alias("rep_b"),
+    event = lambda end: steps.select("merge_step", "round", "seq", F.col(end).alias("rep"), F.lit(end).alias("end"))
+    before = F.lag(F.lit(n) + F.col("merge_step")).over(W.partitionBy("rep").orderBy("round", "seq"))
+    sides = event("keep").unionByName(event("gone")).withColumn("prev", before).join(index, "rep")
+    cluster = F.coalesce("prev", "leaf")
+    named = sides.groupBy("merge_step").agg(F.min(cluster).alias("cluster_a"), F.max(cluster).alias("cluster_b"))
+    return steps.join(named, "merge_step").select(
+        F.lit(tier).alias("tier"), "merge_step", "cluster_a", "cluster_b", F.col("d").alias("distance"), F.col("n").alias("n_obs"),
+        F.col("keep").alias("rep_a"), F.col("gone").alias("rep_b"),
     )
 
 
@@ -521,7 +548,7 @@ def regionalise(
 ) -> DataFrame:
     """K8, K10, K11. (node_id, tier, parent_cluster_id, cluster_level, distance) for each cut.
 
-    Cutting to K clusters applies the first N - K merges.
+    Cutting to K clusters applies the N - K lowest merges.
     """
     links = cut(links)
     n, have = nodes.count(), links.count()

@@ -95,7 +95,7 @@ def _(spark, sf):
 
 @query("K2_merges_bisected", "SELECT merge_idx, left_id, right_id, distance, size FROM links")
 def _(spark, sf):
-    return K.merges(line_tree(spark, sf), chunk=64)
+    return K.merges(line_tree(spark, sf), ranges=32)
 
 
 @query("K3_linkage_tree", "SELECT * FROM tree")

@@ -53,7 +53,7 @@ def test_merges_equal_union_find_and_bisection_agrees(spark):
     tree = spark.createDataFrame([(a, b, d) for d, a, b in edges], "src long, dst long, distance double").cache()
     whole = sorted(tuple(r) for r in K.merges(tree).collect())
     assert [(r[3], r[4]) for r in whole] == brute_merges([(d, a, b) for d, a, b in edges])
-    assert sorted(tuple(r) for r in K.merges(tree, chunk=16).collect()) == whole
+    assert sorted(tuple(r) for r in K.merges(tree, ranges=16).collect()) == whole
 
 
 def test_two_pairs(spark):
@@ -139,3 +139,36 @@ def test_regions_are_contiguous(spark, regional):
     assert parts.groupBy("parent_cluster_id").agg(F.countDistinct("component").alias("k")).filter("k > 1").count() == 0
     with pytest.raises(ValueError):
         K.regionalise(nodes, links, [26], "sal")
+
+
+def _line(spark, xs):
+    nodes = spark.createDataFrame([(f"{i:03d}", float(x), 0.0) for i, x in enumerate(xs)], "id string, x double, y double")
+    edges = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(len(xs) - 1)], "src string, dst string")
+    return nodes, edges
+
+
+def _groups(spark, nodes, links, k):
+    out = {}
+    for r in K.regionalise(nodes, links, [k], "sal").collect():
+        out.setdefault(r.parent_cluster_id, []).append(int(r.node_id))
+    return sorted(map(sorted, out.values()))
+
+
+def test_cut_takes_the_closest_first(spark):
+    nodes, edges = _line(spark, [0, 50, 200, 201, 202.5])
+    links = K.regional_linkage(nodes, edges, "sal").cache()
+    assert _groups(spark, nodes, links, 3) == [[0], [1], [2, 3, 4]]
+    assert _groups(spark, nodes, links, 2) == [[0, 1], [2, 3, 4]]
+
+
+def test_hub_takes_its_arms_in_one_round(spark):
+    from quartermark.session import scratch_root
+
+    n = 40
+    nodes = spark.createDataFrame([("hub", 0.0, 0.0)] + [(f"leaf{i:02d}", float(i + 1), 0.0) for i in range(n)], "id string, x double, y double")
+    edges = spark.createDataFrame([(f"leaf{i:02d}", "hub") for i in range(n)], "src string, dst string")
+    rows = sorted(K.regional_linkage(nodes, edges, "sal").collect(), key=lambda r: r.merge_step)
+    assert scratch_root(spark)
+    assert [r.rep_b for r in rows] == [f"leaf{i:02d}" for i in range(n)]
+    assert [r.distance for r in rows] == [float(i + 1) for i in range(n)] and [r.n_obs for r in rows] == list(range(2, n + 2))
+    assert [(r.cluster_a, r.cluster_b) for r in rows] == [(0, 1)] + [(i + 1, n + i) if i + 1 < n + i else (n + i, i + 1) for i in range(1, n)] 
