@@ -136,7 +136,8 @@ def score(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "t
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     points = vocabulary(own, "text", size)
     base = len(points) + FIRST
-    wanted = target.select(F.col(target.columns[0]).alias("__id")).filter("__id is not null").distinct().withColumn("__in", F.lit(True))
+    # Target ids grow with the corpus, so they are never broadcast: the join shuffles at every size.
+    wanted = target.select(F.col(target.columns[0]).alias("__id")).filter("__id is not null").distinct().withColumn("__in", F.lit(True)).hint("merge")
     marked = own.join(wanted, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__in", F.lit(False)).alias("target"))
     found = cut(counts(marked, points, order)).toArrow()
     dense = np.zeros((2, base**order))
