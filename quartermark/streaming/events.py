@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ EVENT_SCHEMA = T.StructType(
 def event_stream(
     spark: SparkSession, path: str, delay: str, schema: T.StructType = EVENT_SCHEMA, max_files: int | None = None
 ) -> DataFrame:
-    """N1. Event files as a stream; rows later than `delay` behind the newest event time are dropped
-    by the stateful jobs downstream."""
+    """N1. Event files as a stream; rows more than `delay` behind the newest event time of earlier
+    batches are dropped by the stateful jobs downstream."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -39,50 +40,80 @@ def event_stream(
 
 
 def signed_events(events: DataFrame, layer: str, item: str, size: str, load: str, unload: str) -> DataFrame:
-    """Events in the shape (ts, layer, item, bytes, reason) of load and unload."""
+    """Events in the shape (ts, event_id, layer, item, bytes, reason) of load and unload."""
     reason = F.when(F.col("event_type") == load, "load").when(F.col("event_type") == unload, "unload")
     return events.select(
-        "ts", F.col(layer).cast("string").alias("layer"), F.col(item).cast("string").alias("item"), F.col(size).cast("long").alias("bytes"), reason.alias("reason")
+        "ts", "event_id", F.col(layer).cast("string").alias("layer"), F.col(item).cast("string").alias("item"), F.col(size).cast("long").alias("bytes"), reason.alias("reason")
     ).filter(F.col("reason").isNotNull())
 
 
-class ItemDelta(StatefulProcessor):
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows of one call: a key's rows arrive in several pieces, in no order."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+
+
+class Expiring(StatefulProcessor):
+    """State of a key goes once event time is `ttl_ms` past its newest event."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def keep_until(self, newest: pd.Timestamp) -> None:
+        due = int(newest.timestamp() * 1000) + self.ttl_ms
+        for timer in list(self.handle.listTimers()):
+            if timer >= due:
+                return
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def close(self) -> None:
+        pass
+
+
+class ItemDelta(Expiring):
     """Signed size of each event of one (layer, item): a load adds its size, an unload takes back the
     recorded one, or nothing if none is recorded."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.size = handle.getValueState("size", "bytes long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.size.get()[0] if self.size.exists() else 0
-        for pdf in rows:
-            pdf = pdf.sort_values("ts", kind="stable")
-            delta = []
-            for reason, size in zip(pdf["reason"], pdf["bytes"]):
-                if reason == "load":
-                    held = int(size)
-                    delta.append(held)
-                else:
-                    delta.append(-held)
-                    held = 0
-            yield pd.DataFrame(
-                {
-                    "ts": pdf["ts"], "layer": key[0], "item": key[1], "reason": pdf["reason"], "delta": delta,
-                    "items": [1 if r == "load" else -1 for r in pdf["reason"]],
-                }
-            )
-        self.size.update((held,))
-
-    def close(self) -> None:
-        pass
+        pdf = _in_order(rows)
+        load = (pdf["reason"] == "load").to_numpy()
+        after = np.where(load, pdf["bytes"].to_numpy(), 0)
+        before = np.concatenate([[self.size.get()[0] if self.size.exists() else 0], after[:-1]])
+        self.size.update((int(after[-1]),))
+        self.keep_until(pdf["ts"].iloc[-1])
+        yield pd.DataFrame(
+            {
+                "ts": pdf["ts"], "layer": key[0], "item": key[1], "reason": pdf["reason"], "delta": np.where(load, after, -before),
+                "items": np.where(load, 1, -1).astype(np.int32),
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.size.clear()
+        yield pd.DataFrame()
 
 
 DELTA = "ts timestamp, layer string, item string, reason string, delta long, items int"
 
 
-def item_deltas(events: DataFrame) -> DataFrame:
-    """N2, first half. State is keyed by (layer, item), so a hot layer spreads over its items."""
-    return events.groupBy("layer", "item").transformWithStateInPandas(ItemDelta(), DELTA, "Append", "none")
+#: How long an idle key's state is kept, in event time.
+TTL_MS = 90 * 24 * 3600 * 1000
+
+
+def item_deltas(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+    """N2, first half. State is keyed by (layer, item), so a hot layer spreads over its items.
+
+    Runs in event time: rows behind the watermark are dropped, and an item without events for
+    `ttl_ms` is forgotten.
+    """
+    return events.groupBy("layer", "item").transformWithStateInPandas(ItemDelta(ttl_ms), DELTA, "Append", "eventTime")
 
 
 def write_running_totals(events: DataFrame, deltas_path: str, checkpoint: str):
@@ -104,48 +135,52 @@ def running_totals(deltas: DataFrame) -> DataFrame:
     )
 
 
-class EmaState(StatefulProcessor):
+class EmaState(Expiring):
     """Per key: moving average of the rate, count of long gaps, last gaps, time of the last event."""
 
-    def __init__(self, alpha: float, start: float, long_gap: float, max_gap: float, history: int):
+    def __init__(self, alpha: float, start: float, long_gap: float, max_gap: float, history: int, ttl_ms: int):
+        super().__init__(ttl_ms)
         self.alpha, self.start, self.long_gap, self.max_gap, self.history = alpha, start, long_gap, max_gap, history
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "last double, ema double, longs long, seen long, gaps array<double>")
+        super().init(handle)
+        self.state = handle.getValueState("ema", "last long, ema double, longs long, seen long, gaps array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, ema, longs, seen, gaps = self.state.get() if self.state.exists() else (None, self.start, 0, 0, [])
-        gaps = list(gaps)
-        for pdf in rows:
-            for t in sorted(ts.timestamp() for ts in pdf["ts"]):
-                gap = None if last is None else t - last
-                last = t
-                if gap is None or not 0 < gap < self.max_gap:
-                    continue
-                ema = ema * (1 - self.alpha) + self.alpha / gap
-                longs += gap > self.long_gap
-                seen += 1
-                gaps = (gaps + [gap])[-self.history :]
-        self.state.update((last, float(ema), int(longs), int(seen), gaps))
+        pdf = _in_order(rows)
+        micros = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        gap = np.diff(micros if last is None else np.concatenate([[last], micros])) / 1e6
+        gap = gap[(gap > 0) & (gap < self.max_gap)]
+        age = np.arange(len(gap))[::-1]
+        ema = ema * (1 - self.alpha) ** len(gap) + float((self.alpha * (1 - self.alpha) ** age / gap).sum())
+        longs, seen = longs + int((gap > self.long_gap).sum()), seen + len(gap)
+        gaps = [*gaps, *gap.tolist()][-self.history :]
+        newest = int(micros[-1]) if last is None else max(int(last), int(micros[-1]))
+        self.state.update((newest, float(ema), int(longs), int(seen), gaps))
+        self.keep_until(pdf["ts"].iloc[-1])
         yield pd.DataFrame({"key": [str(key[0])], "ema": [float(ema)], "long_gaps": [int(longs)], "n_gaps": [int(seen)], "history": [len(gaps)]})
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame()
 
 
 EMA = "key string, ema double, long_gaps long, n_gaps long, history int"
 
 
 def ema_stream(
-    events: DataFrame, key: str, alpha: float = 0.1, start: float = 60.0, long_gap: float = 0.05, max_gap: float = 5.0, history: int = 120
+    events: DataFrame, key: str, alpha: float = 0.1, start: float = 60.0, long_gap: float = 0.05, max_gap: float = 5.0, history: int = 120,
+    ttl_ms: int = TTL_MS,
 ) -> DataFrame:
     """N3. Moving average of the event rate per key with a long-gap counter and a bounded history.
 
     The average depends on the order of a key's events, so a key is one state; spread a hot source
-    by keying on (source, session) as the feed does.
+    by keying on (source, session) as the feed does. Rows behind the watermark are dropped; a key
+    without events for `ttl_ms` of event time starts anew.
     """
-    return events.select("ts", F.col(key).cast("string").alias("key")).groupBy("key").transformWithStateInPandas(
-        EmaState(alpha, start, long_gap, max_gap, history), EMA, "Update", "none"
+    return events.select("ts", "event_id", F.col(key).cast("string").alias("key")).groupBy("key").transformWithStateInPandas(
+        EmaState(alpha, start, long_gap, max_gap, history, ttl_ms), EMA, "Update", "eventTime"
     )
 
 

@@ -66,10 +66,11 @@ def _source(spark, sf, delay="40 days"):
     return E.event_stream(spark, f"{sf}/events.parquet*", delay)
 
 
-def _drain(df, mode, spark, keys=None):
+def _drain(df, mode, spark, keys=None, place=None):
     """Run a stream over the available files and return what its sink holds at the end: every row in
-    append mode, the last batch in complete mode, the last row per key in update mode."""
-    out, check = scratch_path(spark, "stream"), scratch_path(spark, "offsets")
+    append mode, the last batch in complete mode, the last row per key in update mode. `place` is the
+    sink and checkpoint of an earlier run to go on from."""
+    out, check = place or (scratch_path(spark, "stream"), scratch_path(spark, "offsets"))
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -90,8 +91,15 @@ def _rocksdb(spark):
 
 @query("N1_event_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
-    rows = _drain(_source(spark, sf).select("event_type"), "append", spark)
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """All events, then the oldest ones once more: these are behind the watermark and must not count."""
+    events, landing = _events(spark, sf), scratch_path(spark, "landing")
+    place = scratch_path(spark, "stream"), scratch_path(spark, "offsets")
+    oldest = events.filter(F.col("ts") < events.agg(F.min("ts") + F.expr("interval 5 days")).scalar())
+    for part in (events, oldest):
+        part.write.mode("append").parquet(landing)
+        days = E.window_counts(E.event_stream(spark, landing, "2 days"), "1 day", keys=["event_type"])
+        rows = _drain(days, "update", spark, ["start", "event_type"], place)
+    return rows.groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @query("N2_running_totals", """
@@ -109,12 +117,15 @@ def _(spark, sf):
 
 
 @query("N3_ema_stream", """
-SELECT CAST(user_id AS VARCHAR) AS key, count(*) FILTER (WHERE g > 7.2e9 AND g < 3.6e10) AS long_gaps, count(*) FILTER (WHERE g > 0 AND g < 3.6e10) AS n_gaps,
-  CAST(least(120, count(*) FILTER (WHERE g > 0 AND g < 3.6e10)) AS INTEGER) AS history
-FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events) GROUP BY 1""")
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) FILTER (WHERE ok AND g > 7.2e9) AS long_gaps, count(*) FILTER (WHERE ok) AS n_gaps,
+  CAST(least(120, count(*) FILTER (WHERE ok)) AS INTEGER) AS history,
+  round(60 * pow(0.9::DOUBLE, count(*) FILTER (WHERE ok)) + coalesce(sum(0.1::DOUBLE * pow(0.9::DOUBLE, age) / (g / 1e6::DOUBLE)) FILTER (WHERE ok), 0), 6) AS ema
+FROM (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM
+ (SELECT *, coalesce(g > 0 AND g < 3.6e10, false) AS ok FROM
+  (SELECT user_id, ts, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events))) GROUP BY 1""")
 def _(spark, sf):
     _rocksdb(spark)
-    return _drain(E.ema_stream(_source(spark, sf), "user_id", 0.1, 60.0, 7200, 36000), "update", spark, ["key"]).drop("ema")
+    return _drain(E.ema_stream(_source(spark, sf), "user_id", 0.1, 60.0, 7200, 36000), "update", spark, ["key"]).withColumn("ema", r6("ema"))
 
 
 WINDOW_SQL = """SELECT time_bucket(INTERVAL {size}, ts) AS start, time_bucket(INTERVAL {size}, ts) + INTERVAL {size} AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"""
