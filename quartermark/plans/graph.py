@@ -24,10 +24,9 @@ def pointer_jump(parents: DataFrame) -> DataFrame:
     cur = cut(parents.select("node", F.col("parent").alias("root")))
     while True:
         up = cur.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-        nxt = cut(cur.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")))
-        if nxt.filter("__moved").isEmpty():
-            return nxt.drop("__moved")
-        cur = nxt.drop("__moved")
+        cur = cut(cur.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")), cur)
+        if cur.filter("__moved").isEmpty():
+            return cur.drop("__moved")
 
 
 def _links(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -51,7 +50,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        cur = cut(small.filter(F.col("u") != F.col("v")).distinct())
+        cur = cut(small.filter(F.col("u") != F.col("v")).distinct(), cur)
         seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
@@ -211,7 +210,7 @@ def mst(points: DataFrame, occupancy: int = OCCUPANCY, pair_work: int = PAIR_WOR
                 continue
             found.append(choice.select("src", "dst", "d2").distinct())
             roots = _hook(choice).select(F.col("node").alias("comp"), "root")
-            pts = cut(pts.join(roots, "comp", "left").select("id", "x", "y", F.coalesce("root", "comp").alias("comp")))
+            pts = cut(pts.join(roots, "comp", "left").select("id", "x", "y", F.coalesce("root", "comp").alias("comp")), pts)
             left = pts.select("comp").distinct().count()
     edges = found[0]
     for more in found[1:]:
@@ -288,7 +287,7 @@ def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
                     t: F.coalesce(F.concat(F.lit("C"), F.col("__l").cast("string")), t),
                 }
             ).drop("__c", "__n", "__l")
-        cur = cut(tagged.filter("low").select(*cur.columns).unionByName(up.select(*cur.columns)))
+        cur = cut(tagged.filter("low").select(*cur.columns).unionByName(up.select(*cur.columns)), cur)
         span = half
     return cur.groupBy(F.floor(F.col("rank") / chunk).alias("seg")).applyInPandas(
         lambda pdf: _union_find(pdf), "merge_idx long, left_id string, right_id string, distance double, size long"
@@ -522,7 +521,7 @@ def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str) -> DataFrame
             side("hu", "hv", "hs"), side("hv", "hu", "hd"), "d", "w",
         )
         mean = (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d")
-        cur = cut(nxt.groupBy("src", "dst").agg(mean, *[F.max(c).alias(c) for c in ("ns", "nd", "hs", "hd")]))
+        cur = cut(nxt.groupBy("src", "dst").agg(mean, *[F.max(c).alias(c) for c in ("ns", "nd", "hs", "hd")]), cur)
     if not done:
         raise ValueError("no two regions touch")
     rows = done[0]

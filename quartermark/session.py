@@ -46,17 +46,24 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write `df` to a table in the checkpoint folder and return it read back, lineage dropped.
 
     Used by iterative jobs: each round reads files, so a lost executor repeats one round's tasks
     rather than the whole loop. The files give the next round true sizes, so joins with what has
-    become small are broadcast under the usual threshold, and even partitions.
+    become small are broadcast under the usual threshold, and even partitions. `replaces` is an
+    earlier cut that nothing reads any more; its files go once the new ones are written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    old = getattr(replaces, "_cut_path", None)
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def salt(n: int, *cols: Column | str) -> Column:

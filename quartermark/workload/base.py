@@ -332,13 +332,12 @@ VIEWS["naive"] = """
          t.y + 1.2815515655446004 * (sigma * sqrt(ceil(k / season))) AS y_hat_hi_80,
          t.y - 1.959963984540054 * (sigma * sqrt(ceil(k / season))) AS y_hat_lo_95,
          t.y + 1.959963984540054 * (sigma * sqrt(ceil(k / season))) AS y_hat_hi_95
-  FROM (SELECT unique_id, season, mon, h, max(ds) AS last_ds, sqrt(sum(dd * dd) / count(dd)) AS sigma
+  FROM (SELECT unique_id, season, mon, max(ds) AS last_ds, sqrt(sum(dd * dd) / count(dd)) AS sigma, unnest(range(1, h + 1)) AS k
         FROM (SELECT *, CASE WHEN unique_id LIKE 'rental|%' THEN 4 ELSE 1 END AS season,
                      CASE WHEN unique_id LIKE 'rental|%' THEN 3 ELSE 12 END AS mon,
                      CASE WHEN unique_id LIKE 'rental|%' THEN 4 ELSE 2 END AS h,
                      y - lag(y, CASE WHEN unique_id LIKE 'rental|%' THEN 4 ELSE 1 END) OVER (PARTITION BY unique_id ORDER BY ds) AS dd
-              FROM long) GROUP BY ALL HAVING count(dd) > 0) u
-  JOIN (VALUES (1), (2), (3), (4)) kk(k) ON k <= h
+              FROM long) GROUP BY unique_id, season, mon, h HAVING count(dd) > 0) u
   JOIN (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS back FROM long) t
     ON t.unique_id = u.unique_id AND t.back = season - (k - 1) % season"""
 
