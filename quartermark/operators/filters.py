@@ -23,6 +23,11 @@ def region_series(df: DataFrame, tier: str, code: str) -> DataFrame:
     return hit.select(*REGION_ORDER, "value", "source_file").orderBy(*REGION_ORDER)
 
 
+def by_region(table: DataFrame, tier: str, codes: list[str]) -> DataFrame:
+    """C1-C3 over a table written by (tier, code): both conditions reach the reader."""
+    return table.filter((F.col("tier") == tier) & F.col("code").isin(codes))
+
+
 def region_forecast(df: DataFrame, tier: str, code: str) -> DataFrame:
     """C2."""
     keep = [

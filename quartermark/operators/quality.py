@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quartermark.operators import windows
 from quartermark.operators.sets import PAIRS
 from quartermark.schemas import BANDS, CLUSTER_METHODS, DIRECT_METHODS
 
@@ -30,9 +31,8 @@ def quality_gate(diag: DataFrame, thresholds: dict[str, float] = THRESHOLDS) ->
     limit = F.lit(None).cast("double")
     for name, value in thresholds.items():
         limit = F.when(F.col("data_type") == name, F.lit(value)).otherwise(limit)
-    med = diag.filter(F.col("smape").isNotNull()).groupBy(market.alias("data_type")).agg(
-        F.median("smape").alias("median_smape"), F.count(F.lit(1)).alias("n_series")
-    )
+    rows = diag.filter(F.col("smape").isNotNull()).select(market.alias("data_type"), "series_id", "smape")
+    med = windows.exact_median(rows, ["data_type"], "smape", "series_id", "median_smape", "n_series")
     gated = med.withColumn("threshold", limit).filter(F.col("threshold").isNotNull())
     return gated.withColumn("breach", F.col("median_smape") > F.col("threshold"))
 
@@ -122,7 +122,8 @@ def classify_diffs(presence: DataFrame, diffs: DataFrame) -> DataFrame:
         )
         .otherwise(P6)
     )
-    return counted.join(sizes, dims).withColumn("pattern", pattern)
+    # One row per slice, a fixed list of at most 18: the bound of what is broadcast here and below.
+    return counted.join(F.broadcast(sizes), dims).withColumn("pattern", pattern)
 
 
 def lineage_rollup(classified: DataFrame, diffs: DataFrame, k: int = 5) -> DataFrame:
@@ -137,7 +138,7 @@ def lineage_rollup(classified: DataFrame, diffs: DataFrame, k: int = 5) -> DataF
         F.slice(F.array_sort(F.collect_list(example)), 1, k).alias("examples"),
     )
     tagged = diffs.join(
-        classified.select("tier", "dwelling_type", "bedrooms", "pair", "pattern"),
+        F.broadcast(classified.select("tier", "dwelling_type", "bedrooms", "pair", "pattern")),
         ["tier", "dwelling_type", "bedrooms", "pair"],
     )
     polygons = tagged.select("pattern", "polygon").distinct().groupBy("pattern").agg(
@@ -149,7 +150,7 @@ def lineage_rollup(classified: DataFrame, diffs: DataFrame, k: int = 5) -> DataF
 def pattern_polygons(classified: DataFrame, diffs: DataFrame) -> DataFrame:
     """E18. The distinct polygons of each pattern as rows, so the set is never one value."""
     dims = ["tier", "dwelling_type", "bedrooms", "pair"]
-    return diffs.join(classified.select(*dims, "pattern"), dims).select("pattern", "polygon").distinct()
+    return diffs.join(F.broadcast(classified.select(*dims, "pattern")), dims).select("pattern", "polygon").distinct()
 
 
 def absence_reason(classified: DataFrame) -> DataFrame:

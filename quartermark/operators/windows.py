@@ -89,6 +89,15 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "idx
     return running_sums(df, keys, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, tie: str, name: str, count: str) -> DataFrame:
+    """Median per key and the number of rows, for groups of any size: the middle ranks of the global
+    order, so no task holds a group's values. `tie` is unique within a key."""
+    ranked = row_index(df.select(*keys, value, tie), keys, [value, tie], "__rank")
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    middle = F.col("__rank").between(F.floor((F.col(count) - 1) / 2), F.ceil((F.col(count) - 1) / 2))
+    return ranked.join(sizes, keys).filter(middle).groupBy(*keys).agg(F.avg(value).alias(name), F.max(count).alias(count))
+
+
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 32) -> DataFrame:
     """F7. Last n rows per key: n per salt first, then n of those."""
     return topk_per_group(df, keys, [F.col(c).desc() for c in order], n, salts, tie=order[-1])

@@ -95,17 +95,31 @@ def crosswalk(regions: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def touching_pairs(polys: DataFrame, key: str = "code", geom: str = "geom", dp: int = 9) -> DataFrame:
-    """D9. Pairs of polygons sharing a boundary vertex, least key first.
+    """D9. Pairs of polygons whose boundaries meet, least key first: a shared vertex, or a vertex of
+    one on an edge of the other.
 
-    Exact for coverages whose neighbours share vertices. Every pair the vertex join emits is a
-    touching pair, so it does no more work than the answer holds (times shared vertices).
+    Boundaries of a coverage meet in no other way. Shared vertices meet by equality. For the rest an
+    edge covers at most 2 x 2 cells of a grid as coarse as itself, and a vertex is looked up once per
+    grid size in use; every hit that passes the distance test is a touching pair.
     """
     grid = lambda v: F.round(v * 10**dp).cast("bigint")
     v = polys.select(key, F.explode(F.array_distinct(F.transform(G.vertices(geom), lambda p: F.struct(grid(p["x"]).alias("x"), grid(p["y"]).alias("y"))))).alias("v"))
     flat = v.select(key, "v.x", "v.y")
     other = flat.select(F.col(key).alias("dst"), "x", "y")
-    pairs = flat.withColumnRenamed(key, "src").join(other, ["x", "y"]).filter(F.col("src") < F.col("dst"))
-    return pairs.select("src", "dst").distinct()
+    pairs = flat.withColumnRenamed(key, "src").join(other, ["x", "y"]).filter(F.col("src") < F.col("dst")).select("src", "dst")
+    e = polys.select(F.col(key).alias("dst"), F.explode(G.edges(geom)).alias("e")).select("dst", "e.*")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    e = e.withColumn("__lv", F.ceil(F.log2(F.greatest(F.abs(dx), F.abs(dy), F.lit(10.0**-dp)))).cast("int"))
+    used = [r[0] for r in e.select("__lv").distinct().collect()]
+    span = lambda a, b: F.explode(F.sequence(_grid(F.least(a, b), F.col("__lv")), _grid(F.greatest(a, b), F.col("__lv"))))
+    cover = e.withColumn("__cx", span("x1", "x2")).withColumn("__cy", span("y1", "y2"))
+    points = polys.select(F.col(key).alias("src"), F.explode(F.array_distinct(G.vertices(geom))).alias("p")).select("src", "p.x", "p.y")
+    probe = points.withColumn("__lv", F.explode(F.array(*[F.lit(u) for u in used])) if used else F.lit(None).cast("int"))
+    probe = probe.withColumn("__cx", _grid(F.col("x"), F.col("__lv"))).withColumn("__cy", _grid(F.col("y"), F.col("__lv")))
+    off = F.abs(dx * (F.col("y") - F.col("y1")) - dy * (F.col("x") - F.col("x1"))) <= 10.0**-dp * F.hypot(dx, dy)
+    between = F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))
+    inside = probe.join(cover, ["__lv", "__cx", "__cy"]).filter((F.col("src") != F.col("dst")) & between & off)
+    return pairs.unionByName(inside.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).distinct()
 
 
 # --- L4, L6 ----------------------------------------------------------------------

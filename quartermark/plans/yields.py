@@ -149,7 +149,7 @@ def corroborate(df: DataFrame, hierarchy: DataFrame, explode_groups: bool = Fals
     nodes = hierarchy.filter(F.col("tier") == "sal").select(
         F.col("node_id").alias("geospatial_codes"), "cluster_level"
     )
-    levels = aggs.cluster_median(nodes.join(child, "geospatial_codes"), ["cluster_level"], "annual_rent", 1)
+    levels = windows.exact_median(nodes.join(child, "geospatial_codes"), ["cluster_level"], "annual_rent", "geospatial_codes", "median_val", "n_members")
     deepest = windows.top1(levels.select("cluster_level", "median_val"), "cluster_level")
     paired = joins.cross_scalar(parents, deepest)
     return paired.select(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quartermark.functions import columns as C
 from quartermark.functions import geometry as G
 from quartermark.session import scratch_root
 
@@ -35,6 +36,17 @@ def replace_slice(df: DataFrame, path: str, keys: list[str]) -> str:
     return path
 
 
+def write_by_region(df: DataFrame, path: str) -> str:
+    """B3 for lookups: one row per (tier, code) of each code list, a folder per tier, files in code order.
+
+    A lookup of a few codes then opens one folder and the row groups whose range holds them.
+    """
+    coded = df.withColumns({"tier": F.col("geospatial_type"), "code": F.explode(C.code_list("geospatial_codes"))})
+    order = ["tier", "code", *[c for c in ("data_type", "dwelling_type", "bedrooms", "time_bucket", "ds") if c in df.columns]]
+    coded.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("tier").parquet(path)
+    return path
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """B4. Columns in table order with table types; a NULL where none is allowed fails the write."""
     missing = [f.name for f in schema if f.name not in df.columns]

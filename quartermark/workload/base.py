@@ -18,6 +18,7 @@ from quartermark.plans import impute as I
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
 from quartermark.schemas import OBS_COLUMNS
+from quartermark.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,13 +148,18 @@ def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def filled_a(spark: SparkSession, sf: str) -> DataFrame:
-    o = obs(spark, sf)
+def obs_table(spark: SparkSession, sf: str) -> DataFrame:
+    """`obs` written once, for queries that read it several times."""
+    return cut(obs(spark, sf))
+
+
+def filled_a(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+    o = obs(spark, sf) if o is None else o
     return o.unionByName(I.impute_a(o))
 
 
-def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return I.impute(obs(spark, sf), crosswalk(spark, sf))
+def filled(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+    return I.impute(obs(spark, sf) if o is None else o, crosswalk(spark, sf))
 
 
 def cpi(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,26 +195,26 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def rental_long(spark: SparkSession, sf: str) -> DataFrame:
+def rental_long(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
     """Filtering on the market before the ids are built lets the other market's branch drop out."""
-    return S.long_frame(filled_a(spark, sf).filter(F.col("data_type") == "rental"))
+    return S.long_frame(filled_a(spark, sf, o).filter(F.col("data_type") == "rental"))
 
 
-def sales_long(spark: SparkSession, sf: str) -> DataFrame:
-    return S.long_frame(obs(spark, sf).filter(F.col("data_type") == "sales"))
+def sales_long(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+    return S.long_frame((obs(spark, sf) if o is None else o).filter(F.col("data_type") == "sales"))
 
 
-def forecasts(spark: SparkSession, sf: str) -> DataFrame:
+def forecasts(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
     """Baseline forecasts of every rental series and every sales series, in table form."""
-    rental = S.seasonal_naive(rental_long(spark, sf), 4)
-    sales = S.seasonal_naive(sales_long(spark, sf), 2, season=1, months=12)
+    rental = S.seasonal_naive(rental_long(spark, sf, o), 4)
+    sales = S.seasonal_naive(sales_long(spark, sf, o), 2, season=1, months=12)
     return S.annotate(rental, TODAY, date(2001, 9, 1), "naive_q", "nowcast_sarima_cpi").unionByName(
         S.annotate(sales, TODAY, None, "naive_annual", "nowcast_sarima_annual")
     )
 
 
-def yields_view(spark: SparkSession, sf: str) -> DataFrame:
-    o = obs(spark, sf)
+def yields_view(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+    o = obs_table(spark, sf) if o is None else o
     direct = Y.direct_yields(o)
     return direct.unionByName(Y.fallback_yields(o, direct, hierarchy(spark, sf)))
 

@@ -10,6 +10,8 @@ from quartermark.plans import impute as I
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
 from quartermark.schemas import SERIES_DIMS, SLICES
+from quartermark.session import cut
+from quartermark.sources import sinks
 from quartermark.workload import base as B
 from quartermark.workload.base import query, r6
 
@@ -25,6 +27,22 @@ def _(spark, sf):
     return filters.region_series(B.obs(spark, sf), "suburb", "20001")
 
 
+@query("C1_regions_prepared", """
+SELECT code, 'series' AS part, data_type, dwelling_type, bedrooms, time_bucket AS at, value FROM
+  (SELECT *, unnest(string_split(geospatial_codes, '-')) AS code FROM obs WHERE statistic = 'median' AND geospatial_type = 'suburb') WHERE code IN ('20001', '20003', '20004')
+UNION ALL SELECT code, 'forecast', data_type, dwelling_type, bedrooms, ds, round(y_hat, 6) FROM
+  (SELECT *, unnest(string_split(geospatial_codes, '-')) AS code FROM fc WHERE geospatial_type = 'suburb') WHERE code IN ('20001', '20003', '20004')""")
+def _(spark, sf):
+    """Series and forecasts of a set of regions in one plan, read from the prepared tables."""
+    o, codes = B.obs_table(spark, sf), ["20001", "20003", "20004"]
+    series = spark.read.parquet(sinks.write_by_region(filters.medians(o), sinks.scratch_path(spark, "series")))
+    ahead = spark.read.parquet(sinks.write_by_region(B.forecasts(spark, sf, o), sinks.scratch_path(spark, "ahead")))
+    cols = ["code", "part", "data_type", "dwelling_type", "bedrooms", "at", "value"]
+    a = filters.by_region(series, "suburb", codes).withColumns({"part": F.lit("series"), "at": F.col("time_bucket")})
+    b = filters.by_region(ahead, "suburb", codes).withColumns({"part": F.lit("forecast"), "at": F.col("ds"), "value": r6("y_hat")})
+    return a.select(*cols).unionByName(b.select(*cols)).withColumn("code", F.col("code").cast("string"))
+
+
 @query("C2_region_forecast", """
 SELECT data_type, dwelling_type, bedrooms, ds, round(y_hat, 6) AS y_hat, round(y_hat_lo_80, 6) AS y_hat_lo_80,
   round(y_hat_hi_80, 6) AS y_hat_hi_80, round(y_hat_lo_95, 6) AS y_hat_lo_95, round(y_hat_hi_95, 6) AS y_hat_hi_95,
@@ -212,7 +230,7 @@ def _(spark, sf):
 
 @query("D17_presence", "SELECT * FROM poly")
 def _(spark, sf):
-    return joins.presence(B.filled(spark, sf), B.forecasts(spark, sf))
+    return joins.presence(B.filled(spark, sf, o := B.obs_table(spark, sf)), B.forecasts(spark, sf, o))
 
 
 @query("D18_smallest_cluster", """
@@ -328,7 +346,8 @@ FROM (SELECT geospatial_type, dwelling_type, bedrooms, geospatial_codes, unnest(
       UNION ALL SELECT geospatial_type, dwelling_type, bedrooms, geospatial_codes, unnest(string_split(geospatial_codes, '-')), 'forecast' FROM fc)
 GROUP BY ALL""")
 def _(spark, sf):
-    return aggs.coverage(B.filled(spark, sf), B.forecasts(spark, sf))
+    o = B.obs_table(spark, sf)
+    return aggs.coverage(B.filled(spark, sf, o), B.forecasts(spark, sf, o))
 
 
 @query("E10_value_domain", "SELECT dwelling_type, bedrooms, min(value) AS value_min, max(value) AS value_max FROM obs WHERE statistic = 'median' AND data_type = 'rental' GROUP BY ALL")
@@ -547,7 +566,7 @@ def _(spark, sf):
 
 @query("H3_pairwise_diffs", "SELECT * FROM diffs")
 def _(spark, sf):
-    return sets.pairwise_diffs(joins.presence(B.filled(spark, sf), B.forecasts(spark, sf)))
+    return sets.pairwise_diffs(joins.presence(B.filled(spark, sf, o := B.obs_table(spark, sf)), B.forecasts(spark, sf, o)))
 
 
 @query("H4_orphan_codes", """
@@ -612,7 +631,8 @@ def _(spark, sf):
 
 
 def _lineage(spark, sf):
-    p = joins.presence(B.filled(spark, sf), B.forecasts(spark, sf))
+    o = B.obs_table(spark, sf)
+    p = cut(joins.presence(B.filled(spark, sf, o), B.forecasts(spark, sf, o)))
     d = sets.pairwise_diffs(p)
     return quality.classify_diffs(p, d), d
 

@@ -152,7 +152,8 @@ VIEWS["borrowed"] = """
 
 
 def _borrowed(spark, sf):
-    return Y.borrowed_sales(B.obs(spark, sf), B.yields_view(spark, sf), B.forecasts(spark, sf), B.TODAY)
+    o = B.obs_table(spark, sf)
+    return Y.borrowed_sales(o, B.yields_view(spark, sf, o), B.forecasts(spark, sf, o), B.TODAY)
 
 
 @query("J11_borrowed_models", "SELECT series_id, geospatial_codes, 'bedroom_borrowed' AS model, 'none' AS exog, 'unknown' AS source_class, CAST(NULL AS INTEGER) AS ar_p FROM borrowed")
@@ -240,7 +241,8 @@ VIEWS["yser"] = """
 
 
 def _yser(spark, sf):
-    return S.yield_series(S.region_points(B.filled(spark, sf)), S.forecast_points(B.forecasts(spark, sf)))
+    o = B.obs_table(spark, sf)
+    return S.yield_series(S.region_points(B.filled(spark, sf, o)), S.forecast_points(B.forecasts(spark, sf, o)))
 
 
 @query("J17_yield_series", "SELECT tier, code, dwelling_type, bedrooms, ts, round(value, 9) AS value, qualifier, series_qualifier FROM yser")

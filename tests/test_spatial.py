@@ -109,3 +109,10 @@ def test_conform_refuses_null(spark):
     assert sinks.conform(ok, want).first().a == 1
     with pytest.raises(Exception, match="NULL in a"):
         sinks.conform(spark.createDataFrame([(None,)], "a string"), want).collect()
+
+
+def test_contact_inside_an_edge(spark):
+    rows = [("big", square(0.0, 0.0, 2.0, 2.0)), ("side", square(2.0, 0.5)), ("corner", square(3.0, 1.5)), ("far", square(5.0, 5.0)), ("near", square(2.001, 3.0))]
+    polys = spark.createDataFrame(rows, "code string, geom array<array<array<struct<x:double,y:double>>>>")
+    got = {(r.src, r.dst) for r in P.touching_pairs(polys).collect()}
+    assert got == {("big", "side"), ("corner", "side")}
