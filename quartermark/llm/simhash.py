@@ -15,7 +15,8 @@ proportion to the rows however many near copies meet.
 
 `similar` serves similarities where many bits differ. It uses wide fingerprints, bands of bits as long
 as the corpus asks for, and compares each row of a meeting with one leader that changes from band to
-band: at most one comparison per row and band.
+band: at most one comparison per row and band. Distances near the threshold's expectation are
+confirmed on the texts' shingles.
 
 Texts without words have fingerprint zero and link like any other. Copies of a fingerprint are one
 row of the table. Null ids take part in links but are never a component's id.
@@ -231,14 +232,14 @@ def _banded(classes: DataFrame, bands: int, band_bits: int) -> DataFrame:
     return classes.select("node", "fp").mapInArrow(run, "node long, band int, key long")
 
 
-def similar(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, lanes: int = LANES) -> DataFrame:
-    """Links (src, dst) between nodes of distinct wide fingerprints of about that similarity or more.
+def compared(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, lanes: int = LANES) -> DataFrame:
+    """Pairs (src, dst, apart) of nodes that met and whose distance does not rule the similarity out.
 
     `classes` has node (a 64-bit hash) and fp. Bands are as long as the base-2 logarithm of the table,
     so that unrelated rows seldom meet; more bands raise the share of links found at the threshold
     itself. Only nodes and keys are shuffled; fingerprints join the pairs that have met.
     """
-    most = bits_apart(similarity, 64 * lanes)
+    most = bits_apart(similarity, 64 * lanes, 2)
     band_bits = max(12, min(62, math.ceil(math.log2(classes.count() + 1)) + 1))
     banded = _banded(classes, bands, band_bits)
     leader = F.min_by("node", F.xxhash64("node", "band"))
@@ -252,9 +253,53 @@ def similar(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, lan
         for b in batches:
             if b.num_rows:
                 apart = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(axis=1)
-                yield b.select(["src", "dst"]).filter(pa.array(apart <= most))
+                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart.astype(np.int32))], ["src", "dst", "apart"])
+                yield out.filter(pa.array(apart <= most))
 
-    return pairs.select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long").distinct()
+    return pairs.select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long, apart int")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of nodes whose shingle sets have that Jaccard similarity; `texts` has node and text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [np.unique(shingle_hashes(x, width)).tobytes() for x in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    held = cut(texts.mapInArrow(sets, "node long, shingles binary"))
+    for side in ("src", "dst"):
+        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    return pairs.select("src", "dst", "src_set", "dst_set").mapInArrow(run, "src long, dst long")
+
+
+def similar(classes: DataFrame, docs: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of the nodes with similar others.
+
+    Distances far below the threshold's expectation are links as they are. Pairs nearer to it are
+    confirmed on the shingle sets of the texts, but for those whose ends are connected already.
+    """
+    met = cut(compared(classes, similarity))
+    sure = met.filter(F.col("apart") <= bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
+    groups = cut(components(sure))
+    open_ = met.filter(F.col("apart") > bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
+    for side in ("src", "dst"):
+        named = groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
+        open_ = open_.join(named, side, "left").withColumn(f"{side}_group", F.coalesce(f"{side}_group", side))
+    open_ = cut(open_.filter("src_group <> dst_group").select("src", "dst"))
+    wanted = open_.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(classes.select("node", "first"), "node")
+    rows = docs.select(F.col(id).alias("first"), F.col(text).alias("text")).join(wanted, "first")
+    texts = rows.groupBy("node").agg(F.min("text").alias("text"))
+    return components(sure.unionByName(_confirmed(open_, texts, width, similarity)))
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -265,7 +310,7 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     prints = cut(fingerprints(docs, id, text, width, LANES))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = cut(classes.withColumn("node", F.xxhash64("fp")))
-    found = cut(components(similar(classes, similarity)))
+    found = cut(similar(classes, docs, id, text, width, similarity))
     named = classes.drop("fp").join(found, "node", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     several = named.join(least, "component", "left").filter((F.col("rows") > 1) | F.col("least").isNotNull())

@@ -100,3 +100,20 @@ def test_representatives_keep_one_of_each_group_and_all_others(spark):
     for i, g in group.items():
         firsts.setdefault(g, i)
     assert {r.doc_id for r in kept} == {*firsts.values(), len(rows) - 1}
+
+
+def test_less_similar_texts_stay(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows, want = [], set()
+    for g in range(80):
+        base = [word() for _ in range(300)]
+        words = list(base)
+        while jaccard(" ".join(base), " ".join(words)) > (0.81 if g % 2 else 0.79):
+            words[rng.integers(300)] = word()
+        pair = [" ".join(base), " ".join(words)]
+        near = jaccard(*pair) >= 0.8
+        rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+        want |= {2 * g} if near else {2 * g, 2 * g + 1}
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= kept and len(kept - want) <= 8
