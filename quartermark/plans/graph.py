@@ -220,6 +220,10 @@ def mst(points: DataFrame, occupancy: int = OCCUPANCY, pair_work: int = PAIR_WOR
 
 # --- linkage (K2, K3, K5) -----------------------------------------------------------
 
+#: Parts a rank range is split into at each level of `merges`.
+RADIX = 8
+
+
 def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge the edges of one rank range in order; ends already carry their size and last merge."""
     parent: dict[str, str] = {}
@@ -249,8 +253,8 @@ def _union_find(pdf: pd.DataFrame) -> pd.DataFrame:
 def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
     """K2. Single-linkage merges of a spanning tree: (merge_idx, left_id, right_id, distance, size).
 
-    Edges are ranked by (distance, ids). The rank range is bisected: the upper half of a range only
-    needs the lower half contracted to its components, so both halves go on independently, with all
+    Edges are ranked by (distance, ids). Rank ranges are split RADIX ways at a time: a part only needs
+    the parts below it contracted to their components, so all parts go on independently, with all
     ranges of a level in one DataFrame. In the end there are at least `ranges` of them (as many as
     shuffle partitions if not given), each merged in order by one task.
     """
@@ -263,21 +267,22 @@ def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
         )
     )
     ranges = ranges or int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    depth = max(0, math.ceil(math.log2(ranges)))
-    chunk = max(1, -(-cur.count() // 2**depth))
-    span = chunk * 2**depth
+    depth = max(0, math.ceil(math.log(ranges, RADIX) - 1e-9))
+    chunk = max(1, -(-cur.count() // RADIX**depth))
+    span = chunk * RADIX**depth
     while span > chunk:
-        half = span // 2
-        tagged = cur.withColumns({"seg": F.floor(F.col("rank") / span), "low": F.col("rank") % span < half})
-        name = lambda c: F.concat_ws("#", F.col("seg").cast("string"), F.col(c))
-        low = tagged.filter("low").select("rank", "seg", name("u").alias("a"), name("v").alias("b"), "su", "sv")
+        tagged = cur.withColumns({"seg": F.floor(F.col("rank") / span), "part": F.floor(F.col("rank") % span / (span // RADIX))})
+        name = lambda c, part: F.concat_ws("#", F.col("seg").cast("string"), F.col(part).cast("string"), F.col(c))
+        above = F.explode(F.sequence(F.col("part") + 1, F.lit(RADIX - 1).cast("long")))
+        low = tagged.filter(F.col("part") < RADIX - 1).withColumn("above", above)
+        low = low.select("rank", name("u", "above").alias("a"), name("v", "above").alias("b"), "su", "sv")
         comp = cut(components(low, "a", "b"))
         ends = F.array(F.struct(F.col("a").alias("node"), F.col("su").alias("n")), F.struct(F.col("b").alias("node"), F.col("sv").alias("n")))
         nodes = low.select(F.explode(ends).alias("e")).select("e.*").distinct()
         size = nodes.join(comp, "node").groupBy("component").agg(F.sum("n").alias("n"))
         last = low.join(comp, low.a == comp.node).groupBy("component").agg(F.max("rank").alias("last"))
         info = comp.join(size.join(last, "component"), "component")
-        up = tagged.filter(~F.col("low")).withColumns({"a": name("u"), "b": name("v")})
+        up = tagged.filter("part > 0").withColumns({"a": name("u", "part"), "b": name("v", "part")})
         for end, k, s, t in (("a", "u", "su", "tu"), ("b", "v", "sv", "tv")):
             side = info.select(F.col("node").alias(end), F.col("component").alias("__c"), F.col("n").alias("__n"), F.col("last").alias("__l"))
             up = up.join(side, end, "left").withColumns(
@@ -287,8 +292,8 @@ def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
                     t: F.coalesce(F.concat(F.lit("C"), F.col("__l").cast("string")), t),
                 }
             ).drop("__c", "__n", "__l")
-        cur = cut(tagged.filter("low").select(*cur.columns).unionByName(up.select(*cur.columns)), cur)
-        span = half
+        cur = cut(tagged.filter("part = 0").select(*cur.columns).unionByName(up.select(*cur.columns)), cur)
+        span //= RADIX
     return cur.groupBy(F.floor(F.col("rank") / chunk).alias("seg")).applyInPandas(
         lambda pdf: _union_find(pdf), "merge_idx long, left_id string, right_id string, distance double, size long"
     )
