@@ -259,6 +259,15 @@ def compared(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, la
     return pairs.select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long, apart int")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least node within two links; equal labels mean connected ends."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("e"))
+    ends = ends.select("e.*")
+    near = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+    beyond = ends.join(near.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("beyond"))
+    return cut(near.join(beyond, "node").select("node", F.least("label", "beyond").alias("label")))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs of nodes whose shingle sets have that Jaccard similarity; `texts` has node and text."""
 
@@ -290,10 +299,10 @@ def similar(classes: DataFrame, docs: DataFrame, id: str, text: str, width: int
     """
     met = cut(compared(classes, similarity))
     sure = met.filter(F.col("apart") <= bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
-    groups = cut(components(sure))
+    groups = _labels(sure)
     open_ = met.filter(F.col("apart") > bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
     for side in ("src", "dst"):
-        named = groups.select(F.col("node").alias(side), F.col("component").alias(f"{side}_group"))
+        named = groups.select(F.col("node").alias(side), F.col("label").alias(f"{side}_group"))
         open_ = open_.join(named, side, "left").withColumn(f"{side}_group", F.coalesce(f"{side}_group", side))
     open_ = cut(open_.filter("src_group <> dst_group").select("src", "dst"))
     wanted = open_.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(classes.select("node", "first"), "node")
