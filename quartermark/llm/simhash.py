@@ -13,10 +13,10 @@ one-bit variants (of the bits outside the agreeing segments): two fingerprints w
 such a variant, and a variant has at most one fingerprint per such bit, so the work stays in
 proportion to the rows however many near copies meet.
 
-`similar` serves similarities where many bits differ. It uses wide fingerprints, bands of bits as long
-as the corpus asks for, and compares each row of a meeting with one leader that changes from band to
-band: at most one comparison per row and band. Distances near the threshold's expectation are
-confirmed on the texts' shingles.
+`similar` serves similarities where many bits differ, on the sets of shingles themselves. Rows meet on
+the first shingles of their sets in one order of all, rarer ones first: so many that two sets of the
+similarity share at least one. Each row of a meeting is compared with one leader.
+Every link is confirmed on the sets.
 
 Texts without words have fingerprint zero and link like any other. Copies of a fingerprint are one
 row of the table. Null ids take part in links but are never a component's id.
@@ -31,7 +31,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermark.llm.common import as_bytes, salted_left, slices
@@ -45,8 +45,8 @@ RADIUS = 2
 REFERENCES = 12
 #: Largest meeting in which pairs are formed.
 MEETING = 32
-#: Bands and lanes (of 64 bits) of wide fingerprints.
-BANDS, LANES = 56, 16
+#: Hash buckets that tell common shingles from rare ones.
+BUCKETS = 1 << 21
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANE_KEYS = np.array([0] + [xxhash.xxh64_intdigest(f"lane {i}".encode(), 0) for i in range(1, 64)], np.uint64)
@@ -206,57 +206,79 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     )
 
 
-# --- similarity on wide fingerprints ----------------------------------------------
+# --- similarity of shingle sets ---------------------------------------------------
 
 
-def bits_apart(similarity: float, bits: int, slack: float = 1.0) -> int:
-    """Bits in which texts of a Jaccard similarity are expected to differ, plus `slack` standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + slack * math.sqrt(bits * share * (1 - share)))
+def shingle_sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
+    """doc_id, node (hash of the set), shingles (sorted distinct hashes) of every row; null texts count as empty."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(x, width)).tobytes() for x in as_bytes(b.column(1))]
+            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array(sets, pa.binary())], ["doc_id", "node", "shingles"])
+
+    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, node long, shingles binary")
 
-def _banded(classes: DataFrame, bands: int, band_bits: int) -> DataFrame:
-    """node and a key per band: `band_bits` bits spread over the fingerprint."""
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """Twice the base-2 logarithm of how often the shingles of each hash bucket occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bits = np.unpackbits(_words(b.column(1)), axis=1)
-            order = np.random.default_rng(SEED)
-            for k in range(bands):
-                at = order.permutation(bits.shape[1])[:band_bits]
-                key = (bits[:, at].astype(np.int64) << np.arange(band_bits)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(key), k, np.int32)), pa.array(key)], ["node", "band", "key"])
+        seen = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches):
+            found = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
+            seen += np.bincount((found % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
+        cells = np.flatnonzero(seen)
+        for at in range(0, len(cells), 1 << 16):
+            part = cells[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["cell", "n"])
 
-    return classes.select("node", "fp").mapInArrow(run, "node long, band int, key long")
+    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(BUCKETS, np.uint8)
+    levels[found.column("cell").to_numpy()] = 2 * np.log2(found.column("n").to_numpy())
+    return levels
 
 
-def compared(classes: DataFrame, similarity: float = 0.8, bands: int = BANDS, lanes: int = LANES) -> DataFrame:
-    """Pairs (src, dst, apart) of nodes that met and whose distance does not rule the similarity out.
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, size (of its set), place, key: the shingles of each distinct set that come first in one order of all.
 
-    `classes` has node (a 64-bit hash) and fp. Bands are as long as the base-2 logarithm of the table,
-    so that unrelated rows seldom meet; more bands raise the share of links found at the threshold
-    itself. Only nodes and keys are shuffled; fingerprints join the pairs that have met.
+    Sets of at least that similarity share a key. Rarer shingles come first; that only saves work, any
+    order finds the same pairs.
     """
-    most = bits_apart(similarity, 64 * lanes, 2)
-    band_bits = max(12, min(62, math.ceil(math.log2(classes.count() + 1)) + 1))
-    banded = _banded(classes, bands, band_bits)
-    leader = F.min_by("node", F.xxhash64("node", "band"))
-    led = banded.groupBy("band", "key").agg(leader.alias("src"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    pairs = banded.join(led, ["band", "key"]).filter(F.col("node") != F.col("src"))
-    pairs = pairs.select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst")).distinct()
-    for side in ("src", "dst"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("fp").alias(f"{side}_fp")), side)
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets).tobytes())
+
+    def cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(levels.value, np.uint8)
+        for b in slices(batches):
+            sizes, keys = [], []
+            for x in b.column(1).to_pylist():
+                x = np.frombuffer(x, np.uint64)
+                order = np.argsort(level[(x % np.uint64(BUCKETS)).view(np.int64)], kind="stable")
+                sizes.append(len(x))
+                keys.append(x[order[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["node", "size", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                apart = np.bitwise_count(_words(b.column(2)) ^ _words(b.column(3))).sum(axis=1)
-                out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart.astype(np.int32))], ["src", "dst", "apart"])
-                yield out.filter(pa.array(apart <= most))
+        for b in slices(batches):
+            keys = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+            places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in keys])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(places), pa.array(np.concatenate(keys))], ["node", "size", "place", "key"])
+
+    distinct = sets.select("node", "shingles").mapInArrow(cut_off, "node long, size int, keys binary").dropDuplicates(["node"])
+    return distinct.mapInArrow(run, "node long, size int, place int, key long")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sets a and b that first meet at this key can share enough: no more than what comes from there on."""
+    rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    return rest * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
+
 
-    return pairs.select("src", "dst", "src_fp", "dst_fp").mapInArrow(run, "src long, dst long, apart int")
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of joined rows a and b."""
+    return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -268,13 +290,8 @@ def _labels(links: DataFrame) -> DataFrame:
     return cut(near.join(beyond, "node").select("node", F.least("label", "beyond").alias("label")))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs of nodes whose shingle sets have that Jaccard similarity; `texts` has node and text."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [np.unique(shingle_hashes(x, width)).tobytes() for x in as_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes whose shingle sets have that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -285,30 +302,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    held = cut(texts.mapInArrow(sets, "node long, shingles binary"))
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    held = cut(sets.select("node", "shingles").join(wanted, "node").dropDuplicates(["node"]))
     for side in ("src", "dst"):
         pairs = pairs.join(held.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
     return pairs.select("src", "dst", "src_set", "dst_set").mapInArrow(run, "src long, dst long")
 
 
-def similar(classes: DataFrame, docs: DataFrame, id: str, text: str, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component) of the nodes with similar others.
-
-    Distances far below the threshold's expectation are links as they are. Pairs nearer to it are
-    confirmed on the shingle sets of the texts, but for those whose ends are connected already.
-    """
-    met = cut(compared(classes, similarity))
-    sure = met.filter(F.col("apart") <= bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
-    groups = _labels(sure)
-    open_ = met.filter(F.col("apart") > bits_apart(similarity, 64 * LANES, -2)).select("src", "dst")
-    for side in ("src", "dst"):
-        named = groups.select(F.col("node").alias(side), F.col("label").alias(f"{side}_group"))
-        open_ = open_.join(named, side, "left").withColumn(f"{side}_group", F.coalesce(f"{side}_group", side))
-    open_ = cut(open_.filter("src_group <> dst_group").select("src", "dst"))
-    wanted = open_.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(classes.select("node", "first"), "node")
-    rows = docs.select(F.col(id).alias("first"), F.col(text).alias("text")).join(wanted, "first")
-    texts = rows.groupBy("node").agg(F.min("text").alias("text"))
-    return components(sure.unionByName(_confirmed(open_, texts, width, similarity)))
+def similar(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of the nodes with similar others; `sets` has node and shingles."""
+    prefixes = cut(_prefixes(sets, similarity))
+    row = F.struct("node", "size", "place")
+    led = prefixes.groupBy("key").agg(F.min(row).alias("b"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    met = cut(prefixes.select("key", row.alias("a")).join(led, "key"))
+    first = cut(_pairs(met.filter(F.col("a.node") != F.col("b.node")).filter(_possible(similarity))))
+    links = cut(_confirmed(first, sets, similarity))
+    return components(links)
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -316,13 +325,12 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
     Rows with a null id stay. Rows that share an id stay or go together.
     """
-    prints = cut(fingerprints(docs, id, text, width, LANES))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    classes = cut(classes.withColumn("node", F.xxhash64("fp")))
-    found = cut(similar(classes, docs, id, text, width, similarity))
-    named = classes.drop("fp").join(found, "node", "left")
+    sets = cut(shingle_sets(docs, id, text, width))
+    classes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
+    found = cut(similar(sets, similarity))
+    named = classes.join(found, "node", "left")
     least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     several = named.join(least, "component", "left").filter((F.col("rows") > 1) | F.col("least").isNotNull())
     several = several.select("node", F.coalesce("least", "first").alias("least"))
-    lost = salted_left(prints.select("doc_id", F.xxhash64("fp").alias("node")), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("__lost")).distinct()
+    lost = salted_left(sets.select("doc_id", "node"), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("__lost")).distinct()
     return docs.join(lost, docs[id] == F.col("__lost"), "left_anti")

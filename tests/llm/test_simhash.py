@@ -117,3 +117,17 @@ def test_less_similar_texts_stay(spark):
         want |= {2 * g} if near else {2 * g, 2 * g + 1}
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want <= kept and len(kept - want) <= 8
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows = []
+    for g in range(300):
+        base = [word() for _ in range(121)]
+        words = list(base)
+        words[10], words[60], words[118] = word(), word(), word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(words))]
+    assert jaccard(rows[0][1], rows[1][1]) == 0.8
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {2 * g for g in range(300)}
