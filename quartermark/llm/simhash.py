@@ -15,8 +15,9 @@ proportion to the rows however many near copies meet.
 
 `similar` serves similarities where many bits differ, on the sets of shingles themselves. Rows meet on
 the first shingles of their sets in one order of all, rarer ones first: so many that two sets of the
-similarity share at least one. Each row of a meeting is compared with one leader.
-Every link is confirmed on the sets.
+similarity share at least one. Each row of a meeting is compared with a few leaders first; then rows
+that are not connected to the first leader are compared with all rows of the meeting that they are not
+connected to, unless sizes and places rule the pair out. Every link is confirmed on the sets, so the result is exact.
 
 Texts without words have fingerprint zero and link like any other. Copies of a fingerprint are one
 row of the table. Null ids take part in links but are never a component's id.
@@ -47,6 +48,8 @@ REFERENCES = 12
 MEETING = 32
 #: Hash buckets that tell common shingles from rare ones.
 BUCKETS = 1 << 21
+#: Rows of a meeting that all others are compared with before pairs are formed.
+LEADERS = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANE_KEYS = np.array([0] + [xxhash.xxh64_intdigest(f"lane {i}".encode(), 0) for i in range(1, 64)], np.uint64)
@@ -281,15 +284,6 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, label): the least node within two links; equal labels mean connected ends."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("e"))
-    ends = ends.select("e.*")
-    near = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
-    beyond = ends.join(near.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("beyond"))
-    return cut(near.join(beyond, "node").select("node", F.least("label", "beyond").alias("label")))
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of nodes whose shingle sets have that Jaccard similarity."""
 
@@ -312,12 +306,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def similar(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the nodes with similar others; `sets` has node and shingles."""
     prefixes = cut(_prefixes(sets, similarity))
-    row = F.struct("node", "size", "place")
-    led = prefixes.groupBy("key").agg(F.min(row).alias("b"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    met = cut(prefixes.select("key", row.alias("a")).join(led, "key"))
-    first = cut(_pairs(met.filter(F.col("a.node") != F.col("b.node")).filter(_possible(similarity))))
+    several = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
+    met = cut(prefixes.join(several, "key"))
+    row, near = F.struct("node", "size", "place"), _possible(similarity)
+    leaders = met.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)))).alias("b"))
+    led = met.select("key", row.alias("a")).join(leaders.select("key", F.explode("b").alias("b")), "key")
+    first = cut(_pairs(led.filter(F.col("a.node") != F.col("b.node")).filter(near)))
     links = cut(_confirmed(first, sets, similarity))
-    return components(links)
+    named = met.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    heads = F.min_by("label", F.xxhash64("node", F.lit(0)))
+    open_ = named.groupBy("key").agg(heads.alias("led"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "led")
+    rows = cut(named.join(open_, "key"))
+    left = rows.filter(F.col("label") != F.col("led")).alias("a")
+    apart = left.join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & near)
+    rest = cut(_pairs(apart).join(first, ["src", "dst"], "left_anti"))
+    return components(links.unionByName(_confirmed(rest, sets, similarity)))
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

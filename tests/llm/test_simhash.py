@@ -131,3 +131,25 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert jaccard(rows[0][1], rows[1][1]) == 0.8
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == {2 * g for g in range(300)}
+
+
+def test_pairs_inside_groups_of_half_similar_texts_are_found(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    rows, passage, sheet = [], [word() for _ in range(150)], [word() for _ in range(120)]
+    for _ in range(80):
+        own = [word() for _ in range(45)]
+        for _ in range(2):
+            words = list(own)
+            for _ in range(2):
+                words[rng.integers(45)] = word()
+            rows.append((len(rows), " ".join(passage + words)))
+    for _ in range(90):
+        words = list(sheet)
+        for _ in range(rng.integers(1, 7)):
+            words[rng.integers(120)] = word()
+        rows.append((len(rows), " ".join(words)))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    found = classes(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(found.values())
