@@ -52,7 +52,6 @@ BUCKETS = 1 << 21
 LEADERS = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_LANE_KEYS = np.array([0] + [xxhash.xxh64_intdigest(f"lane {i}".encode(), 0) for i in range(1, 64)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,26 +75,22 @@ def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     return np.fromiter((digest(joined[a : b - 1], SEED) for a, b in spans), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(raw: bytes, width: int, lanes: int = 1) -> bytes:
-    """Big-endian fingerprint of 64 * lanes bits; lane 0 is the majority of the hashes themselves."""
+def fingerprint(raw: bytes, width: int) -> bytes:
+    """Big-endian fingerprint of 64 bits: the majority of the hashes."""
     hashes = shingle_hashes(raw, width)
     if not len(hashes):
-        return bytes(8 * lanes)
-    out = []
+        return bytes(8)
     columns = np.arange(8, dtype=np.int64) * 256
-    for lane in range(lanes):
-        h = hashes if not lane else mix(hashes ^ _LANE_KEYS[lane])
-        seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + columns).ravel(), minlength=2048).reshape(8, 256)
-        out.append(np.packbits(2 * (seen @ _BITS) > len(hashes), bitorder="little")[::-1].tobytes())
-    return b"".join(out)
+    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + columns).ravel(), minlength=2048).reshape(8, 256)
+    return np.packbits(2 * (seen @ _BITS) > len(hashes), bitorder="little")[::-1].tobytes()
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fp (binary) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            prints = [fingerprint(x, width, lanes) for x in as_bytes(b.column(1))]
+            prints = [fingerprint(x, width) for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 
     return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, fp binary")

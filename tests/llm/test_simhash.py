@@ -153,3 +153,13 @@ def test_pairs_inside_groups_of_half_similar_texts_are_found(spark):
     found = classes(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == set(found.values())
+
+
+def test_a_long_run_of_one_token_neither_joins_nor_parts_texts(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    one, two, three = ([word() for _ in range(100)] for _ in range(3))
+    texts = [one + ["-"] * 40, two + ["-"] * 40, three, three + ["-"] * 80]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {0, 1, 2}
