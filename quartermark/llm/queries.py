@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, language_id, lm_scoring, mixing, quality_rules, simhash, token_shards, toxicity, trie_dedup, warc
+from quartermark.llm import bpe_codec, language_id, lm_scoring, mixing, quality_rules, simhash, token_counts, token_shards, toxicity, trie_dedup, warc
 from quartermark.llm.common import documents, table
 
 
@@ -51,6 +51,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_shards": op2_token_shards,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLES = {
