@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quartermark.llm import bpe_codec, language_id, lm_scoring, mixing, quality_rules, simhash, token_counts, token_shards, toxicity, trie_dedup, warc
+from quartermark.llm import bpe_codec, collocations, language_id, lm_scoring, mixing, quality_rules, simhash, token_counts, token_shards, toxicity, trie_dedup, warc
 from quartermark.llm.common import documents, table
 
 
@@ -55,6 +55,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_shards": op2_token_shards,
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
     "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -146,4 +151,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > n_lines OR 2 * upper > greatest(1, upper + lower)
     OR word_chars < 2 * n_words OR word_chars > 16 * n_words) AS kept
 FROM b""",
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), t AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS s(k)
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), s AS (
+  SELECT lang, k, a, w, unnest(range(2, k)) AS size FROM c
+), x AS (
+  SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i FROM s
+), h AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM x GROUP BY ALL
+), u AS (
+  SELECT c.*, unnest(range(1, k)) AS cut FROM c LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), v AS (
+  SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * u.a // (l.f + r.f)) AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:cut], ' ')
+    JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[cut + 1:], ' ')
+), b AS (
+  SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b JOIN t USING (lang) QUALIFY rank <= 2000""",
 }
