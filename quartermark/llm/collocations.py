@@ -5,7 +5,8 @@ corpus by language and their two leading words, so each group holds all occurren
 group's suffix pointers are sorted by multikey three-way quicksort: pointers are parted by the word at
 the current depth into smaller, equal and larger ones; the size of an equal part is the count of the
 phrase up to that depth and the part goes on one word deeper. Parts of fewer than `least` pointers are
-abandoned, whatever they would still hold is rarer.
+abandoned, whatever they would still hold is rarer. Equal suffixes of a batch of texts travel as one
+pointer with a weight, and sizes are sums of weights.
 
 A group that is far larger than the others is routed again by three leading words, and what is still
 too large is counted where it lies and summed; the sizes of the prefixes that routing splits are summed
@@ -31,6 +32,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -57,7 +59,8 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)] = 1
 _KIND[list(PIECE_ENDS)] = 2
 _BORDER = re.compile(rb"[ \t.,;:!?\n-\r]")
-_SCHEMA = "lang string, part long, suffixes long, words binary, codes binary, phrase string, length int, f long"
+_SCHEMA = "lang string, part long, suffixes long, words binary, codes binary, weights binary, phrase string, length int, f long"
+_ARROW = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("suffixes", pa.int64()), *((c, pa.binary()) for c in ("words", "codes", "weights")), ("phrase", pa.string()), ("length", pa.int32()), ("f", pa.int64())])
 
 
 # --- suffixes of a text ---
@@ -75,7 +78,7 @@ def segments(raw: bytes, size: int, longest: int) -> Iterator[tuple[bytes, int]]
 
 
 def suffixes(raw: bytes, end: int, longest: int) -> tuple[pa.Array, np.ndarray]:
-    """(distinct words, codes): a column per suffix that starts before `end`; code -1 where its piece has ended."""
+    """(distinct words in order, codes): a column per suffix that starts before `end`; code -1 where its piece has ended."""
     data = np.frombuffer(raw, np.uint8)
     kind = _KIND[data]
     inside = np.concatenate([[False], kind == 0, [False]])
@@ -84,33 +87,40 @@ def suffixes(raw: bytes, end: int, longest: int) -> tuple[pa.Array, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     letters = data[kind == 0].tobytes()
     found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)]).dictionary_encode()
-    codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    order = pc.sort_indices(found.dictionary)
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    codes = place[found.indices.to_numpy(zero_copy_only=False)]
     piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     own = int(np.searchsorted(starts, end))
     table = np.full((longest, own), -1, np.int32)
     for k in range(longest):
         n = max(0, min(own, len(codes) - k))
         table[k, :n] = np.where(piece[k : k + n] == piece[:n], codes[k : k + n], -1)
-    return found.dictionary, table
+    return found.dictionary.take(order), table
 
 
-def equal_parts(table: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def equal_parts(table: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """(pointer, length, count) of every phrase of at least `least` of the suffixes in `table`.
 
     Multikey three-way quicksort of suffix pointers; smaller parts are abandoned.
     """
-    todo = [(np.arange(table.shape[1], dtype=np.int32), 0)]
+    todo, most = [(np.arange(table.shape[1], dtype=np.int32), 0)], int(weights.max(initial=0))
     while todo:
         pointers, depth = todo.pop()
-        if len(pointers) < least:
+        n = len(pointers)
+        if n < least and (n * most < least or weights[pointers].sum() < least):
             continue
         keys = table[depth][pointers]
         pivot = keys[len(keys) // 2]
         todo.append((pointers[keys < pivot], depth))
         todo.append((pointers[keys > pivot], depth))
+        if pivot < 0:
+            continue
         same = pointers[keys == pivot]
-        if pivot >= 0 and len(same) >= least:
-            yield int(same[0]), depth + 1, len(same)
+        size = int(weights[same].sum()) if len(same) * most >= least else 0
+        if size >= least:
+            yield int(same[0]), depth + 1, size
             if depth + 1 < len(table):
                 todo.append((same, depth + 1))
 
@@ -123,68 +133,105 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _packed(lang: str, words: pa.Array, table: np.ndarray, depth: int, parts: int) -> Iterator[dict[str, Any]]:
-    """Suffixes of at least `depth` words, those of one part together with the words they use."""
-    table = table[:, table[depth - 1] >= 0]
+def _distinct(table: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns in order, with their weights' sums."""
     if not table.shape[1]:
-        return
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        return table, weights
+    if table.max(initial=0) < 1 << (64 // len(table)) - 1:  # a column fits one word
+        bits = np.uint64(64 // len(table))
+        key = np.zeros(table.shape[1], np.uint64)
+        for row in table:
+            key = key << bits | (row + 1).astype(np.uint64)
+        order = np.argsort(key) if (weights != 1).any() else None
+        key = np.sort(key) if order is None else key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        shifts = bits * np.arange(len(table), dtype=np.uint64)[::-1]
+        mask = ~np.uint64(0) >> np.uint64(64 - int(bits))
+        columns = (key[first] >> shifts[:, None] & mask).astype(np.int32) - 1
+    else:
+        order = np.lexsort(table[::-1])
+        rows = table[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
+        columns = rows[:, first]
+    if order is None:
+        return columns, np.diff(np.append(first, len(weights)))
+    return columns, np.add.reduceat(weights[order], first)
+
+
+def _packed(lang: str, words: pa.Array, table: np.ndarray, weights: np.ndarray, depth: int, parts: int) -> Iterator[dict[str, Any]]:
+    """Suffixes of at least `depth` words, those of one part together with the words they use."""
+    far = table[depth - 1] >= 0
+    table, weights = table[:, far], weights[far]
+    names = words.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
     key = np.full(table.shape[1], xxhash.xxh64_intdigest(lang, depth), np.uint64)
     for k in range(depth):
         key = _mixed(key + hashes[table[k]])
     part = (key % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, table = part[order], table[:, order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    part, table, weights = part[order], table[:, order], weights[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+    zstd = pa.Codec("zstd", 1)
     for a, b in zip(cuts, cuts[1:]):
-        used, codes = np.unique(table[:, a:b], return_inverse=True)
-        none = int(used[0] == -1)
-        held = words.take(pa.array(used[none:])).to_pylist()
-        codes = codes.reshape(len(table), b - a) + 1 - none  # 0: the piece has ended
-        kind = "<u2" if len(held) < 1 << 16 else "<u4"
-        yield {"lang": lang, "part": int(part[a]), "suffixes": int(b - a), "words": b" ".join(held), "codes": codes.astype(kind).tobytes()}
-
-
-def _unpacked(words: list[bytes], codes: list[bytes], suffixes: list[int], longest: int) -> tuple[pa.Array, np.ndarray]:
-    """Distinct words of several packs and all their suffixes, as `suffixes` gives them."""
-    lists = [w.split(b" ") for w in words]
+        own = table[:, a:b]
+        if len(words) < 8 * own.size:
+            seen = np.zeros(len(words) + 1, bool)
+            seen[own + 1] = True
+            seen[0] = False
+            used = np.flatnonzero(seen) - 1
+            codes = np.cumsum(seen, dtype=np.int32)[own + 1]
+            codes[own < 0] = 0
+        else:
+            used, codes = np.unique(own, return_inverse=True)
+            none = int(used[0] == -1)
+            used, codes = used[none:], codes.reshape(own.shape).astype(np.int32) + 1 - none
+        codes, sums = _distinct(codes - 1, weights[a:b])
+        kind = "<u2" if len(used) < (1 << 16) - 1 else "<u4"
+        held = [b" ".join(map(names.__getitem__, used.tolist())), (codes + 1).astype(kind).tobytes(), sums.astype("<i8").tobytes()]
+        packs = [len(x).to_bytes(8, "little") + zstd.compress(x, asbytes=True) for x in held]
+        yield {"lang": lang, "part": int(part[a]), "suffixes": codes.shape[1]} | dict(zip(("words", "codes", "weights"), packs))
+
+
+def _unpacked(words: list[bytes], codes: list[bytes], weights: list[bytes], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of several packs, all their suffixes as `suffixes` gives them, and their weights."""
+    zstd = pa.Codec("zstd")
+    plain = lambda x: zstd.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+    lists = [plain(w).split(b" ") for w in words]
     found = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
-    shared, at, tables = found.indices.to_numpy(zero_copy_only=False).astype(np.int32), 0, []
-    for x, raw, n in zip(lists, codes, suffixes):
-        own = np.frombuffer(raw, "<u2" if len(raw) == 2 * n * longest else "<u4").astype(np.int64)
-        tables.append(np.concatenate([[np.int32(-1)], shared[at : at + len(x)]])[own].reshape(longest, n).astype(np.int32))
+    shared, at, tables, sums = found.indices.to_numpy(zero_copy_only=False).astype(np.int32), 0, [], []
+    for x, raw, w in zip(lists, codes, weights):
+        raw, n = plain(raw), np.frombuffer(plain(w), "<i8")
+        own = np.frombuffer(raw, "<u2" if len(raw) == 2 * len(n) * longest else "<u4").astype(np.int32)
+        tables.append(np.concatenate([[np.int32(-1)], shared[at : at + len(x)]])[own].reshape(longest, len(n)).astype(np.int32))
+        sums.append(n)
         at += len(x)
-    return found.dictionary, np.concatenate(tables, axis=1)
+    return found.dictionary, np.concatenate(tables, axis=1), np.concatenate(sums)
 
 
-def _counted(lang: str, words: pa.Array, table: np.ndarray, length: int) -> Iterator[dict[str, Any]]:
+def _counted(lang: str, words: pa.Array, table: np.ndarray, weights: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Occurrences of the phrases of exactly `length` words, to be summed."""
-    rows = table[:length, table[length - 1] >= 0]
-    if not rows.shape[1]:
-        return
-    order = np.lexsort(rows[::-1])
-    rows = rows[:, order]
-    first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)]))
-    sizes = np.diff(np.append(first, rows.shape[1]))
-    names = words.to_pylist()
-    for column, n in zip(rows[:, first].T.tolist(), sizes.tolist()):
-        yield {"lang": lang, "phrase": b" ".join(names[c] for c in column).decode(), "length": length, "f": n}
-
-
-def _rows(found: Iterator[dict[str, Any]]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of bounded bytes."""
-    names = ["lang", "part", "suffixes", "words", "codes", "phrase", "length", "f"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
-    schema = pa.schema(list(zip(names, kinds)))
+    far = table[length - 1] >= 0
+    rows, sums = _distinct(table[:length, far], weights[far])
+    for at in range(0, rows.shape[1], 1 << 16):
+        own = rows[:, at : at + (1 << 16)]
+        parts = [words.take(pa.array(x)) for x in own]
+        phrases = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" "))
+        n = own.shape[1]
+        known = {"lang": pa.array([lang] * n, pa.string()), "phrase": phrases.cast(pa.string()), "length": pa.array(np.full(n, length, np.int32)), "f": pa.array(sums[at : at + n])}
+        yield pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
+
+def _batches(packs: Iterator[dict[str, Any]]) -> Iterator[pa.RecordBatch]:
+    """Packs in batches of bounded bytes."""
     held, size = [], 0
-    for row in found:
+    for row in packs:
         held.append(row)
-        size += 64 + len(row.get("codes", b"")) + len(row.get("words", b"")) + len(row.get("phrase", ""))
+        size += 256 + len(row["codes"]) + len(row["words"]) + len(row["weights"])
         if size > 4 << 20:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield pa.RecordBatch.from_pylist(held, _ARROW)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+        yield pa.RecordBatch.from_pylist(held, _ARROW)
 
 
 def _routed(texts: DataFrame, longest: int, parts: int, batch: int) -> DataFrame:
@@ -210,13 +257,14 @@ def _routed(texts: DataFrame, longest: int, parts: int, batch: int) -> DataFrame
             raw = b"\n".join(own)
             yield lang, raw, len(raw)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, raw, end in joined(batches):
             words, table = suffixes(raw, end, longest)
-            yield from _counted(lang, words, table, 1)
-            yield from _packed(lang, words, table, 2, parts)
+            once = np.ones(table.shape[1], np.int64)
+            yield from _counted(lang, words, table, once, 1)
+            yield from _batches(_packed(lang, words, table, once, 2, parts))
 
-    return texts.mapInArrow(lambda batches: _rows(found(batches)), _SCHEMA)
+    return texts.mapInArrow(run, _SCHEMA)
 
 
 def _deeper(packs: DataFrame, longest: int, depth: int, parts: int) -> DataFrame:
@@ -225,34 +273,33 @@ def _deeper(packs: DataFrame, longest: int, depth: int, parts: int) -> DataFrame
     From the last depth on nothing is routed, all phrases are counted where they lie.
     """
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Any]]:
-        for b in byte_slices(batches, 3, 1 << 20):
-            for lang, n, words, codes in zip(*(b.column(i).to_pylist() for i in range(4))):
-                held, table = _unpacked([words], [codes], [n], longest)
-                yield from _counted(lang, held, table, depth)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, 2, 1 << 20):
+            for lang, *pack in zip(*(b.column(i).to_pylist() for i in range(4))):
+                held, table, weights = _unpacked(*([x] for x in pack), longest)
+                yield from _counted(lang, held, table, weights, depth)
                 if depth < longest - 1:
-                    yield from _packed(lang, held, table, depth + 1, parts)
+                    yield from _batches(_packed(lang, held, table, weights, depth + 1, parts))
                 elif depth < longest:
-                    yield from _counted(lang, held, table, longest)
+                    yield from _counted(lang, held, table, weights, longest)
 
-    return packs.select("lang", "suffixes", "words", "codes").mapInArrow(lambda batches: _rows(found(batches)), _SCHEMA)
+    return packs.select("lang", "words", "codes", "weights").mapInArrow(run, _SCHEMA)
 
 
 def _sorted(packs: DataFrame, longest: int, depth: int, least: int) -> DataFrame:
     """lang, phrase, length, f of the phrases of at least `depth` words in groups that hold all their suffixes."""
 
     def mine(key: tuple[Any, ...], group: pa.Table) -> pa.Table:
-        words, codes, sizes = (group.column(c).to_pylist() for c in ("words", "codes", "suffixes"))
-        held, table = _unpacked(words, codes, sizes, longest)
+        held, table, weights = _unpacked(*(group.column(c).to_pylist() for c in ("words", "codes", "weights")), longest)
         names, out = held.to_pylist(), []
-        for pointer, length, n in equal_parts(table, least):
+        for pointer, length, n in equal_parts(table, weights, least):
             if length >= depth:
                 out.append((b" ".join(names[c] for c in table[:length, pointer].tolist()).decode(), length, n))
         phrases, lengths, counts = zip(*out) if out else ((), (), ())
         columns = [pa.array([key[0].as_py()] * len(out), pa.string()), pa.array(phrases, pa.string()), pa.array(lengths, pa.int32()), pa.array(counts, pa.int64())]
         return pa.table(columns, ["lang", "phrase", "length", "f"])
 
-    return packs.select("lang", "part", "suffixes", "words", "codes").groupBy("lang", "part").applyInArrow(mine, "lang string, phrase string, length int, f long")
+    return packs.select("lang", "part", "words", "codes", "weights").groupBy("lang", "part").applyInArrow(mine, "lang string, phrase string, length int, f long")
 
 
 def phrase_counts(

@@ -64,7 +64,10 @@ def test_segments_hold_every_suffix_once(text, size):
 def test_equal_parts_are_counts(rows, least):
     rows = [r[: r.index(-1)] + [-1] * (3 - r.index(-1)) if -1 in r else r for r in rows]
     table = np.array(rows, np.int32).reshape(-1, 3).T
-    got = {tuple(table[:n, p].tolist()): c for p, n, c in collocations.equal_parts(table, least)}
+    got = {tuple(table[:n, p].tolist()): c for p, n, c in collocations.equal_parts(table, np.ones(len(rows), int), least)}
+    once = collocations._distinct(table, np.ones(len(rows), int))
+    assert got == {tuple(once[0][:n, p].tolist()): c for p, n, c in collocations.equal_parts(*once, least)}
+    assert Counter(map(tuple, rows)) == dict(zip(map(tuple, once[0].T.tolist()), once[1].tolist()))
     want = Counter(tuple(r[:n]) for r in rows for n in (1, 2, 3) if r[n - 1] >= 0)
     assert got == {k: v for k, v in want.items() if v >= least}
 
