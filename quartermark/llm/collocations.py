@@ -43,11 +43,11 @@ from quartermark.operators.windows import topk_per_group
 from quartermark.session import cut
 
 #: Bytes of text whose words are told apart at once.
-BATCH = 16 << 20
+BATCH = 6 << 20
 #: Bytes of text per group of suffixes, on average.
 GROUP_BYTES = 6 << 20
 #: Suffixes above which a group is routed deeper: at most, and at least.
-LARGE, SMALL = 4 << 20, 1 << 15
+LARGE, SMALL = 2 << 20, 1 << 15
 #: Times the mean group above which a group is routed deeper.
 UNEVEN = 4
 #: Parts that the lookups of one single word are dealt to.
