@@ -14,8 +14,9 @@ such a variant, and a variant has at most one fingerprint per such bit, so the w
 proportion to the rows however many near copies meet.
 
 `similar` serves similarities where many bits differ, on the sets of shingles themselves. Rows meet on
-the first shingles of their sets in one order of all, rarer ones first: so many that two sets of the
-similarity share at least one. Each row of a meeting is compared with a few leaders first; then rows
+the first shingles of their sets in one order of all, those that a sample finds common last: so many that
+two sets of the similarity share at least one. Only these are written; sets that pairs name are made
+again from the texts. Each row of a meeting is compared with a few leaders first; then rows
 that are not connected to the first leader are compared with all rows of the meeting that they are not
 connected to, unless sizes and places rule the pair out. Every link is confirmed on the sets, so the result is exact.
 
@@ -26,6 +27,7 @@ row of the table. Null ids take part in links but are never a component's id.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartermark.llm.common import as_bytes, salted_left, slices
@@ -46,8 +49,8 @@ RADIUS = 2
 REFERENCES = 12
 #: Largest meeting in which pairs are formed.
 MEETING = 32
-#: Hash buckets that tell common shingles from rare ones.
-BUCKETS = 1 << 21
+#: Rows of the sample that tells common shingles from rare ones, the hash buckets it counts in, and the least count that is kept.
+SAMPLE, BUCKETS, COMMON = 20_000, 1 << 22, 4
 #: Rows of a meeting that all others are compared with before pairs are formed.
 LEADERS = 8
 
@@ -207,55 +210,67 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 # --- similarity of shingle sets ---------------------------------------------------
 
 
-def shingle_sets(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """doc_id, node (hash of the set), shingles (sorted distinct hashes) of every row; null texts count as empty."""
+def _set(raw: bytes, width: int) -> np.ndarray:
+    """Sorted distinct shingles of a text."""
+    return np.unique(shingle_hashes(raw, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [np.unique(shingle_hashes(x, width)).tobytes() for x in as_bytes(b.column(1))]
-            nodes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes), pa.array(sets, pa.binary())], ["doc_id", "node", "shingles"])
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, node long, shingles binary")
+def _node(shingles: np.ndarray) -> int:
+    """Name of a set, as a signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
-def _levels(sets: DataFrame) -> np.ndarray:
-    """Twice the base-2 logarithm of how often the shingles of each hash bucket occur."""
+def _levels(docs: DataFrame, text: str, width: int, sample: int) -> np.ndarray:
+    """Twice the base-2 logarithm of how often the shingles of each hash bucket occur in about `sample` rows."""
+    rows = docs.count()
+    if rows > sample:
+        docs = docs.sample(sample / rows, seed=SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(BUCKETS, np.int64)
         for b in slices(batches):
-            found = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)
-            seen += np.bincount((found % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
+            for x in as_bytes(b.column(0)):
+                np.add.at(seen, (_set(x, width) % np.uint64(BUCKETS)).view(np.int64), 1)
         cells = np.flatnonzero(seen)
         for at in range(0, len(cells), 1 << 16):
             part = cells[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], ["cell", "n"])
 
-    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = found.filter(F.col("n") >= COMMON).select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
     levels[found.column("cell").to_numpy()] = 2 * np.log2(found.column("n").to_numpy())
     return levels
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, size (of its set), place, key: the shingles of each distinct set that come first in one order of all.
+def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, digest (of the text), node (of its shingle set), size (of the set), keys of every row; null texts count as empty.
 
-    Sets of at least that similarity share a key. Rarer shingles come first; that only saves work, any
-    order finds the same pairs.
+    Keys are the shingles that come first in one order of all: sets of at least that similarity share
+    one. Shingles that are common in the sample come last; that only saves work, any order finds the
+    same pairs.
     """
-    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets).tobytes())
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, text, width, sample).tobytes())
 
-    def cut_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
         for b in slices(batches):
-            sizes, keys = [], []
-            for x in b.column(1).to_pylist():
-                x = np.frombuffer(x, np.uint64)
-                order = np.argsort(level[(x % np.uint64(BUCKETS)).view(np.int64)], kind="stable")
-                sizes.append(len(x))
-                keys.append(x[order[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["node", "size", "keys"])
+            nodes, sizes, keys = [], [], []
+            for x in as_bytes(b.column(2)):
+                own = _set(x, width)
+                order = np.argsort(level[(own % np.uint64(BUCKETS)).view(np.int64)], kind="stable")
+                nodes.append(_node(own))
+                sizes.append(len(own))
+                keys.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].tobytes())
+            columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", "size", "keys"])
+
+    named = docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    return named.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id]}, digest long, node long, size int, keys binary")
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """key, node, size, place: the keys that several sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -264,8 +279,10 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
             places = np.concatenate([np.arange(len(x), dtype=np.int32) for x in keys])
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(places), pa.array(np.concatenate(keys))], ["node", "size", "place", "key"])
 
-    distinct = sets.select("node", "shingles").mapInArrow(cut_off, "node long, size int, keys binary").dropDuplicates(["node"])
-    return distinct.mapInArrow(run, "node long, size int, place int, key long")
+    each = rows.select("node", "size", "keys").dropDuplicates(["node"]).mapInArrow(run, "node long, size int, place int, key long")
+    beside = W.partitionBy("key").orderBy("node")
+    shared = F.lag("node").over(beside).isNotNull() | F.lead("node").over(beside).isNotNull()
+    return each.withColumn("shared", shared).filter("shared").drop("shared")
 
 
 def _possible(similarity: float) -> Column:
@@ -279,6 +296,19 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
+def _sets(rows: DataFrame, docs: DataFrame, text: str, width: int, nodes: DataFrame) -> DataFrame:
+    """node, shingles of the wanted nodes, made again from one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [_set(x, width) for x in as_bytes(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    wanted = cut(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("wanted")).select("wanted").distinct())
+    texts = docs.select(F.col(text).alias("text")).join(wanted, F.xxhash64("text") == F.col("wanted"), "left_semi")
+    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of nodes whose shingle sets have that Jaccard similarity."""
 
@@ -291,44 +321,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    held = cut(sets.select("node", "shingles").join(wanted, "node").dropDuplicates(["node"]))
     for side in ("src", "dst"):
-        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set")), side)
     return pairs.select("src", "dst", "src_set", "dst_set").mapInArrow(run, "src long, dst long")
 
 
-def similar(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(node, component) of the nodes with similar others; `sets` has node and shingles."""
-    prefixes = cut(_prefixes(sets, similarity))
-    several = prefixes.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
-    met = cut(prefixes.join(several, "key"))
+def similar(rows: DataFrame, docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) of the nodes with similar others; `rows` are the signatures of `docs`."""
     row, near = F.struct("node", "size", "place"), _possible(similarity)
+    met = cut(_meetings(rows))
     leaders = met.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)))).alias("b"))
     led = met.select("key", row.alias("a")).join(leaders.select("key", F.explode("b").alias("b")), "key")
     first = cut(_pairs(led.filter(F.col("a.node") != F.col("b.node")).filter(near)))
+    ends = lambda pairs: pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sets = cut(_sets(rows, docs, text, width, ends(first)))
     links = cut(_confirmed(first, sets, similarity))
     named = met.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     heads = F.min_by("label", F.xxhash64("node", F.lit(0)))
     open_ = named.groupBy("key").agg(heads.alias("led"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "led")
-    rows = cut(named.join(open_, "key"))
-    left = rows.filter(F.col("label") != F.col("led")).alias("a")
-    apart = left.join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & near)
-    rest = cut(_pairs(apart).join(first, ["src", "dst"], "left_anti"))
-    return components(links.unionByName(_confirmed(rest, sets, similarity)))
+    again = cut(named.join(open_, "key"), replaces=met)
+    left = again.filter(F.col("label") != F.col("led")).alias("a")
+    apart = left.join(again.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & near)
+    rest = cut(_pairs(apart).join(first, ["src", "dst"], "left_anti"), replaces=again)
+    new = ends(rest).join(sets.select("node"), "node", "left_anti")
+    more = cut(sets.unionByName(_sets(rows, docs, text, width, new)))
+    return components(links.unionByName(cut(_confirmed(rest, more, similarity))))
 
 
-def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sample: int = SAMPLE) -> DataFrame:
     """Rows of `docs`, all columns, but those that are similar to a row with a smaller id, directly or in steps.
 
-    Rows with a null id stay. Rows that share an id stay or go together.
+    Rows with a null id stay. Rows that share both id and text stay or go together; rows that share only the
+    id are judged each by its text. Columns of `docs` may have any names.
     """
-    sets = cut(shingle_sets(docs, id, text, width))
-    classes = cut(sets.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")))
-    found = cut(similar(sets, similarity))
-    named = classes.join(found, "node", "left")
+    rows = cut(signatures(docs, id, text, width, similarity, sample))
+    classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    found = cut(similar(rows, docs, text, width, similarity))
+    named = cut(classes.join(found, "node", "left"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     several = named.join(least, "component", "left").filter((F.col("rows") > 1) | F.col("least").isNotNull())
     several = several.select("node", F.coalesce("least", "first").alias("least"))
-    lost = salted_left(sets.select("doc_id", "node"), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id] == F.col("__lost"), "left_anti")
+    lost = salted_left(rows.select("doc_id", "digest", "node"), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least"))
+    mark = "lost_" + uuid.uuid4().hex
+    lost = cut(lost.select(F.col("doc_id").alias(f"{mark}_id"), F.col("digest").alias(f"{mark}_digest")).distinct())
+    return docs.join(lost, (docs[id] == F.col(f"{mark}_id")) & (F.xxhash64(docs[text]) == F.col(f"{mark}_digest")), "left_anti")

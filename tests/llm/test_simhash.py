@@ -163,3 +163,29 @@ def test_a_long_run_of_one_token_neither_joins_nor_parts_texts(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in kept} == {0, 1, 2}
+
+
+def test_rows_that_share_an_id_and_odd_column_names(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, other = ([word() for _ in range(80)] for _ in range(2))
+    texts = [(1, base), (2, [*base, word()]), (2, other), (None, base), (3, other), (2, other)]
+    rows = [(i, " ".join(t), n, 0, 0, 0) for n, (i, t) in enumerate(texts)] + [(9, None, 6, 0, 0, 0), (8, "", 7, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int, __lost int, digest int, node int")
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    assert sorted(r.place for r in kept.collect()) == [0, 2, 3, 5, 7]
+
+
+def test_the_order_of_shingles_makes_no_difference(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abc"), 2))
+    rows = []
+    for _ in range(60):
+        words = [word() for _ in range(100)]
+        for _ in range(3):
+            rows.append((len(rows), " ".join(words)))
+            words = [*words[:40], word(), *words[41:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [sorted(r.doc_id for r in simhash.representatives(df, sample=n).collect()) for n in (1, 30, 1000)]
+    assert kept[0] == kept[1] == kept[2]
