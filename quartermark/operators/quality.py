@@ -108,6 +108,12 @@ def classify_diffs(presence: DataFrame, diffs: DataFrame) -> DataFrame:
         F.count_if("obs").alias("n_obs"), F.count_if("imp").alias("n_imp"), F.count_if("fc").alias("n_fc")
     )
     counted = diffs.groupBy(*dims, "pair_order", "pair").agg(F.count(F.lit(1)).alias("n_diff"))
+    return classify_counts(counted, sizes)
+
+
+def classify_counts(counted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """M5 from (slice, pair, n_diff) and the class sizes of each slice, however they were counted."""
+    dims = ["tier", "dwelling_type", "bedrooms"]
     small = F.col("n_diff") <= SMALL_DIFF
     pattern = (
         F.when(
@@ -122,8 +128,7 @@ def classify_diffs(presence: DataFrame, diffs: DataFrame) -> DataFrame:
         )
         .otherwise(P6)
     )
-    # One row per slice, a fixed list of at most 18: the bound of what is broadcast here and below.
-    return counted.join(F.broadcast(sizes), dims).withColumn("pattern", pattern)
+    return counted.join(sizes, dims).withColumn("pattern", pattern)
 
 
 def lineage_rollup(classified: DataFrame, diffs: DataFrame, k: int = 5) -> DataFrame:

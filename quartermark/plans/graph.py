@@ -445,6 +445,69 @@ def stability(tree: DataFrame, m: int) -> DataFrame:
     return steps.groupBy(F.col("start").alias("node_id")).agg(F.sum(left).alias("stability"))
 
 
+def select_clusters(condensed: DataFrame, stable: DataFrame, allow_root: bool = True) -> DataFrame:
+    """K7. The flat clusters of largest total stability: node_id, stability, best, selected.
+
+    `best` is the larger of a cluster's own stability and its children's best together; a cluster whose
+    own is not exceeded is chosen unless one above it is. Sums go up the tree by rake and compress: a
+    round settles every cluster whose children are settled, and where only one child is open it skips
+    that child, as max(s, x + c) stays of that form when it is nested. So rounds follow the logarithm
+    of the number of clusters, also for a tree that is one long branch. Without `allow_root` a root is
+    chosen only if it has no children.
+    """
+    base = condensed.select("node_id", "parent_id").join(stable.select("node_id", "stability"), "node_id", "left")
+    base = cut(base.select("node_id", "parent_id", F.coalesce("stability", F.lit(0.0)).alias("stability")))
+    kids = base.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
+    # floor, add: best = greatest(floor, x + add) with x the best of the open child `to`, if there is one.
+    own = F.when(F.lit(allow_root) | F.col("parent_id").isNotNull() | F.col("children").isNull(), F.col("stability")).otherwise(F.lit(float("-inf")))
+    start = base.join(kids, "node_id", "left")
+    start = start.select("node_id", "parent_id", "stability", own.alias("own"), F.coalesce("children", F.lit(0)).alias("children"))
+    done = cut(start.filter("children = 0").select("node_id", F.col("own").alias("best")))
+    open_ = cut(start.filter("children > 0").select("node_id", F.col("own").alias("floor")))
+    tree = cut(start.filter("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")))
+    jumps = None
+    while not open_.isEmpty():
+        known = tree.join(done.withColumnRenamed("node_id", "child"), "child", "left")
+        state = known.groupBy("node_id").agg(
+            F.count_if(F.col("best").isNull()).alias("unsettled"), F.sum("best").alias("add"), F.max(F.when(F.col("best").isNull(), F.col("child"))).alias("to"),
+        )
+        now = cut(open_.join(state, "node_id"))
+        chain = now.filter("unsettled = 1").select("node_id", "floor", F.coalesce("add", F.lit(0.0)).alias("add"), "to")
+        settled = now.filter("unsettled = 0").select("node_id", F.greatest("floor", "add").alias("best"))
+        # Chains double their reach until every one ends at a settled cluster or at one that branches.
+        jumps = cut(chain)
+        while True:
+            below = jumps.select(F.col("node_id").alias("to"), F.col("floor").alias("f2"), F.col("add").alias("a2"), F.col("to").alias("t2"))
+            more = jumps.join(below, "to", "left")
+            longer = cut(
+                more.select(
+                    "node_id",
+                    F.when(F.col("t2").isNull(), F.col("floor")).otherwise(F.greatest("floor", F.col("f2") + F.col("add"))).alias("floor"),
+                    F.when(F.col("t2").isNull(), F.col("add")).otherwise(F.col("add") + F.col("a2")).alias("add"),
+                    F.coalesce("t2", "to").alias("to"),
+                    F.col("t2").isNotNull().alias("moved"),
+                )
+            )
+            moved = not longer.filter("moved").isEmpty()
+            jumps = cut(longer.drop("moved"), longer)
+            if not moved:
+                break
+        ends = jumps.join(settled.withColumnRenamed("node_id", "to"), "to").select("node_id", F.greatest("floor", F.col("best") + F.col("add")).alias("best"))
+        settled = cut(settled.unionByName(ends))
+        done = cut(done.unionByName(settled), done)
+        open_ = cut(open_.join(settled.select("node_id"), "node_id", "left_anti"), open_)
+    below = tree.join(done.withColumnRenamed("node_id", "child"), "child").groupBy("node_id").agg(F.sum("best").alias("below"))
+    marked = cut(start.join(done, "node_id").join(below, "node_id", "left").withColumn("fit", F.col("below").isNull() | (F.col("own") >= F.col("below"))))
+    # A cluster is covered if any cluster above it fits: flags are carried up by pointer doubling.
+    up = cut(marked.select("node_id", F.col("parent_id").alias("above"), F.lit(False).alias("covered")))
+    fits = marked.select(F.col("node_id").alias("above"), "fit")
+    up = cut(up.join(fits, "above", "left").select("node_id", "above", F.coalesce("fit", F.lit(False)).alias("covered")))
+    while not up.filter("above is not null").isEmpty():
+        next_ = up.select(F.col("node_id").alias("above"), F.col("above").alias("further"), F.col("covered").alias("c2"))
+        up = cut(up.join(next_, "above", "left").select("node_id", F.col("further").alias("above"), (F.col("covered") | F.coalesce("c2", F.lit(False))).alias("covered")), up)
+    return marked.join(up.select("node_id", "covered"), "node_id").select("node_id", "stability", "best", (F.col("fit") & ~F.col("covered")).alias("selected"))
+
+
 # --- contiguous regions (K8-K11) ------------------------------------------------------
 
 

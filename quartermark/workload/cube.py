@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quartermark.functions import columns as C
-from quartermark.operators import aggs, filters, joins, quality, sets, windows
+from quartermark.operators import aggs, bitmaps, filters, joins, quality, sets, windows
 from quartermark.plans import impute as I
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
@@ -338,6 +338,11 @@ def _(spark, sf):
     return points.select(*SERIES_DIMS, "imputed", "pos", "p.ts", r6("p.value").alias("value"))
 
 
+def _bitmaps(spark, sf):
+    o = B.obs_table(spark, sf)
+    return bitmaps.class_bitmaps(bitmaps.presence_keys(B.filled(spark, sf, o), B.forecasts(spark, sf, o)))
+
+
 @query("E9_coverage", """
 SELECT CASE geospatial_type WHEN 'suburb' THEN 'sal' ELSE 'lga' END AS tier, dwelling_type, bedrooms, cls AS source_class,
   count(DISTINCT polygon) AS region_count, count(DISTINCT geospatial_codes) AS row_key_count
@@ -346,8 +351,7 @@ FROM (SELECT geospatial_type, dwelling_type, bedrooms, geospatial_codes, unnest(
       UNION ALL SELECT geospatial_type, dwelling_type, bedrooms, geospatial_codes, unnest(string_split(geospatial_codes, '-')), 'forecast' FROM fc)
 GROUP BY ALL""")
 def _(spark, sf):
-    o = B.obs_table(spark, sf)
-    return aggs.coverage(B.filled(spark, sf, o), B.forecasts(spark, sf, o))
+    return bitmaps.coverage_counts(_bitmaps(spark, sf))
 
 
 @query("E10_value_domain", "SELECT dwelling_type, bedrooms, min(value) AS value_min, max(value) AS value_max FROM obs WHERE statistic = 'median' AND data_type = 'rental' GROUP BY ALL")
@@ -372,7 +376,7 @@ def _(spark, sf):
 @query("E13_coverage_pivot", """
 SELECT tier, dwelling_type, bedrooms, count(*) FILTER (WHERE obs) AS observed, count(*) FILTER (WHERE imp) AS imputed, count(*) FILTER (WHERE fc) AS forecast FROM poly GROUP BY ALL""")
 def _(spark, sf):
-    return aggs.coverage_pivot(aggs.coverage(B.filled(spark, sf), B.forecasts(spark, sf)))
+    return aggs.coverage_pivot(bitmaps.coverage_counts(_bitmaps(spark, sf)))
 
 
 @query("E14_dedupe", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
@@ -637,9 +641,14 @@ def _lineage(spark, sf):
     return quality.classify_diffs(p, d), d
 
 
+def _patterns(spark, sf):
+    b = _bitmaps(spark, sf)
+    return quality.classify_counts(bitmaps.difference_counts(b), bitmaps.class_sizes(b))
+
+
 @query("M5_classify_diffs", "SELECT * FROM pattern_rows")
 def _(spark, sf):
-    return _lineage(spark, sf)[0]
+    return _patterns(spark, sf)
 
 
 @query("E18_lineage_rollup", """
@@ -667,7 +676,7 @@ def _(spark, sf):
 @query("M6_absence_reason", """
 SELECT tier, dwelling_type, bedrooms, string_split(pair, '_minus_')[2] AS cohort, arg_min(pattern, pair_order) AS reason FROM pattern_rows GROUP BY ALL""")
 def _(spark, sf):
-    return quality.absence_reason(_lineage(spark, sf)[0])
+    return quality.absence_reason(_patterns(spark, sf))
 
 
 # --- O1 ------------------------------------------------------------------------

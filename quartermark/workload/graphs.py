@@ -71,6 +71,10 @@ cond AS (
   FROM walk JOIN inner_nodes last ON last.node_id = cursor JOIN inner_nodes first ON first.node_id = start WHERE last.big IS NULL OR last.small_size >= 4)
 """
 
+WALK_STABLE = WALK + """,
+stable AS (SELECT start AS node_id, sum((size - CASE WHEN small_size >= 4 OR big IS NULL THEN 0 ELSE big_size END) * (lam - birth)) AS stability
+  FROM walk JOIN inner_nodes ON node_id = cursor GROUP BY 1)"""
+
 
 def _tree(spark, sf):
     return K.linkage_to_tree(K.merges(line_tree(spark, sf)), line_points(spark, sf))
@@ -134,6 +138,29 @@ def _(spark, sf):
     return K.stability(_tree(spark, sf), 4).withColumn("stability", r6("stability", 4))
 
 
+@query("K7_select_clusters", WALK_STABLE + """,
+kids AS (SELECT parent_id, list(node_id) AS kids FROM cond WHERE parent_id IS NOT NULL GROUP BY 1),
+deep AS (SELECT node_id, parent_id, 0 AS depth FROM cond WHERE parent_id IS NULL
+  UNION ALL SELECT c.node_id, c.parent_id, depth + 1 FROM cond c JOIN deep d ON c.parent_id = d.node_id),
+up AS (SELECT (SELECT max(depth) FROM deep) + 1 AS level, MAP {} :: MAP(VARCHAR, DOUBLE) AS best
+  UNION ALL
+  SELECT level - 1, map_concat(best, (SELECT map(list(n), list(b)) FROM (SELECT CAST(d.node_id AS VARCHAR) AS n,
+      greatest(s.stability, coalesce(list_sum(list_transform(k.kids, lambda x: best[CAST(x AS VARCHAR)])), s.stability)) AS b
+    FROM deep d JOIN stable s USING (node_id) LEFT JOIN kids k ON k.parent_id = d.node_id WHERE d.depth = level - 1)))
+  FROM up WHERE level > 0),
+best AS (SELECT node_id, best[CAST(node_id AS VARCHAR)] AS best FROM cond, (SELECT best FROM up WHERE level = 0)),
+fit AS (SELECT node_id, c.parent_id, stability, best, stability >= coalesce(below, stability) AS fit
+  FROM cond c JOIN stable USING (node_id) JOIN best USING (node_id)
+  LEFT JOIN (SELECT c.parent_id, sum(best) AS below FROM cond c JOIN best USING (node_id) GROUP BY 1) k ON k.parent_id = c.node_id),
+down AS (SELECT node_id, fit AS selected, fit AS covered FROM fit WHERE parent_id IS NULL
+  UNION ALL SELECT f.node_id, f.fit AND NOT covered, covered OR f.fit FROM fit f JOIN down d ON f.parent_id = d.node_id)
+SELECT node_id, round(stability, 4) AS stability, round(best, 4) AS best, selected FROM fit JOIN down USING (node_id)""")
+def _(spark, sf):
+    tree = _tree(spark, sf)
+    chosen = K.select_clusters(K.condense(tree, 4), K.stability(tree, 4))
+    return chosen.withColumns({c: r6(c, 4) for c in ("stability", "best")})
+
+
 def _adjacent(spark, sf):
     return P.touching_pairs(SP.squares(spark, sf))
 

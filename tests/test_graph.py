@@ -172,3 +172,37 @@ def test_hub_takes_its_arms_in_one_round(spark):
     assert [r.rep_b for r in rows] == [f"leaf{i:02d}" for i in range(n)]
     assert [r.distance for r in rows] == [float(i + 1) for i in range(n)] and [r.n_obs for r in rows] == list(range(2, n + 2))
     assert [(r.cluster_a, r.cluster_b) for r in rows] == [(0, 1)] + [(i + 1, n + i) if i + 1 < n + i else (n + i, i + 1) for i in range(1, n)] 
+
+
+def _chosen(parent, stable, allow_root=True):
+    kids = {}
+    for n, p in parent.items():
+        kids.setdefault(p, []).append(n)
+
+    def best(n):
+        below = [best(k) for k in kids.get(n, [])]
+        total, picked = sum(b for b, _ in below), [x for _, xs in below for x in xs]
+        return (stable[n], [n]) if not below or (stable[n] >= total and (allow_root or parent[n] is not None)) else (total, picked)
+
+    return {x for n, p in parent.items() if p is None for x in best(n)[1]}
+
+
+@pytest.mark.parametrize("shape", ["random", "branch", "star", "single", "forest"])
+def test_clusters_chosen_by_excess_of_mass(spark, shape):
+    import random
+
+    rng, parent = random.Random(shape), {0: None}
+    for i in range(1, 1 if shape == "single" else 61):
+        if shape == "branch":  # one long branch with a leaf at every step
+            parent[i] = i - 1 if i % 2 else i - 2
+        elif shape == "star":
+            parent[i] = 0
+        else:
+            parent[i] = None if shape == "forest" and i % 20 == 0 else rng.randrange(i)
+    stable = {i: float(rng.randrange(1, 9) if shape != "branch" else rng.randrange(60) / 4) for i in parent}
+    name = lambda i: None if i is None else f"c{i:03d}"
+    tree = spark.createDataFrame([(name(i), name(p)) for i, p in parent.items()], "node_id string, parent_id string")
+    own = spark.createDataFrame([(name(i), s) for i, s in stable.items()], "node_id string, stability double")
+    for allow_root in (True, False):
+        got = {int(r.node_id[1:]) for r in K.select_clusters(tree, own, allow_root).filter("selected").collect()}
+        assert got == _chosen(parent, stable, allow_root)
