@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quartermark.functions import geometry as G
 from quartermark.functions.columns import col, let
+from quartermark.session import cut
 
 
 def reproject(df: DataFrame, source: int, target: int, geom: str = "geom") -> DataFrame:
@@ -60,26 +61,71 @@ def _grid(v: Column, level: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
-def within_join(points: DataFrame, polys: DataFrame, geom: str = "geom") -> DataFrame:
-    """D8. Each point (x, y) with every polygon that contains it.
+#: Points that a cell of a polygon's cover should hold, and how often a cover is halved at most.
+CELL_POINTS, DEEPEST = 4096, 8
+
+
+def _cells(rows: DataFrame, level: str) -> DataFrame:
+    span = lambda lo, hi: F.explode(F.sequence(_grid(F.col(lo), F.col(level)), _grid(F.col(hi), F.col(level))))
+    return rows.withColumn("__cx", span("minx", "maxx")).withColumn("__cy", span("miny", "maxy"))
+
+
+def _probes(points: DataFrame, levels: list[int]) -> DataFrame:
+    """Points once per level with their cell there."""
+    probe = points.withColumn("__lv", F.explode(F.array(*[F.lit(u) for u in levels])) if levels else F.lit(None).cast("int"))
+    return probe.withColumn("__cx", _grid(F.col("x"), F.col("__lv"))).withColumn("__cy", _grid(F.col("y"), F.col("__lv")))
+
+
+def polygon_cover(points: DataFrame, polys: DataFrame, geom: str = "geom", cell_points: int = CELL_POINTS, deepest: int = DEEPEST) -> DataFrame:
+    """D8. The columns of `polys` by cell (__lv, __cx, __cy), with __edges and __all.
 
-    A polygon's level is the power of two no smaller than its longer side, so it touches at most
-    2 x 2 cells. The levels in use (at most ~60, from the exponent range) are read first; a point is
-    then probed once per level.
+    A polygon's coarse level is the power of two no smaller than its longer side, so it touches at most
+    2 x 2 cells there. Counts of the points in these cells tell how often its cover is halved: a
+    quadtree level per factor of four above `cell_points`. A cell that no edge's box meets lies wholly
+    inside (__all, no edges) or is left out; a border cell carries the edges that a ray to the right
+    from within it can meet.
     """
-    boxed = with_boxes(polys, geom).withColumn("__edges", G.edges(geom))
+    boxed = with_boxes(polys, geom).withColumn("__edges", G.edges(geom)).withColumn("__p", F.xxhash64(geom)).drop(geom)
     side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
-    level = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
-    boxed = boxed.withColumn("__lv", level)
-    used = [r[0] for r in boxed.select("__lv").distinct().collect()]
+    boxed = boxed.withColumn("__top", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
+    tops = [r[0] for r in boxed.select("__top").distinct().collect() if r[0] is not None]
+    at = ["__lv", "__cx", "__cy"]
+    counts = _probes(points.select("x", "y"), tops).groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    coarse = _cells(boxed.select("__p", "minx", "miny", "maxx", "maxy", F.col("__top").alias("__lv")).distinct(), "__lv")
+    held = coarse.join(counts, at).groupBy("__p").agg(F.sum("__n").alias("__n"))
+    halved = F.least(F.lit(deepest), F.greatest(F.lit(0), F.ceil(F.log2(F.col("__n") / cell_points) / 2))).cast("int")
+    # Polygons without a point in their coarse cells drop out here.
+    sized = boxed.join(held.select("__p", halved.alias("__k")), "__p").withColumn("__lv", F.col("__top") - F.col("__k"))
+    width = F.pow(F.lit(2.0), F.col("__lv"))
+    x0, y0 = F.col("__cx") * width, F.col("__cy") * width
+    low = lambda e, a: F.least(e[a + "1"], e[a + "2"])
+    high = lambda e, a: F.greatest(e[a + "1"], e[a + "2"])
+    # Bands first, each with the edges of its heights; then the cells of a band.
     span = lambda lo, hi: F.explode(F.sequence(_grid(F.col(lo), F.col("__lv")), _grid(F.col(hi), F.col("__lv"))))
-    cover = boxed.withColumn("__cx", span("minx", "maxx")).withColumn("__cy", span("miny", "maxy")).drop(geom)
-    probe = points.withColumn("__lv", F.explode(F.array(*[F.lit(u) for u in used])) if used else F.lit(None).cast("int"))
-    probe = probe.withColumn("__cx", _grid(F.col("x"), F.col("__lv"))).withColumn("__cy", _grid(F.col("y"), F.col("__lv")))
-    hits = probe.join(cover, ["__lv", "__cx", "__cy"])
+    banded = sized.withColumn("__cy", span("miny", "maxy"))
+    banded = banded.withColumn("__edges", F.filter("__edges", lambda e: (high(e, "y") >= y0) & (low(e, "y") <= y0 + width)))
+    cells = banded.withColumn("__cx", span("minx", "maxx"))
+    cells = cells.withColumn("__edges", F.filter("__edges", lambda e: high(e, "x") >= x0)).filter(F.size("__edges") > 0)
+    cells = cells.withColumn("__all", ~F.exists("__edges", lambda e: low(e, "x") <= x0 + width))
+    inside = ~F.col("__all") | G.contains("__edges", x0 + width / 2, y0 + width / 2)
+    bare = F.when(F.col("__all"), F.slice("__edges", 1, 0)).otherwise(F.col("__edges"))
+    return cells.filter(inside).withColumn("__edges", bare).drop("__p", "__top", "__k")
+
+
+def within_join(points: DataFrame, polys: DataFrame, geom: str = "geom", cell_points: int = CELL_POINTS, deepest: int = DEEPEST) -> DataFrame:
+    """D8. Each point (x, y) with every polygon that contains it.
+
+    Points meet the cells of the polygons' covers, which are as fine as the points are dense: one polygon
+    over all points spreads over many tasks, and points in cells wholly inside it need no edge test. The
+    levels in use (at most ~70, from the exponent range) are read first; a point is then probed once per
+    level.
+    """
+    cover = cut(polygon_cover(points, polys, geom, cell_points, deepest))
+    used = [r[0] for r in cover.select("__lv").distinct().collect()]
+    hits = _probes(points, used).join(cover, ["__lv", "__cx", "__cy"])
     near = F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))
-    inside = hits.filter(near & G.contains("__edges", F.col("x"), F.col("y")))
-    return inside.drop("__lv", "__cx", "__cy", "__edges", "minx", "miny", "maxx", "maxy")
+    inside = hits.filter(F.col("__all") | (near & G.contains("__edges", F.col("x"), F.col("y"))))
+    return inside.drop("__lv", "__cx", "__cy", "__edges", "__all", "minx", "miny", "maxx", "maxy")
 
 
 def crosswalk(regions: DataFrame, parents: DataFrame) -> DataFrame:
@@ -133,19 +179,27 @@ def hex_size(resolution: int) -> float:
 def covered_cells(polys: DataFrame, resolution: int, key: str, geom: str = "geom") -> DataFrame:
     """(key, cell) for every hexagonal cell whose centre lies in a polygon given in degrees.
 
-    Cells are axial (q, r) on Web Mercator. Rows of cells are generated first and spread over the
-    cluster, so the cells of one very large polygon are not produced by one task.
+    Cells are axial (q, r) on Web Mercator. Each edge meets the rows of cells it crosses; a row's
+    crossings in order pair up to spans, and a span gives its run of cells. So no row carries the
+    polygon: what is shuffled is one crossing per edge and row, and cells are made after that, spread
+    by row.
     """
     s = hex_size(resolution)
     dx, dy = s * math.sqrt(3), s * 1.5
-    flat = with_boxes(polys.select(key, G.reproject(geom, 4326, 3857).alias("__g")), "__g")
-    lo, hi = F.ceil(F.col("miny") / dy), F.floor(F.col("maxy") / dy)
-    rows = flat.filter(lo <= hi).withColumn("r", F.explode(F.sequence(lo, hi))).repartition(key, "r", "minx")
-    first, last = F.ceil(F.col("minx") / dx - F.col("r") / 2), F.floor(F.col("maxx") / dx - F.col("r") / 2)
-    cells = rows.filter(first <= last).withColumn("__e", G.edges("__g")).withColumn("q", F.explode(F.sequence(first, last)))
-    inside = cells.filter(G.contains("__e", (F.col("q") + F.col("r") / 2) * dx, F.col("r") * dy))
+    flat = polys.select(key, G.reproject(geom, 4326, 3857).alias("__g")).withColumn("__f", F.xxhash64("__g")).dropDuplicates([key, "__f"])
+    e = flat.select(key, "__f", F.explode(G.edges("__g")).alias("e")).select(key, "__f", "e.*")
+    lo, hi = F.floor(F.least("y1", "y2") / dy), F.ceil(F.greatest("y1", "y2") / dy)
+    y = F.col("r") * dy
+    crossed = e.withColumn("r", F.explode(F.sequence(lo, hi))).filter((F.col("y1") > y) != (F.col("y2") > y))
+    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
+    lines = crossed.select(key, "__f", "r", at.alias("at")).groupBy(key, "__f", "r").agg(F.sort_array(F.collect_list("at")).alias("xs"))
+    pair = F.explode(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1))
+    runs = lines.filter(F.size("xs") > 1).withColumn("i", pair).select(key, "r", F.get("xs", F.col("i") * 2).alias("a"), F.get("xs", F.col("i") * 2 + 1).alias("b"))
+    place = lambda x: F.ceil(F.col(x) / dx - F.col("r") / 2)
+    cells = runs.withColumn("q", F.explode(F.sequence(place("a") - 1, place("b") + 1)))
+    x = (F.col("q") + F.col("r") / 2) * dx
     cell = F.concat_ws(":", F.lit(f"h{resolution}"), F.col("q").cast("string"), F.col("r").cast("string"))
-    return inside.select(key, cell.alias("cell"))
+    return cells.filter((x >= F.col("a")) & (x < F.col("b"))).select(key, cell.alias("cell"))
 
 
 def cell_cover(polys: DataFrame, resolution: int, key: str = "code", geom: str = "geom") -> DataFrame:

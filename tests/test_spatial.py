@@ -116,3 +116,70 @@ def test_contact_inside_an_edge(spark):
     polys = spark.createDataFrame(rows, "code string, geom array<array<array<struct<x:double,y:double>>>>")
     got = {(r.src, r.dst) for r in P.touching_pairs(polys).collect()}
     assert got == {("big", "side"), ("corner", "side")}
+
+
+def ring(rng, cx, cy, n, low, high):
+    """A star-shaped ring, concave where radii vary."""
+    import math
+
+    radii = [rng.uniform(low, high) for _ in range(n)]
+    pts = [(cx + r * math.cos(2 * math.pi * i / n), cy + r * math.sin(2 * math.pi * i / n)) for i, r in enumerate(radii)]
+    return [*pts, pts[0]]
+
+
+def odd_polygons(spark):
+    import random
+
+    rng = random.Random(11)
+    shapes = [("world", "w", [[ring(rng, 0.0, 0.0, 40, 50.0, 80.0), ring(rng, 3.0, 2.0, 12, 5.0, 20.0)]])]
+    shapes += [(f"s{i}", "s", [[ring(rng, rng.uniform(-60, 60), rng.uniform(-60, 60), rng.randrange(3, 30), 0.05, rng.choice([0.5, 5.0, 30.0]))]]) for i in range(25)]
+    shapes.append(("two", "t", [[ring(rng, -20.0, 10.0, 9, 1.0, 6.0)], [ring(rng, 20.0, 10.0, 9, 1.0, 6.0)]]))
+    shapes += [("twin", "t", [square(1.0, 1.0, 8.0, 8.0)[0]])] * 2 + [("far", "f", [square(500.0, 500.0)[0]])]
+    return shapes, spark.createDataFrame(shapes, SHAPE)
+
+
+def odd_even(geom, x, y):
+    n = 0
+    for part in geom:
+        for r in part:
+            for a, b in zip(r, r[1:]):
+                if (a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0]:
+                    n += 1
+    return n % 2 == 1
+
+
+def test_points_in_unequal_polygons_with_holes(spark):
+    import random
+
+    rng = random.Random(12)
+    shapes, polys = odd_polygons(spark)
+    spots = [(i, rng.uniform(-90, 90), rng.uniform(-90, 90)) for i in range(600)] + [(600 + i, rng.gauss(5, 0.5), rng.gauss(5, 0.5)) for i in range(600)]
+    spots += [(1200, 1.0, 1.0), (1201, 9.0, 9.0), (1202, 4.0, 8.0), (1203, 0.0, 0.0)]
+    points = spark.createDataFrame(spots, "id int, x double, y double")
+    want = sorted((i, code) for i, x, y in spots for code, _, g in shapes if odd_even(g, x, y))
+    for cell_points, deepest in ((4096, 8), (20, 8), (1, 3)):
+        got = P.within_join(points, polys, cell_points=cell_points, deepest=deepest)
+        assert got.columns == ["id", "x", "y", "code", "name"]
+        assert sorted((r.id, r.code) for r in got.collect()) == want
+    cover = P.polygon_cover(points, polys, cell_points=1).filter("code = 'world'")
+    most, cells, whole = cover.agg(F.max(F.size("__edges")), F.count("__lv"), F.count_if("__all")).first()
+    assert cells > 300 and whole > 100 and most < 42
+
+
+def test_cells_of_concave_shapes_and_holes(spark):
+    shapes, polys = odd_polygons(spark)
+    small = [s for s in shapes if s[0] not in ("far",)]
+    df = polys.filter("code <> 'far'")
+    flat = {i: r.g for i, r in enumerate(df.select(G.reproject("geom", 4326, 3857).alias("g")).collect())}
+    resolution = 2
+    size = P.hex_size(resolution)
+    dx, dy = size * 3**0.5, size * 1.5
+    want = set()
+    for i, (code, *_) in enumerate(small):
+        xs, ys = zip(*((p.x, p.y) for part in flat[i] for r in part for p in r))
+        for r in range(int(min(ys) / dy) - 2, int(max(ys) / dy) + 3):
+            for q in range(int(min(xs) / dx - r / 2) - 2, int(max(xs) / dx - r / 2) + 3):
+                if odd_even(flat[i], (q + r / 2) * dx, r * dy):
+                    want.add((code, f"h{resolution}:{q}:{r}"))
+    got = P.dissolve_areas(df, "code", resolution)
+    assert len(want) > 100 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
