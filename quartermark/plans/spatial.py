@@ -308,21 +308,46 @@ def tile_candidates(features: DataFrame, min_zoom: int, max_zoom: int, geom: str
 
 
 def tile_cover(features: DataFrame, min_zoom: int, max_zoom: int, geom: str = "geom", closed: bool = True) -> DataFrame:
-    """L7. Tiles that a feature really meets: an edge in the tile, or the tile inside the polygon."""
-    rows = tile_candidates(features, min_zoom, max_zoom, geom).withColumn("__e", G.edges(geom))
-    n = F.col("__n")
-    w, e = tile_west(F.col("tx"), n), tile_west(F.col("tx") + 1, n)
-    north, south = tile_north(F.col("ty"), n), tile_north(F.col("ty") + 1, n)
-    box = F.struct(w.alias("w"), south.alias("s"), e.alias("e"), north.alias("n"))
+    """L7. Tiles that a feature really meets: an edge in the tile, or the tile inside the polygon.
 
-    def meets(b: Column) -> Column:
-        hit = F.exists("__e", lambda s: G.edge_meets_box(s, b["w"], b["s"], b["e"], b["n"]))
-        if closed:
-            hit = hit | G.contains("__e", (b["w"] + b["e"]) / 2, (b["s"] + b["n"]) / 2)
-        inside = lambda v: v["x"].between(b["w"], b["e"]) & v["y"].between(b["s"], b["n"])
-        return hit | ((F.size("__e") == 0) & F.exists(G.vertices(geom), inside))
-
-    return rows.filter(let(box, meets)).drop("__e", "__n")
+    Zooms are gone down one by one: only tiles hit at a zoom are split at the next, each with the edges
+    that can still matter below it, written in between. A tile without edges inside the polygon carries
+    none from there on. So a feature as large as the world is spread after the first zooms, and the work
+    follows the tiles that are hit.
+    """
+    shaped = features.withColumn("__e", G.edges(geom)).withColumn("__v", F.when(F.size("__e") == 0, G.vertices(geom)))
+    rest = [c for c in features.columns if c != geom]
+    rows = tile_candidates(shaped, min_zoom, min_zoom, geom).drop(geom).withColumn("__whole", F.lit(False))
+    found = []
+    for z in range(min_zoom, max_zoom + 1):
+        n = F.lit(float(2**z))
+        w, e = tile_west(F.col("tx"), n), tile_west(F.col("tx") + 1, n)
+        north, south = tile_north(F.col("ty"), n), tile_north(F.col("ty") + 1, n)
+        at = lambda s, end, of: of(s[f"{end}1"], s[f"{end}2"])
+        boxed = rows.withColumn("__b", F.struct(w.alias("w"), south.alias("s"), e.alias("e"), north.alias("n")))
+        # Edges that meet the tile, or that a ray to the right from within it can meet.
+        b = F.col("__b")
+        within = lambda s: (at(s, "y", F.greatest) >= b["s"]) & (at(s, "y", F.least) <= b["n"]) & (at(s, "x", F.greatest) >= b["w"])  # noqa: B023, E731
+        near = boxed.withColumn("__e", F.filter("__e", within))
+        near = near.withColumn("__near", F.exists("__e", lambda s: at(s, "x", F.least) <= b["e"]))  # noqa: B023
+        edge = F.exists("__e", lambda s: G.edge_meets_box(s, b["w"], b["s"], b["e"], b["n"]))  # noqa: B023
+        middle = G.contains("__e", (b["w"] + b["e"]) / 2, (b["s"] + b["n"]) / 2) if closed else F.lit(False)
+        point = F.coalesce(F.exists("__v", lambda v: v["x"].between(b["w"], b["e"]) & v["y"].between(b["s"], b["n"])), F.lit(False))  # noqa: B023
+        hit = near.filter(F.col("__whole") | edge | middle | point)
+        hit = hit.withColumn("__whole", F.col("__whole") | (~F.col("__near") & F.col("__v").isNull()))
+        hit = hit.withColumn("__e", F.when(F.col("__whole"), F.slice("__e", 1, 0)).otherwise(F.col("__e")))
+        hit = cut(hit.drop("__b", "__near", "__n"))
+        found.append(hit.select(*rest, "minx", "miny", "maxx", "maxy", F.lit(z).alias("z"), "ty", "tx"))
+        below = F.lit(float(2 ** (z + 1)))
+        y0, y1 = tile_y(F.col("maxy"), below), tile_y(F.col("miny") + EPS, below)
+        x0, x1 = tile_x(F.col("minx"), below), tile_x(F.col("maxx") - EPS, below)
+        half = F.explode(F.array(F.lit(0), F.lit(1)))
+        rows = hit.withColumn("__i", half).withColumn("ty", F.col("ty") * 2 + F.col("__i")).filter(F.col("ty").between(y0, F.greatest(y0, y1)))
+        rows = rows.withColumn("__i", half).withColumn("tx", F.col("tx") * 2 + F.col("__i")).filter(F.col("tx").between(x0, F.greatest(x0, x1))).drop("__i")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # Zoom ranges and kept properties per layer.
@@ -333,6 +358,8 @@ LAYERS = {
     "isochrone": (7, 13, ["code", "name"]),
     "ptv_lines": (7, 13, ["code", "name"]),
 }
+# Fixed value: the layers of lines.
+LINES = ("ptv_lines",)
 
 
 def tile_layer(
@@ -346,6 +373,21 @@ def tile_layer(
     return cover.select(F.lit(layer).alias("layer"), "z", "tx", "ty", *keep, "minx", "miny", "maxx", "maxy")
 
 
+def write_tile_layers(layers: dict[str, DataFrame], path: str, geom: str = "geom") -> None:
+    """L8. Features of each preset layer as tiles below `path`, partitioned by (layer, z).
+
+    Zoom ranges and properties come from LAYERS; line layers have no inside. Writing a layer again
+    replaces its own partitions and leaves the others.
+    """
+    unknown = sorted(set(layers) - set(LAYERS))
+    if unknown:
+        raise ValueError(f"unknown layers {unknown}")
+    for layer, features in layers.items():
+        low, high, keep = LAYERS[layer]
+        tiles = tile_layer(features, layer, low, high, keep, geom, closed=layer not in LINES)
+        tiles.repartition("layer", "z", "tx", "ty").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "z").parquet(path)
+
+
 def tile_counts(tiles: DataFrame) -> DataFrame:
     """L8. Features per non-empty tile."""
     return tiles.groupBy("layer", "z", "tx", "ty").agg(F.count(F.lit(1)).alias("n_features"))

@@ -183,3 +183,34 @@ def test_cells_of_concave_shapes_and_holes(spark):
                     want.add((code, f"h{resolution}:{q}:{r}"))
     got = P.dissolve_areas(df, "code", resolution)
     assert len(want) > 100 and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def plain_cover(features, low, high, closed=True):
+    """Every tile of the box of every feature, tested with all its edges."""
+    rows = P.tile_candidates(features, low, high).withColumn("__e", G.edges("geom"))
+    n = F.col("__n")
+    w, e, north, south = P.tile_west(F.col("tx"), n), P.tile_west(F.col("tx") + 1, n), P.tile_north(F.col("ty"), n), P.tile_north(F.col("ty") + 1, n)
+    hit = F.exists("__e", lambda s: G.edge_meets_box(s, w, south, e, north))
+    if closed:
+        hit = hit | G.contains("__e", (w + e) / 2, (south + north) / 2)
+    return rows.filter(hit)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_descending_zooms_finds_the_tiles_of_every_box(spark, closed):
+    _, polys = odd_polygons(spark)
+    df = polys.filter("code <> 'far'")
+    key = ["code", "z", "ty", "tx"]
+    got, want = (sorted(map(tuple, x.select(*key).collect())) for x in (P.tile_cover(df, 0, 5, closed=closed), plain_cover(df, 0, 5, closed)))
+    assert got == want and len(got) > 500
+
+
+def test_layers_are_written_by_preset(spark, tmp_path):
+    path = str(tmp_path / "tiles")
+    P.write_tile_layers({"sal": grid(spark, 2, 0.01, 144.0, -37.0), "school_zones": grid(spark, 1, 0.01, 144.0, -37.0)}, path)
+    read = lambda: {(r.layer, r.z): r.n for r in spark.read.parquet(path).groupBy("layer", "z").agg(F.countDistinct("code").alias("n")).collect()}
+    assert read() == {("sal", z): 4 for z in range(6, 14)} | {("school_zones", z): 1 for z in range(7, 12)}
+    P.write_tile_layers({"sal": grid(spark, 3, 0.01, 144.0, -37.0)}, path)
+    assert read()["sal", 9] == 9 and read()["school_zones", 9] == 1
+    with pytest.raises(ValueError):
+        P.write_tile_layers({"roads": grid(spark, 1)}, path)
