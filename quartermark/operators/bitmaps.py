@@ -22,11 +22,11 @@ SHORT = {"observed": "obs", "imputed": "imp", "forecast": "fc"}
 
 
 def presence_keys(obs: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Distinct (slice, row key, source class) of the median rows and the forecasts, each read once."""
+    """Distinct (slice, row key, source class) of the median rows and the forecasts, each read once, written."""
     dims = [C.tier_of().alias("tier"), "dwelling_type", "bedrooms", "geospatial_codes"]
     rows = obs.filter(F.col("statistic") == "median").select(*dims, C.source_class().alias("source_class"))
     both = rows.unionByName(forecasts.select(*dims, F.lit("forecast").alias("source_class")))
-    return both.filter((F.col("dwelling_type") != "vacant_land") & (F.col("bedrooms") != "0") & F.col("tier").isNotNull()).distinct()
+    return cut(both.filter((F.col("dwelling_type") != "vacant_land") & (F.col("bedrooms") != "0") & F.col("tier").isNotNull()).distinct())
 
 
 def class_bitmaps(keys: DataFrame) -> DataFrame:

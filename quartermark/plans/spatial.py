@@ -307,11 +307,15 @@ def tile_candidates(features: DataFrame, min_zoom: int, max_zoom: int, geom: str
     return rows.withColumn("tx", F.explode(F.sequence(x0, F.greatest(x0, x1))))
 
 
+#: Zooms that are gone down between two writes.
+STRIDE = 3
+
+
 def tile_cover(features: DataFrame, min_zoom: int, max_zoom: int, geom: str = "geom", closed: bool = True) -> DataFrame:
     """L7. Tiles that a feature really meets: an edge in the tile, or the tile inside the polygon.
 
     Zooms are gone down one by one: only tiles hit at a zoom are split at the next, each with the edges
-    that can still matter below it, written in between. A tile without edges inside the polygon carries
+    that can still matter below it; every STRIDE zooms they are written and spread. A tile without edges inside the polygon carries
     none from there on. So a feature as large as the world is spread after the first zooms, and the work
     follows the tiles that are hit.
     """
@@ -336,7 +340,9 @@ def tile_cover(features: DataFrame, min_zoom: int, max_zoom: int, geom: str = "g
         hit = near.filter(F.col("__whole") | edge | middle | point)
         hit = hit.withColumn("__whole", F.col("__whole") | (~F.col("__near") & F.col("__v").isNull()))
         hit = hit.withColumn("__e", F.when(F.col("__whole"), F.slice("__e", 1, 0)).otherwise(F.col("__e")))
-        hit = cut(hit.drop("__b", "__near", "__n"))
+        hit = hit.drop("__b", "__near", "__n")
+        if (z - min_zoom) % STRIDE == STRIDE - 1 and z < max_zoom:
+            hit = cut(hit)
         found.append(hit.select(*rest, "minx", "miny", "maxx", "maxy", F.lit(z).alias("z"), "ty", "tx"))
         below = F.lit(float(2 ** (z + 1)))
         y0, y1 = tile_y(F.col("maxy"), below), tile_y(F.col("miny") + EPS, below)
