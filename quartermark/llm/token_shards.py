@@ -245,8 +245,16 @@ class ShardReader:
         if not self.hash.size:
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         slots = self.hash.slots(keys)
-        found = (slots >= 0) & (self.part("print")[slots] == prints(keys))
-        return found, self.part("offset")[slots], self.part("length")[slots].astype(np.int64)
+        found = (slots >= 0) & (self.values("print", slots) == prints(keys))
+        return found, self.values("offset", slots), self.values("length", slots).astype(np.int64)
+
+    def values(self, name: str, slots: np.ndarray) -> np.ndarray:
+        """Entries at `slots`; few are read where they lie, so one lookup does not depend on the shard's size."""
+        at, n, kind = self.parts[name]
+        if len(slots) * 512 >= n:
+            return self.part(name)[slots]
+        width = np.dtype(kind).itemsize
+        return np.frombuffer(b"".join(self.file.read_at(width, at + (s % n) * width) for s in slots.tolist()), kind)
 
     def ids(self, offset: int, length: int) -> bytes:
         """Ids of one record as little-endian unsigned 32-bit integers."""
@@ -297,7 +305,9 @@ def write(docs: DataFrame, folder: str | None = None, id: str = "doc_id", text:
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
     rows = docs.select(F.col(id).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # The text's hash splits rows of one id, null included, over ranges.
+    ordered = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered, "text")
     done = cut(dealt.mapInArrow(run, "shard int, path string, records long, ids long, low long, high long"))
     before = F.sum("ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     return done.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -313,24 +323,26 @@ def scan(manifest: DataFrame) -> DataFrame:
                     counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(offsets + start, pa.int64()), counts, pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    shards = manifest.select("path", "start").repartition("path")
+    # Names are few bytes, so a number is given: AQE would read every file in one task.
+    shards = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def fetch(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """Keyed access: doc_id, ids of the first record of every key of `keys` that the shards hold.
 
-    A key goes to the one shard whose range has it (the manifest has one row per file and is all the
+    A key goes to the first shard whose range has it (the manifest has one row per file and is all the
     driver sees), and there to its slot.
     """
-    shards = [(r.low, r.path) for r in manifest.filter("low is not null").orderBy("shard").select("low", "path").collect()]
-    lows, paths = np.array([x for x, _ in shards], np.int64), [p for _, p in shards]
+    shards = [(r.high, r.path) for r in manifest.filter("low is not null").orderBy("shard").select("high", "path").collect()]
+    highs, paths = np.array([x for x, _ in shards], np.int64), [p for _, p in shards]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = np.array([k for k in b.column(0).to_pylist() if k is not None], np.int64)
-            at = np.searchsorted(lows, own, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(own[at >= 0]), pa.array(at[at >= 0].astype(np.int32))], ["key", "shard"])
+            at = np.searchsorted(highs, own)
+            held = at < len(paths)
+            yield pa.RecordBatch.from_arrays([pa.array(own[held]), pa.array(at[held].astype(np.int32))], ["key", "shard"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers: dict[int, ShardReader] = {}

@@ -267,7 +267,8 @@ def runs(manifest: DataFrame) -> DataFrame:
                 rows.sort(key=order)
                 yield from _batches(rows)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(run, _RUN)
+    # Names are few bytes, so a number is given: AQE would read every archive in one task.
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(run, _RUN)
 
 
 def index(manifest: DataFrame, buffer: int = BUFFER) -> DataFrame:
