@@ -1,165 +1,209 @@
 """Language-model scoring by cross-entropy difference.
 
-Two character n-gram models of the same order, smoothing and vocabulary are counted: the target model
-from the labelled documents of the wanted quality, the background model from all documents. A document's
-score is its mean loss under the background model minus its mean loss under the target model, per
-token: above zero it is more like the target than like the corpus.
-
-Tokens are characters. The vocabulary is the commonest code points of the whole corpus, everything
-else is one unknown token, and a boundary token stands before and after a text. An n-gram's
-probability interpolates its order with the next lower one (Witten-Bell), down to a uniform share.
-Counts cover every document: each task adds up the n-grams of its rows in a dense table and sends its
-cells that are not zero, so what is gathered grows with the input, and Spark sums them by cell. The
-summed tables have at most VOCABULARY ** ORDER cells whatever the corpus, the bound of what is
-broadcast.
-
-Null and empty texts are two boundary tokens. Documents without a label or with a null one belong to
-the background only; repeated rows count as often as they occur. Without target documents the models
-are equal and every score is 0.
+Two word-bigram models of the same smoothing and vocabulary are counted: the target model from the
+rows whose id is among the wanted ones, the background model from all rows. A document's score is its
+mean loss under the background model minus its mean loss under the target model, per token: above zero
+it is more like the target than like the corpus.
+
+Tokens are the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, and a boundary before and
+after it. The vocabulary is every word of the corpus. A bigram's probability interpolates it with the
+word's own share and that with a uniform share over the vocabulary (Witten-Bell).
+
+Counts are Spark tables that grow with the corpus: tasks add up the bigrams of their rows, Spark sums
+them by bigram, and the losses of every bigram are one row of a table. The HOT commonest bigrams (a
+bound that a histogram of counts proves before they are collected) are broadcast, so that most tokens
+are scored where the text is; every other bigram is joined with the table. What is broadcast changes
+the traffic, never a score. Words are known by their 64-bit hash, bigrams by a 64-bit mix of two.
+
+Scores belong to texts: sums are kept per 64-bit hash of a text, where equal texts count together in
+both the losses and the tokens, which leaves their mean as it is.
+
+Null and empty texts are one token, the boundary after the boundary. Documents without a label or with
+a null id belong to the background only; repeated rows count as often as they occur, and all rows of
+an id are wanted if it is. Without target documents the models are equal and every score is 0. Further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import as_text, per_process, slices
+from quartermark.llm.common import LOWER, UPPER, as_bytes, byte_slices, per_process, salted_left
 from quartermark.session import cut
 
-#: Tokens (boundary and unknown included) and order of the models.
-VOCABULARY, ORDER = 128, 3
-EDGE, UNKNOWN, FIRST = 0, 1, 2
-#: Characters whose n-grams are counted or scored at a time.
-CHUNK = 1 << 20
+#: Bigrams that are broadcast, 16 bytes each.
+HOT = 1 << 18
+#: Bytes of text whose bigrams are added up at a time, and words whose hashes a worker keeps, with their longest.
+CHUNK, CACHE, CACHED_WORD = 4 << 20, 1 << 19, 64
+EDGE = 0
+#: Odd factor that mixes two word hashes.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def chunks(raw: bytes, limit: int = CHUNK) -> Iterator[bytes]:
+    """`raw` in parts of about `limit` bytes, cut at white space."""
+    at = 0
+    while len(raw) - at > limit:
+        gap = _SPACE.search(raw, at + limit)
+        if not gap:
+            break
+        yield raw[at : gap.start()]
+        at = gap.end()
+    yield raw[at:]
+
+
+class Words:
+    """64-bit hashes of words, the common ones kept."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def hashes(self, raw: bytes) -> np.ndarray:
+        own, found = raw.translate(_FOLD).split(), self.known.get
+        out = list(map(found, own))
+        if None in out:
+            for i, h in enumerate(out):
+                if h is None:
+                    w = own[i]
+                    out[i] = h = xxhash.xxh64_intdigest(w)
+                    if len(w) <= CACHED_WORD:
+                        self.known[w] = h
+            if len(self.known) > CACHE:
+                self.known.clear()
+        return np.array(out, np.uint64)
+
+    def parts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text number, previous word, word) of every token, the last boundary included, in parts of bounded size."""
+        rows, before, words, size = [], [], [], 0
+        for i, text in enumerate(texts):
+            last = np.array([EDGE], np.uint64)
+            for part in chunks(text):
+                own = self.hashes(part)
+                rows.append(np.full(len(own), i, np.int64))
+                before.append(np.concatenate([last, own[:-1]])[: len(own)])
+                words.append(own)
+                last = own[-1:] if len(own) else last
+                size += len(part)
+                if size >= CHUNK:
+                    yield np.concatenate(rows), np.concatenate(before), np.concatenate(words)
+                    rows, before, words, size = [], [], [], 0
+            rows.append(np.array([i]))
+            before.append(last)
+            words.append(np.array([EDGE], np.uint64))
+        if rows:
+            yield np.concatenate(rows), np.concatenate(before), np.concatenate(words)
+
+
+def mixed(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return before * MIX + words
+
+
+def counts(texts: DataFrame) -> DataFrame:
+    """gram, before, word, n: bigrams of the one text column of `texts`, added up per part of a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = per_process("bigram words", Words)
+        for b in byte_slices(batches, 0, CHUNK):
+            for _, before, words in tool.parts(as_bytes(b.column(0))):
+                gram, first, n = np.unique(mixed(before, words), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, before[first], words[first], n)], ["gram", "before", "word", "n"])
+
+    return texts.mapInArrow(run, "gram long, before long, word long, n long")
+
+
+def models(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """gram, n, back, want: every bigram's count and its loss in nats under both models. Columns of `own`: doc_id, text."""
+    every = counts(own.select("text")).select("gram", "before", "word", F.col("n").alias("a"), F.lit(0).cast("long").alias("t"))
+    target = counts(own.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").select("text"))
+    target = target.select("gram", "before", "word", F.lit(0).cast("long").alias("a"), F.col("n").alias("t"))
+    grams = cut(every.unionByName(target).groupBy("gram", "before", "word").agg(F.sum("a").alias("a"), F.sum("t").alias("t")))
+    words = cut(grams.groupBy("word").agg(F.sum("a").alias("word_a"), F.sum("t").alias("word_t")))
+    sizes = words.agg(F.count(F.lit(1)).alias("v"), F.sum("word_a").alias("a"), F.sum("word_t").alias("t"), F.count(F.when(F.col("word_t") > 0, 1)).alias("kt")).first()
+    contexts = grams.groupBy("before").agg(
+        F.sum("a").alias("before_a"), F.sum("t").alias("before_t"), F.count(F.lit(1)).alias("kinds_a"), F.count(F.when(F.col("t") > 0, 1)).alias("kinds_t")
+    )
+    # A common word has many bigrams: they are dealt over salts, and each salt meets the word's one row.
+    known = salted_left(salted_left(grams, words, "word", "gram"), contexts, "before", "gram")
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[int]:
-    """The commonest code points of all texts, ties by code point."""
+    def loss(kind: str, total: int, kinds: int) -> F.Column:
+        single = F.col(f"word_{kind}") / F.lit(float(total + kinds)) + F.lit(kinds / (total + kinds) / max(1, sizes.v))
+        n, k = F.col(f"before_{kind}"), F.col(f"kinds_{kind}")
+        return -F.log(F.when(n > 0, (F.col(kind) + k * single) / (n + k)).otherwise(single))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
-        for b in slices(batches):
-            for part in pieces(as_text(b.column(0))):
-                points, n = np.unique(np.frombuffer("".join(part).encode("utf-32-le", "replace"), "<u4"), return_counts=True)
-                seen.update(dict(zip(points.tolist(), n.tolist())))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), pa.array(seen.values(), pa.int64())], ["point", "n"])
-
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r.point for r in counts.orderBy(F.desc("n"), "point").limit(size - FIRST).collect()]
-
-
-def pieces(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in runs of about CHUNK characters."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-class Tokens:
-    """Token codes of texts under one vocabulary."""
-
-    def __init__(self, points: list[int]):
-        self.table = np.full(0x110000, UNKNOWN, np.uint8)
-        self.table[points] = np.arange(FIRST, FIRST + len(points), dtype=np.uint8)
-
-    def codes(self, texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(codes of all texts, each after order - 1 boundaries and before one; tokens per text, the last boundary included)."""
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        raw = self.table[np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")]
-        ends = np.cumsum(sizes)
-        out = np.zeros(len(raw) + len(texts) * order, np.uint8)
-        at = np.arange(len(raw)) + np.repeat(np.arange(len(texts)) * order + order - 1, sizes)
-        out[at] = raw
-        assert not len(ends) or ends[-1] == len(raw)
-        return out, sizes + 1
-
-    def grams(self, texts: list[str], order: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """(cell of the n-gram that ends at each token, tokens per text)."""
-        codes, sizes = self.codes(texts, order)
-        cell = np.zeros(len(codes) - order + 1, np.int64) if len(codes) else np.zeros(0, np.int64)
-        for k in range(order):
-            cell = cell * base + codes[k : len(codes) - order + 1 + k]
-        starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
-        keep = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        return cell[keep], sizes
-
-
-def counts(docs: DataFrame, points: list[int], order: int = ORDER) -> DataFrame:
-    """cell, all, target: n-gram counts over the rows of `docs` (text, target boolean)."""
-    base = len(points) + FIRST
+    back = loss("a", sizes.a or 1, sizes.v or 1)
+    want = loss("t", sizes.t, sizes.kt) if sizes.t else back
+    return cut(known.select("gram", F.col("a").alias("n"), back.alias("back"), want.alias("want")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = per_process(("tokens", tuple(points)), lambda: Tokens(points))
-        seen = np.zeros((2, base**order), np.int64)
-        for b in slices(batches):
-            texts, wanted = as_text(b.column(0)), b.column(1).to_pylist()
-            for row, own in ((0, texts), (1, [t for t, w in zip(texts, wanted) if w])):
-                for part in pieces(own):
-                    cell, _ = tool.grams(part, order, base)
-                    seen[row] += np.bincount(cell, minlength=base**order)
-        cells = np.flatnonzero(seen[0])
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(seen[0][cells]), pa.array(seen[1][cells])], ["cell", "all", "target"])
-
-    found = docs.mapInArrow(run, "cell long, all long, target long")
-    return found.groupBy("cell").agg(F.sum("all").alias("all"), F.sum("target").alias("target"))
-
-
-def losses(grams: np.ndarray, base: int, order: int) -> np.ndarray:
-    """Loss in nats of the last token of every n-gram under the interpolated model of dense counts."""
-    tables = [grams.reshape((base,) * order).astype(np.float64)]
-    for _ in range(order - 1):
-        tables.append(tables[-1].sum(axis=0))
-    p = np.full(base, 1.0 / base)
-    for table in reversed(tables):
-        total = table.sum(axis=-1, keepdims=True)
-        kinds = (table > 0).sum(axis=-1, keepdims=True)
-        share = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        p = (1 - share) * table / np.maximum(total, 1) + share * p
-    return -np.log(p).ravel()
-
-
-def score(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, size: int = VOCABULARY) -> DataFrame:
+
+def common(table: DataFrame, most: int = HOT) -> DataFrame:
+    """The bigrams above the least count that at most `most` of them reach."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    levels = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
+    held, least = 0, 1 << 30
+    for level in levels:
+        held += level.k
+        if held > most:
+            break
+        least = level.step
+    return table.filter(step >= least)
+
+
+def score(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_tokens, background_loss, target_loss, score. `target` has the ids of target documents."""
     kind = docs.schema[id].dataType
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    points = vocabulary(own, "text", size)
-    base = len(points) + FIRST
     # Target ids grow with the corpus, so they are never broadcast: the join shuffles at every size.
-    wanted = target.select(F.col(target.columns[0]).alias("__id")).filter("__id is not null").distinct().withColumn("__in", F.lit(True)).hint("merge")
-    marked = own.join(wanted, F.col("doc_id") == F.col("__id"), "left").select("text", F.coalesce("__in", F.lit(False)).alias("target"))
-    found = cut(counts(marked, points, order)).toArrow()
-    dense = np.zeros((2, base**order))
-    dense[:, found.column("cell").to_numpy()] = [found.column("all").to_numpy(), found.column("target").to_numpy()]
-    background = losses(dense[0], base, order)
-    model = docs.sparkSession.sparkContext.broadcast(
-        np.stack([background, losses(dense[1], base, order) if dense[1].any() else background]).astype(np.float32)
-    )
+    wanted = target.select(F.col(target.columns[0]).alias("__id")).filter("__id is not null").distinct().hint("merge")
+    table = models(own, wanted)
+    near = common(table, hot).orderBy("gram").select("gram", "back", "want").toArrow()
+    model = docs.sparkSession.sparkContext.broadcast((near.column("gram").to_numpy(), np.stack([near.column(c).to_numpy() for c in ("back", "want")])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, table = per_process(("tokens", tuple(points)), lambda: Tokens(points)), model.value
-        for b in slices(batches):
-            at = 0
-            for part in pieces(as_text(b.column(1))):
-                cell, sizes = tool.grams(part, order, base)
-                starts = np.cumsum(sizes) - sizes
-                back, want = (np.add.reduceat(row[cell].astype(np.float64), starts) / sizes for row in table)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(part)), pa.array(sizes), pa.array(back), pa.array(want), pa.array(back - want)],
-                    ["doc_id", "n_tokens", "background_loss", "target_loss", "score"],
-                )
-                at += len(part)
-
-    fields = [("n_tokens", T.LongType()), ("background_loss", T.DoubleType()), ("target_loss", T.DoubleType()), ("score", T.DoubleType())]
-    return own.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in fields)]))
+        tool, (grams, losses) = per_process("bigram words", Words), model.value
+        for b in byte_slices(batches, 1, CHUNK):
+            raw, keys = as_bytes(b.column(1)), b.column(2).to_numpy()
+            tokens, sums = np.zeros(len(raw), np.int64), np.zeros((2, len(raw)))
+            for rows, before, words in tool.parts(raw):
+                gram = mixed(before, words).view(np.int64)
+                tokens += np.bincount(rows, minlength=len(raw))
+                at = np.minimum(np.searchsorted(grams, gram), max(0, len(grams) - 1))
+                held = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
+                for k in (0, 1):
+                    sums[k] += np.bincount(rows[held], losses[k][at[held]], len(raw)) if held.any() else 0
+                far, n = np.unique(np.rec.fromarrays([keys[rows[~held]], gram[~held]]), return_counts=True)
+                yield _rows(pa.nulls(len(far), b.column(0).type), far["f0"], far["f1"], n, 0, 0.0, 0.0)
+            yield _rows(b.column(0), keys, None, 1, tokens, *sums)
+
+    fields = [("key", T.LongType()), ("gram", T.LongType()), ("n", T.LongType()), ("n_tokens", T.LongType()), ("back", T.DoubleType()), ("want", T.DoubleType())]
+    schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in fields)])
+    found = cut(own.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, schema))
+    rows, far = found.filter("gram is null"), found.filter("gram is not null").groupBy("gram", "key").agg(F.sum("n").alias("n"))
+    beyond = far.join(table.select("gram", F.col("back").alias("b"), F.col("want").alias("w")), "gram")
+    beyond = beyond.groupBy("key").agg(F.sum(F.col("n") * F.col("b")).alias("far_b"), F.sum(F.col("n") * F.col("w")).alias("far_w"))
+    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    shared = beyond.join(copies, "key").select("key", (F.col("far_b") / F.col("copies")).alias("far_b"), (F.col("far_w") / F.col("copies")).alias("far_w"))
+    out = salted_left(rows, shared, "key", "doc_id")
+    mean = lambda near, far: (F.col(near) + F.coalesce(far, F.lit(0.0))) / F.col("n_tokens")
+    out = out.select("doc_id", "n_tokens", mean("back", "far_b").alias("background_loss"), mean("want", "far_w").alias("target_loss"))
+    return out.withColumn("score", F.col("background_loss") - F.col("target_loss"))
+
+
+def _rows(ids: pa.Array, keys, grams, n, tokens, back, want) -> pa.RecordBatch:
+    size = len(ids)
+    full = lambda v, kind: pa.array(v if isinstance(v, np.ndarray) else np.full(size, v), kind)
+    gram = pa.nulls(size, pa.int64()) if grams is None else pa.array(grams, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [ids, full(keys, pa.int64()), gram, full(n, pa.int64()), full(tokens, pa.int64()), full(back, pa.float64()), full(want, pa.float64())],
+        ["doc_id", "key", "gram", "n", "n_tokens", "back", "want"],
+    )

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -8,51 +9,61 @@ from quartermark.llm import lm_scoring
 from quartermark.llm.common import documents, table
 
 
-def plain_model(texts, vocab, order):
-    """Witten-Bell interpolated model by dictionaries."""
-    base = len(vocab) + 2
-    follow = defaultdict(Counter)
+def tokens(text):
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return ["", *re.findall(lm_scoring_word, folded), ""]
+
+
+lm_scoring_word = r"[^\x20\x09-\x0D]+"
+
+
+def plain_model(texts, size):
+    """Witten-Bell interpolated bigrams by dictionaries; `size` words in the vocabulary, boundary included."""
+    single, follow = Counter(), defaultdict(Counter)
     for t in texts:
-        w = [0] * (order - 1) + [vocab.get(c, 1) for c in t] + [0]
-        for i in range(order - 1, len(w)):
-            for k in range(order):
-                follow[tuple(w[i - k : i])][w[i]] += 1
-
-    def p(context, c):
-        lower = p(context[1:], c) if context else 1.0 / base
-        seen = follow.get(context)
-        if not seen:
-            return lower
-        n, kinds = sum(seen.values()), len(seen)
-        share = kinds / (n + kinds)
-        return (1 - share) * seen[c] / n + share * lower
+        w = tokens(t)
+        single.update(w[1:])
+        for a, b in zip(w, w[1:]):
+            follow[a][b] += 1
+    total, kinds = sum(single.values()), len(single)
+
+    def p(a, b):
+        one = (single[b] + kinds / size) / (total + kinds)
+        seen = follow.get(a)
+        return (seen[b] + len(seen) * one) / (sum(seen.values()) + len(seen)) if seen else one
 
     def loss(t):
-        w = [0] * (order - 1) + [vocab.get(c, 1) for c in t] + [0]
-        return sum(-math.log(p(tuple(w[i - order + 1 : i]), w[i])) for i in range(order - 1, len(w))) / (len(w) - order + 1)
+        w = tokens(t)
+        return sum(-math.log(p(a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1)
 
     return loss
 
 
-@pytest.mark.parametrize("order,size", [(3, 9), (2, 128)])
-def test_scores_match_dictionaries(spark, order, size):
-    texts = ["banana bandana", "ananas", "", None, "cab \xe9 cab", "zzz" * 4000, "ban", "ban", "banana"]
-    ids = [1, 2, 3, 4, 5, 6, 7, 7, None]
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t in zip(ids, texts)], "doc_id long, text string, score double").repartition(3)
-    target = spark.createDataFrame([(1,), (1,), (7,), (None,), (99,)], "doc_id long")
-    got = lm_scoring.score(docs, target, order=order, size=size).collect()
-    chars = Counter(c for t in texts for c in (t or ""))
-    top = sorted(chars, key=lambda c: (-chars[c], c))[: size - 2]
-    vocab = {c: i + 2 for i, c in enumerate(top)}
-    back = plain_model([t or "" for t in texts], vocab, order)
-    want = plain_model([t or "" for i, t in zip(ids, texts) if i in (1, 7)], vocab, order)
-    rows = sorted((str(i), len(t or "") + 1, back(t or ""), want(t or "")) for i, t in zip(ids, texts))
+@pytest.mark.parametrize("hot", [0, 5, 1 << 18])
+def test_scores_match_dictionaries(spark, hot, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 64)
+    texts = ["a banana Bandana", "ananas a", "", None, "cab \xe9 cab\x85x", "zzz " * 400, "ban a ban", "ban a ban", "a banana", "ban a ban",
+             "\u4e2d\u6587 \u5b57 \u4e2d\u6587 \u8bcd", "\u5b57 \u8bcd", " \t\n", "w" * 500]
+    ids = [1, 2, 3, 4, 5, 6, 7, 7, None, 8, 9, 10, 11, None]
+    docs = spark.createDataFrame([(i, t, 0.5, "k") for i, t in zip(ids, texts)], "doc_id long, text string, score double, key string").repartition(3)
+    target = spark.createDataFrame([(1,), (1,), (7,), (9,), (None,), (99,)], "doc_id long")
+    got = lm_scoring.score(docs, target, hot=hot).collect()
+    size = len({w for t in texts for w in tokens(t or "")})
+    back = plain_model([t or "" for t in texts], size)
+    want = plain_model([t or "" for i, t in zip(ids, texts) if i in (1, 7, 9)], size)
+    rows = sorted((str(i), len(tokens(t or "")) - 1, back(t or ""), want(t or "")) for i, t in zip(ids, texts))
     have = sorted((str(r.doc_id), r.n_tokens, r.background_loss, r.target_loss) for r in got)
     for a, b in zip(have, rows, strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-5)
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
     assert all(r.score == pytest.approx(r.background_loss - r.target_loss) for r in got)
 
 
+def test_table_grows_with_the_corpus(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('w', id, ' v', id) as text")
+    table = lm_scoring.models(docs, docs.selectExpr("doc_id as __id"))
+    assert table.count() == 900 and lm_scoring.common(table, 10).count() <= 10
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert lm_scoring.score(docs, docs.select("doc_id").limit(0)).first().score == 0
