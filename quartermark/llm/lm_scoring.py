@@ -1,24 +1,24 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word-bigram models of the same smoothing and vocabulary are counted: the target model from the
-rows whose id is among the wanted ones, the background model from all rows. A document's score is its
-mean loss under the background model minus its mean loss under the target model, per token: above zero
-it is more like the target than like the corpus.
+Two character-trigram models of the same smoothing and vocabulary are counted: the target model from
+the rows whose id is among the wanted ones, the background model from all rows. A document's score is
+its mean loss under the background model minus its mean loss under the target model, per token: above
+zero it is more like the target than like the corpus.
 
-Tokens are the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, and a boundary before and
-after it. The vocabulary is every word of the corpus. A bigram's probability interpolates it with the
-word's own share and that with a uniform share over the vocabulary (Witten-Bell).
+Tokens are code points, with two boundaries before a text and one after it. The vocabulary is every
+code point of the corpus, in any script. A trigram's probability interpolates it with the bigram, that
+with the code point's own share, and that with a uniform share over the vocabulary (Witten-Bell).
 
-Counts are Spark tables that grow with the corpus: tasks add up the bigrams of their rows, Spark sums
-them by bigram, and the losses of every bigram are one row of a table. The HOT commonest bigrams (a
+Counts are Spark tables that grow with the corpus: tasks add up the trigrams of their rows, Spark sums
+them by trigram, and the losses of every trigram are one row of a table. The HOT commonest trigrams (a
 bound that a histogram of counts proves before they are collected) are broadcast, so that most tokens
-are scored where the text is; every other bigram is joined with the table. What is broadcast changes
-the traffic, never a score. Words are known by their 64-bit hash, bigrams by a 64-bit mix of two.
+are scored where the text is; every other trigram is joined with the table. What is broadcast changes
+the traffic, never a score. A trigram is three times 21 bits of one long, so no two share a cell.
 
 Scores belong to texts: sums are kept per 64-bit hash of a text, where equal texts count together in
 both the losses and the tokens, which leaves their mean as it is.
 
-Null and empty texts are one token, the boundary after the boundary. Documents without a label or with
+Null and empty texts are one token, the boundary after the boundaries. Documents without a label or with
 a null id belong to the background only; repeated rows count as often as they occur, and all rows of
 an id are wanted if it is. Without target documents the models are equal and every score is 0. Further
 columns, whatever their names, are not read.
@@ -26,128 +26,97 @@ columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartermark.llm.common import LOWER, UPPER, as_bytes, byte_slices, per_process, salted_left
+from quartermark.llm.common import as_text, byte_slices, salted_left
 from quartermark.session import cut
 
-#: Bigrams that are broadcast, 16 bytes each.
+#: Trigrams that are broadcast, 24 bytes each.
 HOT = 1 << 18
-#: Bytes of text whose bigrams are added up at a time, and words whose hashes a worker keeps, with their longest.
-CHUNK, CACHE, CACHED_WORD = 4 << 20, 1 << 19, 64
-EDGE = 0
-#: Odd factor that mixes two word hashes.
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-def chunks(raw: bytes, limit: int = CHUNK) -> Iterator[bytes]:
-    """`raw` in parts of about `limit` bytes, cut at white space."""
-    at = 0
-    while len(raw) - at > limit:
-        gap = _SPACE.search(raw, at + limit)
-        if not gap:
-            break
-        yield raw[at : gap.start()]
-        at = gap.end()
-    yield raw[at:]
-
-
-class Words:
-    """64-bit hashes of words, the common ones kept."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def hashes(self, raw: bytes) -> np.ndarray:
-        own, found = raw.translate(_FOLD).split(), self.known.get
-        out = list(map(found, own))
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    w = own[i]
-                    out[i] = h = xxhash.xxh64_intdigest(w)
-                    if len(w) <= CACHED_WORD:
-                        self.known[w] = h
-            if len(self.known) > CACHE:
-                self.known.clear()
-        return np.array(out, np.uint64)
-
-    def parts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text number, previous word, word) of every token, the last boundary included, in parts of bounded size."""
-        rows, before, words, size = [], [], [], 0
-        for i, text in enumerate(texts):
-            last = np.array([EDGE], np.uint64)
-            for part in chunks(text):
-                own = self.hashes(part)
-                rows.append(np.full(len(own), i, np.int64))
-                before.append(np.concatenate([last, own[:-1]])[: len(own)])
-                words.append(own)
-                last = own[-1:] if len(own) else last
-                size += len(part)
-                if size >= CHUNK:
-                    yield np.concatenate(rows), np.concatenate(before), np.concatenate(words)
-                    rows, before, words, size = [], [], [], 0
-            rows.append(np.array([i]))
-            before.append(last)
-            words.append(np.array([EDGE], np.uint64))
-        if rows:
-            yield np.concatenate(rows), np.concatenate(before), np.concatenate(words)
-
-
-def mixed(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return before * MIX + words
+#: Bytes of text, or characters of one longer text, whose trigrams are made at a time.
+CHUNK = 1 << 21
+#: Bits of a token, and the boundary, which is no code point.
+BITS, EDGE = 21, 0x110000
+
+
+def grams(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, trigram that ends there) of every token, the last boundary included; a text beyond
+    `limit` comes in parts."""
+    short = [i for i, t in enumerate(texts) if len(t) <= limit]
+    if short:
+        sizes = np.fromiter((len(texts[i]) for i in short), np.int64, len(short))
+        codes = np.full(int(sizes.sum()) + 3 * len(short), EDGE, np.int64)
+        codes[np.arange(sizes.sum()) + np.repeat(np.arange(len(short)) * 3 + 2, sizes)] = points("".join(texts[i] for i in short))
+        number = np.arange(len(short))
+        at = np.arange(int(sizes.sum()) + len(short)) + np.repeat(2 * number, sizes + 1)
+        yield np.repeat(np.array(short), sizes + 1), packed(codes)[at]
+    for i, t in enumerate(texts):
+        if len(t) > limit:
+            last = np.full(2, EDGE, np.int64)
+            for a in range(0, len(t), limit):
+                codes = np.concatenate([last, points(t[a : a + limit]), np.full(int(a + limit >= len(t)), EDGE, np.int64)])
+                last = codes[-2:]
+                yield np.full(len(codes) - 2, i), packed(codes)
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    return codes[:-2] << 2 * BITS | codes[1:-1] << BITS | codes[2:]
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """gram, before, word, n: bigrams of the one text column of `texts`, added up per part of a task."""
+    """gram, n: trigrams of the one text column of `texts`, added up per part of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = per_process("bigram words", Words)
         for b in byte_slices(batches, 0, CHUNK):
-            for _, before, words in tool.parts(as_bytes(b.column(0))):
-                gram, first, n = np.unique(mixed(before, words), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (gram, before[first], words[first], n)], ["gram", "before", "word", "n"])
+            for _, found in grams(as_text(b.column(0))):
+                gram, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, before long, word long, n long")
+    return texts.mapInArrow(run, "gram long, n long")
 
 
 def models(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """gram, n, back, want: every bigram's count and its loss in nats under both models. Columns of `own`: doc_id, text."""
-    every = counts(own.select("text")).select("gram", "before", "word", F.col("n").alias("a"), F.lit(0).cast("long").alias("t"))
-    target = counts(own.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").select("text"))
-    target = target.select("gram", "before", "word", F.lit(0).cast("long").alias("a"), F.col("n").alias("t"))
-    grams = cut(every.unionByName(target).groupBy("gram", "before", "word").agg(F.sum("a").alias("a"), F.sum("t").alias("t")))
-    words = cut(grams.groupBy("word").agg(F.sum("a").alias("word_a"), F.sum("t").alias("word_t")))
-    sizes = words.agg(F.count(F.lit(1)).alias("v"), F.sum("word_a").alias("a"), F.sum("word_t").alias("t"), F.count(F.when(F.col("word_t") > 0, 1)).alias("kt")).first()
-    contexts = grams.groupBy("before").agg(
-        F.sum("a").alias("before_a"), F.sum("t").alias("before_t"), F.count(F.lit(1)).alias("kinds_a"), F.count(F.when(F.col("t") > 0, 1)).alias("kinds_t")
-    )
-    # A common word has many bigrams: they are dealt over salts, and each salt meets the word's one row.
-    known = salted_left(salted_left(grams, words, "word", "gram"), contexts, "before", "gram")
-
-    def loss(kind: str, total: int, kinds: int) -> F.Column:
-        single = F.col(f"word_{kind}") / F.lit(float(total + kinds)) + F.lit(kinds / (total + kinds) / max(1, sizes.v))
-        n, k = F.col(f"before_{kind}"), F.col(f"kinds_{kind}")
-        return -F.log(F.when(n > 0, (F.col(kind) + k * single) / (n + k)).otherwise(single))
-
-    back = loss("a", sizes.a or 1, sizes.v or 1)
-    want = loss("t", sizes.t, sizes.kt) if sizes.t else back
-    return cut(known.select("gram", F.col("a").alias("n"), back.alias("back"), want.alias("want")))
+    """gram, n, back, want: every trigram's count and its loss in nats under both models. Columns of `own`: doc_id, text."""
+    none = F.lit(0).cast("long")
+    every = counts(own.select("text")).select("gram", F.col("n").alias("a"), none.alias("t"))
+    target = counts(own.join(wanted, F.col("doc_id") == F.col("__id"), "left_semi").select("text")).select("gram", none.alias("a"), F.col("n").alias("t"))
+    added = [F.sum("a").alias("a"), F.sum("t").alias("t")]
+    table = cut(every.unionByName(target).groupBy("gram").agg(*added))
+    pairs = cut(table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("gram")).agg(*added))
+    singles = cut(pairs.groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS) - 1)).alias("gram")).agg(*added))
+    size = singles.agg(F.sum("a").alias("a"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("ka"), F.count(F.when(F.col("t") > 0, 1)).alias("kt")).first()
+
+    def single(kind: str) -> F.Column:
+        n, kinds = size[kind] or 0, size[f"k{kind}"]
+        return (F.col(kind) + F.lit(kinds / max(1, size.ka))) / F.lit(float(max(1, n + kinds)))
+
+    known = singles.select("gram", single("a").alias("pa"), single("t").alias("pt"))
+    for level, bits in ((pairs, BITS), (table, 2 * BITS)):
+        context, suffix = F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)).alias("suffix")
+        total = level.groupBy(context).agg(
+            F.sum("a").alias("na"), F.sum("t").alias("nt"), F.count(F.lit(1)).alias("ka"), F.count(F.when(F.col("t") > 0, 1)).alias("kt")
+        )
+        # A common token follows and precedes many: its rows are dealt over salts, and each salt meets its one row.
+        rows = salted_left(level.withColumns({"context": context, "suffix": suffix}), total, "context", "gram")
+        rows = salted_left(rows, known.withColumnRenamed("gram", "suffix"), "suffix", "gram")
+        p = lambda k: F.when(F.col(f"n{k}") > 0, (F.col(k) + F.col(f"k{k}") * F.col(f"p{k}")) / (F.col(f"n{k}") + F.col(f"k{k}"))).otherwise(F.col(f"p{k}"))
+        known = cut(rows.select("gram", F.col("a").alias("n"), p("a").alias("pa"), p("t").alias("pt")))
+        known, counted = known.select("gram", "pa", "pt"), known
+    return counted.select("gram", "n", (-F.log("pa")).alias("back"), (-F.log("pt" if size.t else "pa")).alias("want"))
 
 
 def common(table: DataFrame, most: int = HOT) -> DataFrame:
-    """The bigrams above the least count that at most `most` of them reach."""
+    """The trigrams above the least count that at most `most` of them reach."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     levels = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
     held, least = 0, 1 << 30
@@ -170,17 +139,16 @@ def score(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "t
     model = docs.sparkSession.sparkContext.broadcast((near.column("gram").to_numpy(), np.stack([near.column(c).to_numpy() for c in ("back", "want")])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, (grams, losses) = per_process("bigram words", Words), model.value
+        known, losses = model.value
         for b in byte_slices(batches, 1, CHUNK):
-            raw, keys = as_bytes(b.column(1)), b.column(2).to_numpy()
-            tokens, sums = np.zeros(len(raw), np.int64), np.zeros((2, len(raw)))
-            for rows, before, words in tool.parts(raw):
-                gram = mixed(before, words).view(np.int64)
-                tokens += np.bincount(rows, minlength=len(raw))
-                at = np.minimum(np.searchsorted(grams, gram), max(0, len(grams) - 1))
-                held = grams[at] == gram if len(grams) else np.zeros(len(gram), bool)
+            texts, keys = as_text(b.column(1)), b.column(2).to_numpy()
+            tokens, sums = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)))
+            for rows, gram in grams(texts):
+                tokens += np.bincount(rows, minlength=len(texts))
+                at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+                held = known[at] == gram if len(known) else np.zeros(len(gram), bool)
                 for k in (0, 1):
-                    sums[k] += np.bincount(rows[held], losses[k][at[held]], len(raw)) if held.any() else 0
+                    sums[k] += np.bincount(rows[held], losses[k][at[held]], len(texts)) if held.any() else 0
                 far, n = np.unique(np.rec.fromarrays([keys[rows[~held]], gram[~held]]), return_counts=True)
                 yield _rows(pa.nulls(len(far), b.column(0).type), far["f0"], far["f1"], n, 0, 0.0, 0.0)
             yield _rows(b.column(0), keys, None, 1, tokens, *sums)

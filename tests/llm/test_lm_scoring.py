@@ -1,5 +1,4 @@
 import math
-import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,38 +9,33 @@ from quartermark.llm.common import documents, table
 
 
 def tokens(text):
-    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    return ["", *re.findall(lm_scoring_word, folded), ""]
-
-
-lm_scoring_word = r"[^\x20\x09-\x0D]+"
+    return ["", "", *text, ""]
 
 
 def plain_model(texts, size):
-    """Witten-Bell interpolated bigrams by dictionaries; `size` words in the vocabulary, boundary included."""
-    single, follow = Counter(), defaultdict(Counter)
+    """Witten-Bell interpolated trigrams by dictionaries; `size` tokens in the vocabulary, boundary included."""
+    follow = defaultdict(Counter)
     for t in texts:
         w = tokens(t)
-        single.update(w[1:])
-        for a, b in zip(w, w[1:]):
-            follow[a][b] += 1
-    total, kinds = sum(single.values()), len(single)
+        for i in range(2, len(w)):
+            for k in range(3):
+                follow[tuple(w[i - k : i])][w[i]] += 1
 
-    def p(a, b):
-        one = (single[b] + kinds / size) / (total + kinds)
-        seen = follow.get(a)
-        return (seen[b] + len(seen) * one) / (sum(seen.values()) + len(seen)) if seen else one
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / size
+        seen = follow.get(context)
+        return (seen[c] + len(seen) * lower) / (sum(seen.values()) + len(seen)) if seen else lower
 
     def loss(t):
         w = tokens(t)
-        return sum(-math.log(p(a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1)
+        return sum(-math.log(p(tuple(w[i - 2 : i]), w[i])) for i in range(2, len(w))) / (len(w) - 2)
 
     return loss
 
 
 @pytest.mark.parametrize("hot", [0, 5, 1 << 18])
 def test_scores_match_dictionaries(spark, hot, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "CHUNK", 64)
+    monkeypatch.setattr(lm_scoring.grams, "__defaults__", (64,))
     texts = ["a banana Bandana", "ananas a", "", None, "cab \xe9 cab\x85x", "zzz " * 400, "ban a ban", "ban a ban", "a banana", "ban a ban",
              "\u4e2d\u6587 \u5b57 \u4e2d\u6587 \u8bcd", "\u5b57 \u8bcd", " \t\n", "w" * 500]
     ids = [1, 2, 3, 4, 5, 6, 7, 7, None, 8, 9, 10, 11, None]
@@ -51,7 +45,7 @@ def test_scores_match_dictionaries(spark, hot, monkeypatch):
     size = len({w for t in texts for w in tokens(t or "")})
     back = plain_model([t or "" for t in texts], size)
     want = plain_model([t or "" for i, t in zip(ids, texts) if i in (1, 7, 9)], size)
-    rows = sorted((str(i), len(tokens(t or "")) - 1, back(t or ""), want(t or "")) for i, t in zip(ids, texts))
+    rows = sorted((str(i), len(t or "") + 1, back(t or ""), want(t or "")) for i, t in zip(ids, texts))
     have = sorted((str(r.doc_id), r.n_tokens, r.background_loss, r.target_loss) for r in got)
     for a, b in zip(have, rows, strict=True):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
@@ -59,9 +53,10 @@ def test_scores_match_dictionaries(spark, hot, monkeypatch):
 
 
 def test_table_grows_with_the_corpus(spark):
-    docs = spark.range(300).selectExpr("id as doc_id", "concat('w', id, ' v', id) as text")
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('x', id) as text")
     table = lm_scoring.models(docs, docs.selectExpr("doc_id as __id"))
-    assert table.count() == 900 and lm_scoring.common(table, 10).count() <= 10
+    want = {(a, b, c) for i in range(300) for a, b, c in zip(*[tokens(f"x{i}")[k:] for k in range(3)])}
+    assert table.count() == len(want) and lm_scoring.common(table, 10).count() <= 10
 
 
 def test_edges(spark):
