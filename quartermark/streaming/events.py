@@ -53,15 +53,17 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class Expiring(StatefulProcessor):
-    """State of a key goes once event time is `ttl_ms` past its newest event."""
+    """State of a key goes once event time is `ttl_ms` past its newest event; without a limit it stays."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
     def keep_until(self, newest: pd.Timestamp) -> None:
+        if self.ttl_ms is None:
+            return
         due = int(newest.timestamp() * 1000) + self.ttl_ms
         for timer in list(self.handle.listTimers()):
             if timer >= due:
@@ -103,15 +105,12 @@ class ItemDelta(Expiring):
 DELTA = "ts timestamp, layer string, item string, reason string, delta long, items int"
 
 
-#: How long an idle key's state is kept, in event time.
-TTL_MS = 90 * 24 * 3600 * 1000
-
-
-def item_deltas(events: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
+def item_deltas(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """N2, first half. State is keyed by (layer, item), so a hot layer spreads over its items.
 
-    Runs in event time: rows behind the watermark are dropped, and an item without events for
-    `ttl_ms` is forgotten.
+    Runs in event time: rows behind the watermark are dropped. State is a few bytes per item and kept,
+    so that a late unload still gives back its size; with `ttl_ms` an item without events for that
+    long is forgotten, and an unload after it gives back nothing.
     """
     return events.groupBy("layer", "item").transformWithStateInPandas(ItemDelta(ttl_ms), DELTA, "Append", "eventTime")
 
@@ -138,7 +137,7 @@ def running_totals(deltas: DataFrame) -> DataFrame:
 class EmaState(Expiring):
     """Per key: moving average of the rate, count of long gaps, last gaps, time of the last event."""
 
-    def __init__(self, alpha: float, start: float, long_gap: float, max_gap: float, history: int, ttl_ms: int):
+    def __init__(self, alpha: float, start: float, long_gap: float, max_gap: float, history: int, ttl_ms: int | None):
         super().__init__(ttl_ms)
         self.alpha, self.start, self.long_gap, self.max_gap, self.history = alpha, start, long_gap, max_gap, history
 
@@ -171,13 +170,13 @@ EMA = "key string, ema double, long_gaps long, n_gaps long, history int"
 
 def ema_stream(
     events: DataFrame, key: str, alpha: float = 0.1, start: float = 60.0, long_gap: float = 0.05, max_gap: float = 5.0, history: int = 120,
-    ttl_ms: int = TTL_MS,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
     """N3. Moving average of the event rate per key with a long-gap counter and a bounded history.
 
     The average depends on the order of a key's events, so a key is one state; spread a hot source
-    by keying on (source, session) as the feed does. Rows behind the watermark are dropped; a key
-    without events for `ttl_ms` of event time starts anew.
+    by keying on (source, session) as the feed does. Rows behind the watermark are dropped; with
+    `ttl_ms` a key without events for that much event time starts anew.
     """
     return events.select("ts", "event_id", F.col(key).cast("string").alias("key")).groupBy("key").transformWithStateInPandas(
         EmaState(alpha, start, long_gap, max_gap, history, ttl_ms), EMA, "Update", "eventTime"
@@ -197,25 +196,28 @@ def latest_stream(events: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, F.col("b.value").alias("value"), F.col("b.ts").alias("ts"))
 
 
-def coverage_stream(rows: DataFrame, table: str, checkpoint: str, keys_path: str):
-    """N6. Coverage counts kept up to date from batches of observation rows.
+COVERAGE = ["tier", "dwelling_type", "bedrooms", "source_class"]
+
 
-    A batch appends its distinct (slice, class, polygon) keys under its own batch number, so a
-    repeated batch overwrites itself, then the slices it touched are recounted and replaced.
+def coverage_stream(rows: DataFrame, counts_path: str, checkpoint: str):
+    """N6. First sights of (slice, class, polygon) in batches of observation rows, counted per slice.
+
+    The keys seen so far are the state of a streaming deduplication, so a batch costs what it brings
+    and no history is read again. A batch's counts lie under its own number, so a repeated batch
+    overwrites itself; `coverage_counts` adds them up.
     """
-    dims = ["tier", "dwelling_type", "bedrooms", "source_class"]
+    polygon = F.explode(C.code_list("geospatial_codes")).alias("polygon")
+    first = rows.select(C.tier_of().alias("tier"), "dwelling_type", "bedrooms", C.source_class().alias("source_class"), polygon).dropDuplicates()
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keys = batch.select(
-            C.tier_of().alias("tier"), "dwelling_type", "bedrooms", C.source_class().alias("source_class"), F.explode(C.code_list("geospatial_codes")).alias("polygon")
-        ).distinct()
-        keys.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "tier").parquet(keys_path)
-        touched = spark.read.parquet(keys_path).filter(F.col("batch") == number).select("tier").distinct()
-        every = spark.read.parquet(keys_path).join(touched, "tier", "left_semi")
-        counts = every.groupBy(*dims).agg(F.countDistinct("polygon").alias("region_count"))
-        replace_slice(counts, table, ["tier"])
+        counts = batch.groupBy(*COVERAGE).agg(F.count(F.lit(1)).alias("region_count"))
+        replace_slice(counts.withColumn("batch", F.lit(number)), counts_path, ["batch"])
 
     return (
-        rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        first.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     )
+
+
+def coverage_counts(counts: DataFrame) -> DataFrame:
+    """N6. Polygons with an observation so far, per slice and class."""
+    return counts.groupBy(*COVERAGE).agg(F.sum("region_count").alias("region_count"))

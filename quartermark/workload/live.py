@@ -165,9 +165,10 @@ def _(spark, sf):
 SELECT CASE geospatial_type WHEN 'suburb' THEN 'sal' ELSE 'lga' END AS tier, dwelling_type, bedrooms, 'observed' AS source_class, count(DISTINCT polygon) AS region_count
 FROM (SELECT *, unnest(string_split(geospatial_codes, '-')) AS polygon FROM obs WHERE statistic = 'median') GROUP BY ALL""")
 def _(spark, sf):
-    landing, table = scratch_path(spark, "landing"), scratch_path(spark, "coverage")
+    _rocksdb(spark)
+    landing, counts = scratch_path(spark, "landing"), scratch_path(spark, "coverage")
     rows = B.obs(spark, sf).filter(F.col("statistic") == "median")
     rows.repartition(3, "geospatial_codes").write.parquet(landing)
     src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    E.coverage_stream(src, table, scratch_path(spark, "offsets"), scratch_path(spark, "keys")).awaitTermination()
-    return spark.read.parquet(table).select("tier", "dwelling_type", "bedrooms", "source_class", "region_count")
+    E.coverage_stream(src, counts, scratch_path(spark, "offsets")).awaitTermination()
+    return E.coverage_counts(spark.read.parquet(counts))

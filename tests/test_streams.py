@@ -44,3 +44,38 @@ def test_late_rows_are_dropped_and_idle_keys_forgotten(spark):
     assert feed([(4, (7, 2))]) == {"7": 1, "8": 0}  # behind the watermark
     assert feed([(5, (8, 200))]) == {"7": 1, "8": 1}
     assert feed([(6, (7, 201))])["7"] == 0  # its state went when event time passed its limit
+
+
+def test_an_item_idle_for_long_gives_back_its_size(spark):
+    _rocksdb(spark)
+    landing, sink, offsets = (scratch_path(spark, n) for n in ("landing", "deltas", "offsets"))
+
+    def feed(*batch):
+        spark.createDataFrame(batch, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+            "ts", F.to_timestamp("ts")
+        ).coalesce(1).write.mode("append").parquet(landing)
+        signed = E.signed_events(E.event_stream(spark, landing, "1 hour"), "event_type", "user_id", "value", "load", "unload")
+        E.write_running_totals(signed.withColumn("layer", F.lit("l")), sink, offsets).awaitTermination()
+        return {r.layer: (r.total_bytes, r.item_count) for r in E.running_totals(spark.read.parquet(sink)).collect()}
+
+    assert feed((1, "2024-01-01", 7, "load", 40.0, ""), (2, "2024-01-01", 8, "load", 2.0, ""))["l"] == (42, 2)
+    assert feed((3, "2024-09-01", 8, "load", 5.0, ""))["l"] == (47, 3)
+    assert feed((4, "2025-09-02", 7, "unload", 0.0, ""))["l"] == (7, 2)
+
+
+def test_coverage_counts_first_sights_only(spark):
+    _rocksdb(spark)
+    landing, counts, offsets = (scratch_path(spark, n) for n in ("landing", "counts", "offsets"))
+
+    def feed(*codes):
+        rows = [("suburb", c, "house", "2", "a.csv") for c in codes]
+        schema = "geospatial_type string, geospatial_codes string, dwelling_type string, bedrooms string, source_file string"
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(landing)
+        src = spark.readStream.schema(schema).parquet(landing)
+        E.coverage_stream(src, counts, offsets).awaitTermination()
+        return [r.region_count for r in E.coverage_counts(spark.read.parquet(counts)).collect()]
+
+    assert feed("a", "a-b", "b") == [2]
+    assert feed("b", "c-a", "c") == [3]
+    assert feed("a") == [3]
+    assert [r.region_count for r in spark.read.parquet(counts).orderBy("batch").collect()] == [2, 1]
