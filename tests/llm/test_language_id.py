@@ -8,32 +8,37 @@ from quartermark.llm import language_id
 from quartermark.llm.common import documents
 
 
-def plain_phrases(codes, sample):
-    """Phrases of the greedy parse, block by block, by searching the sample."""
-    n = 0
-    for at in range(0, len(codes), language_id.BLOCK):
-        block, i = codes[at : at + language_id.BLOCK], 0
-        while i < len(block):
-            j = i
-            while j < len(block) and block[i : j + 1] in sample:
-                j += 1
-            n += 1
-            i = max(j, i + 1)
+def plain_phrases(text, sample):
+    """Phrases of the greedy parse of the whole text, by searching the sample."""
+    n = i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n += 1
+        i = max(j, i + 1)
     return n
 
 
-def test_parse_matches_substring_search():
+@pytest.mark.parametrize("cells", [1, 40_000, language_id.CELLS])
+def test_parse_matches_substring_search(cells):
     rng = random.Random(1)
-    texts = {k: " " + "".join(rng.choice(abc) for _ in range(600)) + " " for k, abc in (("a", "abc "), ("b", "abde "), ("c", "xyzé "))}
+    texts = {k: "".join(rng.choice(abc) for _ in range(600)) for k, abc in (("a", "abc "), ("b", "abde "), ("c", "xyzé "), ("d", "中文字词语言 "))}
     texts = {k: " " + " ".join(v.split()) + " " for k, v in texts.items()}
-    parser = language_id.Parser(texts)
-    for n in (1, 5, 300, 511, 512, 513, 3000):
-        text = "".join(rng.choice("abcdexyzéqß !") for _ in range(n))
-        folded = " " + language_id.fold(text) + " "
-        if not folded.strip():
-            continue
-        got = parser.phrases([parser.codes(text), parser.codes("ab")])[0].tolist()
-        assert got == [plain_phrases(folded, texts[k]) for k in parser.names]
+    parser = language_id.Parser(texts, cells)
+    odd = ["".join(rng.choice("abcdexyzéqß 中文!") for _ in range(n)) for n in (1, 5, 300, 511, 512, 513, 5000)]
+    odd += [texts["a"] * 9, texts["d"] * 5 + "q" + texts["c"][7:] * 3]
+    folded = [" " + language_id.fold(t) + " " for t in odd]
+    kept = [(t, f) for t, f in zip(odd, folded) if f.strip()]
+    got = parser.phrases([parser.codes(t) for t, _ in kept]).tolist()
+    assert got == [[plain_phrases(f, texts[k]) for k in parser.names] for _, f in kept]
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(20)] + [(100 + i, "der hund und die katze " * 400, "de") for i in range(20)]
+    rows += [(500, "die katze und der hund", None)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got.filter("doc_id = 500").first().lang_pred == "de"
 
 
 def test_automaton_accepts_exactly_the_substrings():
