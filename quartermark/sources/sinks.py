@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +63,113 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def compact(spark: SparkSession, source: str, target: str, n_files: int) -> str:
-    """B6. Rewrite into `n_files` even files beside the source; the caller swaps the paths."""
+    """B6. Rewrite into `n_files` even files beside the source."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("compaction cannot overwrite the files it reads")
     spark.read.parquet(source).repartition(n_files).write.mode("overwrite").parquet(target)
     return target
 
 
+# --- versioned tables: a folder per version, a numbered pointer written last --------
+
+
+def _files(spark: SparkSession, path: str):
+    """(Hadoop path class, file system) of a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place, place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _pointer(spark: SparkSession, path: str, number: str) -> str | None:
+    """Folder a pointer names; None while its writer has not finished it."""
+    place, fs = _files(spark, path)
+    stream = fs.open(place(f"{path}/_versions/{number}"))
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return text[:-1] if text.endswith("\n") else None
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Numbers of a versioned table's pointers, oldest first, unfinished ones included."""
+    place, fs = _files(spark, path)
+    folder = place(f"{path}/_versions")
+    if not fs.exists(folder):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if not s.getPath().getName().startswith("."))
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Folder of the newest finished version."""
+    for number in reversed(versions(spark, path)):
+        name = _pointer(spark, path, number)
+        if name:
+            return f"{path}/{name}"
+    raise FileNotFoundError(f"no version of {path}")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version. A plan made from it goes on reading that version after later commits."""
+    return spark.read.parquet(current(spark, path))
+
+
+def publish(df: DataFrame, path: str, base: list[str] | None = None) -> str:
+    """B5, B6. Write `df` as a new version of the table at `path`, which it may read itself.
+
+    The version's folder is complete before its pointer appears, so a reader sees the old table or the
+    new one, and a run that fails leaves the old one. The pointer takes the number after those in
+    `base` (by default those present before the write); if another writer has taken it meanwhile, the
+    commit fails and the other's version stands.
+    """
+    spark = df.sparkSession
+    seen = versions(spark, path) if base is None else base
+    number = f"{int(seen[-1]) + 1 if seen else 0:010d}"
+    name = f"v{number}-{uuid.uuid4().hex}"
+    write_parquet(df, f"{path}/{name}")
+    place, fs = _files(spark, path)
+    stream = fs.create(place(f"{path}/_versions/{number}"), False)
+    try:
+        stream.write(bytearray(f"{name}\n".encode()))
+    finally:
+        stream.close()
+    return f"{path}/{name}"
+
+
+def rewrite(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> str:
+    """B5. Commit `change` of the newest version as the next one; fails if another commit came between."""
+    base = versions(spark, path)
+    return publish(change(read_current(spark, path)), path, base)
+
+
+def compact_current(spark: SparkSession, path: str, n_files: int) -> str:
+    """B6. Rewrite the newest version into `n_files` even files and switch to it."""
+    return rewrite(spark, path, lambda rows: rows.repartition(n_files))
+
+
+def expire(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Remove all but the newest `keep` finished versions, then folders that failed runs left behind.
+
+    Older plans still reading a removed version fail, so choose `keep` by how long jobs run. Call it
+    while no other writer is at work: a folder without a pointer counts as left behind.
+    """
+    if keep < 1:
+        raise ValueError("the newest version must stay")
+    place, fs = _files(spark, path)
+    named = {number: _pointer(spark, path, number) for number in versions(spark, path)}
+    kept = [number for number, name in named.items() if name][-keep:]
+    # Pointers go before folders, so that no pointer ever names a missing folder. The newest number
+    # stays even if unfinished, or its number would be given out again.
+    for number in list(named)[:-1]:
+        if number not in kept:
+            fs.delete(place(f"{path}/_versions/{number}"), False)
+    live, gone = {named[number] for number in kept}, 0
+    for status in fs.listStatus(place(path)):
+        name = status.getPath().getName()
+        if name.startswith("v") and name not in live:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone
+
+
 def to_map_doc(df: DataFrame, key: str, value: str, shards: int = 1) -> DataFrame:
     """B7. `{key: value}` documents, one per key shard; choose `shards` so that one document fits a task."""
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")

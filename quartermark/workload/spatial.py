@@ -252,6 +252,33 @@ def _(spark, sf):
     return spark.read.parquet(sinks.compact(spark, src, sinks.scratch_path(spark, "few"), 2))
 
 
+@query("B5_rewrite_in_place", """
+SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS price, false AS derived FROM orders
+UNION ALL SELECT NULL, o_custkey, round(sum(o_totalprice), 6), true FROM orders GROUP BY o_custkey""")
+def _(spark, sf):
+    def with_totals(rows):
+        direct = rows.filter(~F.col("derived"))
+        totals = direct.groupBy("o_custkey").agg(F.sum("price").alias("price"))
+        return direct.unionByName(totals.withColumn("derived", F.lit(True)), allowMissingColumns=True)
+
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.lit(False).alias("derived"))
+    path = sinks.scratch_path(spark, "orders")
+    sinks.publish(orders, path)
+    for _ in range(2):
+        sinks.rewrite(spark, path, with_totals)
+    return sinks.read_current(spark, path).withColumn("price", r6("price"))
+
+
+@query("B6_compact_in_place", PLAIN)
+def _(spark, sf):
+    rows = B.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = sinks.scratch_path(spark, "customers")
+    sinks.publish(rows.repartition(16), path)
+    sinks.compact_current(spark, path, 2)
+    sinks.expire(spark, path, keep=1)
+    return sinks.read_current(spark, path)
+
+
 @query("B7_map_document", "SELECT code AS key, name AS value FROM sq")
 def _(spark, sf):
     docs = sinks.to_map_doc(squares(spark, sf), "code", "name", shards=4)
