@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quartermark.functions import columns as C
+from quartermark.sources import collections
 
 POLYGON = "array<array<array<struct<x:double,y:double>>>>"
 
@@ -40,7 +41,7 @@ def scan_features(
     """A3. One row per feature: its properties and a `geom` column.
 
     `lines` holds one feature per line and splits over tasks. `document` is one FeatureCollection
-    per file, which is a single record by nature; convert big ones to lines once.
+    per file, read whole by one task; `pieces` is the same file cut at features, for big ones.
     """
     feature = feature_schema(properties, coordinates)
     if layout == "document":
@@ -48,6 +49,8 @@ def scan_features(
         inner = inner.replace(", geometry ", ",geometry:", 1)
         doc = spark.read.schema(f"type string, features array<struct<{inner}>>").option("multiLine", True).json(path)
         rows = doc.select(F.explode("features").alias("f")).select("f.*")
+    elif layout == "pieces":
+        rows = collections.feature_texts(spark, path).select(F.from_json("value", feature).alias("f")).select("f.*")
     else:
         rows = spark.read.schema(feature).json(path)
     rings = "geometry.coordinates"

@@ -110,6 +110,18 @@ def _(spark, sf):
     return rows.select("code", "name", F.size(G.vertices("geom")).cast("bigint").alias("n_vertices"), box["minx"].alias("minx"), box["miny"].alias("miny"))
 
 
+@query("A3_feature_pieces", FEATURE_SQL)
+def _(spark, sf):
+    # One document per run of codes, its features in one list.
+    lines = sinks.to_features(squares(spark, sf), ["code", "name"]).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(8)))
+    docs = lines.groupBy("file").agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.concat_ws(", ", F.collect_list("value")), F.lit("]}")).alias("value"))
+    path = sinks.scratch_path(spark, "collections")
+    docs.select("value").write.text(path)
+    rows = readers.scan_features(spark, path, PROPS, layout="pieces", coordinates="array<array<array<array<double>>>>")
+    box = G.bbox("geom")
+    return rows.select("code", "name", F.size(G.vertices("geom")).cast("bigint").alias("n_vertices"), box["minx"].alias("minx"), box["miny"].alias("miny"))
+
+
 @query("A4_scan_folder", """
 SELECT 'nation' AS level, count(*) AS n, count(n_name) AS named FROM nation UNION ALL SELECT 'region', count(*), 0 FROM region
 UNION ALL SELECT 'supplier', count(*), 0 FROM supplier""")
