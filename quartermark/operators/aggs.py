@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartermark.functions import columns as C
+from quartermark.operators import medians
 from quartermark.schemas import SLICES
 
 EVENT_KEYS = ["data_type", "dwelling_type", "bedrooms"]
@@ -41,17 +42,13 @@ def annual_mean(df: DataFrame, keys: list[str], factor: float = 1.0, name: str =
 def cluster_median(
     df: DataFrame, keys: list[str], value: str, min_n: int, accuracy: int | None = None
 ) -> DataFrame:
-    """E4. Median per group with a least number of members.
-
-    Exact by default; `accuracy` switches to the mergeable sketch for groups whose distinct values
-    would not fit an executor.
-    """
-    med = F.median(value) if accuracy is None else F.percentile_approx(value, 0.5, accuracy)
-    return (
-        df.groupBy(*keys)
-        .agg(med.alias("median_val"), F.count(F.lit(1)).alias("n_members"))
-        .filter(F.col("n_members") >= min_n)
-    )
+    """E4. Median per group with a least number of members: exact, or by a mergeable sketch of that `accuracy`."""
+    if accuracy is None:
+        out = medians.median(df, keys, value)
+    else:
+        sketch = F.percentile_approx(value, 0.5, accuracy)
+        out = df.groupBy(*keys).agg(sketch.alias("median_val"), F.count(F.lit(1)).alias("n_members"))
+    return out.filter(F.col("n_members") >= min_n)
 
 
 def latest(df: DataFrame, keys: list[str], value: str = "value", ts: str = "time_bucket") -> DataFrame:

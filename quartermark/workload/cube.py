@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quartermark.functions import columns as C
-from quartermark.operators import aggs, bitmaps, filters, joins, quality, sets, windows
+from quartermark.operators import aggs, bitmaps, filters, joins, medians, quality, sets, windows
 from quartermark.plans import impute as I
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
@@ -305,6 +305,17 @@ def _(spark, sf):
     return out.withColumn("cluster_annual_rent", r6("cluster_annual_rent"))
 
 
+@query("E4_median_by_ranges", """
+SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS price, count(*) AS n FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'all', 'all', median(l_extendedprice), count(*) FROM lineitem""")
+def _(spark, sf):
+    li = B.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    # The coarsest level is one group of all rows.
+    both = li.unionByName(li.withColumns({"l_returnflag": F.lit("all"), "l_linestatus": F.lit("all")}))
+    out = medians.median(both, ["l_returnflag", "l_linestatus"], "l_extendedprice", held=1000)
+    return out.withColumnRenamed("median_val", "price").withColumnRenamed("n_members", "n")
+
+
 SERIES_KEYS = ["data_type", "geospatial_codes", "dwelling_type", "bedrooms"]
 
 
