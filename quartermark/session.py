@@ -57,15 +57,22 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
-    old = getattr(replaces, "_cut_path", None)
-    if old:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if replaces is not None:
+        discard(replaces)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def discard(*cuts: DataFrame) -> None:
+    """Remove the files of cuts that nothing reads any more; other tables are left alone."""
+    for df in cuts:
+        old = getattr(df, "_cut_path", None)
+        if old:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(old)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def salt(n: int, *cols: Column | str) -> Column:
     """Salt in [0, n) computed from row content, so a retried task repeats it exactly."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
