@@ -16,7 +16,7 @@ proportion to the rows however many near copies meet.
 `similar` serves similarities where many bits differ, on the sets of shingles themselves. Rows meet on
 the first shingles of their sets in one order of all, those that a sample finds common last: so many that
 two sets of the similarity share at least one. Only these are written; sets that pairs name are made
-again from the texts. Each row of a meeting is compared with a few leaders first; then rows
+again from the texts. Of meetings of the same sets one is kept. Each row of a meeting is compared with a few leaders first; then rows
 that are not connected to the first leader are compared with all rows of the meeting that they are not
 connected to, unless sizes and places rule the pair out. Every link is confirmed on the sets, so the result is exact.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quartermark.llm.common import as_bytes, salted_left, slices
 from quartermark.plans.graph import components
-from quartermark.session import cut
+from quartermark.session import cut, discard
 
 SEED = 42
 #: Bits in which linked 64-bit fingerprints differ at most; one-bit variants find exactly these.
@@ -285,6 +285,18 @@ def _meetings(rows: DataFrame) -> DataFrame:
     return each.withColumn("shared", shared).filter("shared").drop("shared")
 
 
+def _distinct_meetings(met: DataFrame) -> DataFrame:
+    """Of the meetings of the same sets, the one whose key comes first in the order of keys.
+
+    Near copies share most of their keys, so most meetings only repeat others. The first key has the
+    least place in every member, so no pair that may be similar is ruled out by going without the rest.
+    """
+    name = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    members = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), name(0).alias("x"), name(1).alias("y"), F.sum("place").alias("places"))
+    first = members.groupBy("n", "x", "y").agg(F.min_by("key", "places").alias("key")).select("key")
+    return met.join(first, "key", "left_semi")
+
+
 def _possible(similarity: float) -> Column:
     """Whether sets a and b that first meet at this key can share enough: no more than what comes from there on."""
     rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
@@ -329,7 +341,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def similar(rows: DataFrame, docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the nodes with similar others; `rows` are the signatures of `docs`."""
     row, near = F.struct("node", "size", "place"), _possible(similarity)
-    met = cut(_meetings(rows))
+    every = cut(_meetings(rows))
+    met = cut(_distinct_meetings(every), replaces=every)
     leaders = met.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)))).alias("b"))
     led = met.select("key", row.alias("a")).join(leaders.select("key", F.explode("b").alias("b")), "key")
     first = cut(_pairs(led.filter(F.col("a.node") != F.col("b.node")).filter(near)))
@@ -344,8 +357,11 @@ def similar(rows: DataFrame, docs: DataFrame, text: str = "text", width: int = 5
     apart = left.join(again.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & near)
     rest = cut(_pairs(apart).join(first, ["src", "dst"], "left_anti"), replaces=again)
     new = ends(rest).join(sets.select("node"), "node", "left_anti")
-    more = cut(sets.unionByName(_sets(rows, docs, text, width, new)))
-    return components(links.unionByName(cut(_confirmed(rest, more, similarity))))
+    more = cut(sets.unionByName(_sets(rows, docs, text, width, new)), replaces=sets)
+    further = cut(_confirmed(rest, more, similarity))
+    out = cut(components(links.unionByName(further)))
+    discard(first, rest, more, links, further)
+    return out
 
 
 def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sample: int = SAMPLE) -> DataFrame:
@@ -356,7 +372,7 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     """
     rows = cut(signatures(docs, id, text, width, similarity, sample))
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    found = cut(similar(rows, docs, text, width, similarity))
+    found = similar(rows, docs, text, width, similarity)
     named = cut(classes.join(found, "node", "left"))
     least = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     several = named.join(least, "component", "left").filter((F.col("rows") > 1) | F.col("least").isNotNull())
@@ -364,4 +380,5 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     lost = salted_left(rows.select("doc_id", "digest", "node"), several, "node", "doc_id").filter(F.col("doc_id") > F.col("least"))
     mark = "lost_" + uuid.uuid4().hex
     lost = cut(lost.select(F.col("doc_id").alias(f"{mark}_id"), F.col("digest").alias(f"{mark}_digest")).distinct())
+    discard(rows, found, named)
     return docs.join(lost, (docs[id] == F.col(f"{mark}_id")) & (F.xxhash64(docs[text]) == F.col(f"{mark}_digest")), "left_anti")

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quartermark.llm import simhash
 from tests.llm.brute import classes
@@ -189,3 +190,12 @@ def test_the_order_of_shingles_makes_no_difference(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [sorted(r.doc_id for r in simhash.representatives(df, sample=n).collect()) for n in (1, 30, 1000)]
     assert kept[0] == kept[1] == kept[2]
+
+
+def test_meetings_of_the_same_sets_are_one(spark):
+    # Places follow one order of keys: 5, 1, 9, 7.
+    met = [(5, 1, 0), (5, 2, 0), (1, 1, 1), (1, 2, 1), (9, 1, 2), (9, 2, 2), (9, 3, 0), (7, 1, 3), (7, 2, 3), (7, 3, 1)]
+    rows = spark.createDataFrame(met, "key long, node long, place int").withColumn("size", F.lit(9))
+    got = {tuple(r) for r in simhash._distinct_meetings(rows).select("key", "node", "place").collect()}
+    assert got == {x for x in met if x[0] in (5, 9)}
+    assert simhash._distinct_meetings(rows.limit(0)).count() == 0
