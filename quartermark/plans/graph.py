@@ -6,6 +6,7 @@ and cuts its lineage in the checkpoint folder, so rounds stay few and a lost exe
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quartermark.operators.windows import row_index
+from quartermark.operators.windows import row_index, running_sums
 from quartermark.session import cut
 
 # --- components (K14) -----------------------------------------------------------
@@ -542,16 +543,204 @@ def _tie(a: str, b: str) -> Column:
     return F.md5(F.concat_ws("|", a, b))
 
 
+#: Edge ends that one block of `_inside_blocks` holds; regions with more neighbours are left to `_round`.
+BLOCK_ENDS = 20_000
+BLOCK_ROWS = "kind string, turn long, seq int, src {id}, dst {id}, d double, ns long, nd long, hs double, hd double"
+
+
+def _merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rounds of `_round` on the edges of one block, for regions whose nearest one is inside it.
+
+    A region outside stays as it is here. Whatever it merges with, its new distances are means of those
+    held here, so two regions that are nearest to each other stay so. Rows come back by kind: merges,
+    edges inside the block, and moves (region, the one that holds it now, size, height).
+    """
+    pdf = pdf.sort_values(["src", "dst"])
+    block = pdf["b"].iat[0]
+    near: dict = {}
+    far: dict = {}
+    size: dict = {}
+    height: dict = {}
+    for e in pdf.itertuples(index=False):
+        size[e.src], size[e.dst], height[e.src], height[e.dst] = e.ns, e.nd, e.hs, e.hd
+        if e.bs == e.bd:
+            near.setdefault(e.src, {})[e.dst] = near.setdefault(e.dst, {})[e.src] = e.d
+        else:
+            own, out = (e.src, e.dst) if e.bs == block else (e.dst, e.src)
+            far.setdefault(own, {})[out] = (e.d * e.ns * e.nd, e.ns * e.nd)
+    first = {c: size[c] for c in [*near, *far]}
+
+    def rank(c, o, d):
+        a, b = min(c, o), max(c, o)
+        return d, hashlib.md5(f"{a}|{b}".encode()).hexdigest(), a, b, o
+
+    def edges_of(c):
+        return [*near.get(c, {}).items(), *((o, s / w) for o, (s, w) in far.get(c, {}).items())]
+
+    def nearest(c):
+        edges = edges_of(c)
+        least = min((d for _, d in edges), default=None)
+        return min((rank(c, o, d) for o, d in edges if d == least), default=None)
+
+    def single(c):
+        return len(near.get(c, ())) + len(far.get(c, ())) == 1
+
+    best: dict = {}
+    into: dict = {}
+    merged = []
+    fresh, turn = set(first), 0
+    while fresh:
+        best.update((c, nearest(c)) for c in fresh)
+        now = set()
+        for c in fresh:
+            o = best[c] and best[c][4]
+            if o in best and best[o][4] == c and single(c) == single(o):
+                now.add((min(c, o), max(c, o), best[c][0], 0))
+        for hub in {o for c in fresh for o in ([c] if not single(c) else near.get(c, ())) if not single(o)}:
+            arms = [(o, d) for o, d in near.get(hub, {}).items() if single(o)]
+            if arms:
+                taken = {o for o, _ in arms}
+                limit = min((rank(hub, o, d) for o, d in edges_of(hub) if o not in taken), default=(math.inf,))
+                arms = sorted(r for r in (rank(hub, o, d) for o, d in arms) if r < limit)
+                now.update((hub, r[4], r[0], i) for i, r in enumerate(arms))
+        was, gone = {}, {}
+        for keep, other, d, seq in sorted(now, key=lambda m: (m[0], m[3])):
+            was.setdefault(keep, size[keep])
+            was[other], gone[other] = size[other], keep
+            size[keep] += size[other]
+            height[keep] = max(d, height[keep], height[other])
+            merged.append(("merge", turn, seq, keep, other, d, size[keep], 0, height[keep], 0.0))
+        into.update(gone)
+        # Distances change only at regions that merged; both ends of an edge may have.
+        sums: dict = {}
+        for c in was:
+            for o, d in near.get(c, {}).items():
+                u, v = gone.get(c, c), gone.get(o, o)
+                if u != v and (o not in was or c < o):
+                    w = was[c] * was.get(o, size[o])
+                    s, t = sums.get((min(u, v), max(u, v)), (0.0, 0))
+                    sums[min(u, v), max(u, v)] = (s + d * w, t + w)
+        for c in was:
+            for o in near.pop(c, ()):
+                if o not in was:
+                    del near[o][c]
+        for (u, v), (s, t) in sums.items():
+            near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = s / t
+        for c, keep in gone.items():
+            best.pop(c)
+            held = far.setdefault(keep, {})
+            for o, (s, w) in far.pop(c, {}).items():
+                s0, w0 = held.get(o, (0.0, 0))
+                held[o] = (s0 + s, w0 + w)
+        kept = set(was) - set(gone)
+        fresh = kept.union(*(near.get(c, ()) for c in kept))
+        turn += 1
+
+    def holder(c):
+        while c in into:
+            c = into[c]
+        return c
+
+    out = merged + [("edge", 0, 0, c, o, d, size[c], size[o], height[c], height[o]) for c, os in near.items() for o, d in os.items() if c < o]
+    for c, n in first.items():
+        r = holder(c)
+        if r != c or size[r] != n:
+            out.append(("move", 0, 0, c, r, 0.0, size[r], 0, height[r], 0.0))
+    return pd.DataFrame(out, columns=["kind", "turn", "seq", "src", "dst", "d", "ns", "nd", "hs", "hd"])
+
+
+def _along_curve(ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c, deg, upto): regions along a Z curve over their places, with a running sum of their edge ends."""
+    e = nodes.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("side")).first()
+
+    def spread(v):
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    step = lambda c, lo: F.floor((F.col(c) - F.lit(lo)) / F.lit(e["side"] or 1.0) * 65535).cast("long")
+    z = spread(step("x", e["x0"])).bitwiseOR(F.shiftleft(spread(step("y", e["y0"])), 1))
+    at = ends.join(nodes.select(F.col("id").alias("c"), "x", "y"), "c").select("c", "deg", z.alias("z"))
+    return running_sums(at, [], ["z", "c"], {"upto": F.col("deg")})
+
+
+def _inside_blocks(cur: DataFrame, nodes: DataFrame, phase: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Merges that blocks of neighbouring regions decide by themselves, and the edges left.
+
+    Without this step a row of regions whose distances fall steadily takes a round per region. Blocks
+    hold about `BLOCK_ENDS` edge ends, and every other phase moves their borders by half a block.
+    Distances between blocks are brought up to date as in `_round`, by the sizes before the phase.
+    """
+    if whole:
+        marked = cur.withColumns({"bs": F.lit(0).cast("long"), "bd": F.lit(0).cast("long")})
+    else:
+        ends = cur.select(F.explode(F.array("src", "dst")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("deg"))
+        first = F.col("upto") - F.col("deg") + F.lit(phase % 2 * BLOCK_ENDS // 2)
+        block = F.when(F.col("deg") > BLOCK_ENDS, F.lit(-1)).otherwise(F.floor(first / BLOCK_ENDS)).cast("long")
+        blocks = cut(_along_curve(ends, nodes).select("c", block.alias("block")))
+        of = lambda end, name: blocks.select(F.col("c").alias(end), F.col("block").alias(name))
+        marked = cut(cur.join(of("src", "bs"), "src").join(of("dst", "bd"), "dst"))
+    held = marked.withColumn("b", F.explode(F.array_distinct(F.array("bs", "bd")))).filter("b >= 0")
+    rows = BLOCK_ROWS.format(id=cur.schema["src"].dataType.simpleString())
+    out = cut(held.groupBy("b").applyInPandas(_merge_block, rows))
+    pairs = out.filter("kind = 'merge'").select(
+        F.col("src").alias("keep"), F.col("dst").alias("gone"), "d", "seq", F.col("ns").alias("n"), F.col("hs").alias("height"), "turn"
+    )
+    left = out.filter("kind = 'edge'").select("src", "dst", "d", "ns", "nd", "hs", "hd")
+    if not whole:
+        moved = out.filter("kind = 'move'").select(F.col("src").alias("c"), F.col("dst").alias("r"), F.col("ns").alias("n"), F.col("hs").alias("h"))
+        between = marked.filter("bs <> bd or bs < 0").select(*cur.columns)
+        left = left.unionByName(_carried(between, moved))
+    return pairs, cut(left, cur)
+
+
+def _carried(cur: DataFrame, moved: DataFrame) -> DataFrame:
+    """Edges between the regions that hold their ends now, with size-weighted mean distances."""
+    to = lambda end: moved.select(F.col("c").alias(end), F.col("r").alias(f"r_{end}"), F.col("n").alias(f"n_{end}"), F.col("h").alias(f"h_{end}"))
+    nxt = cur.join(to("src"), "src", "left").join(to("dst"), "dst", "left").select(
+        F.coalesce("r_src", "src").alias("u"), F.coalesce("r_dst", "dst").alias("v"), F.coalesce("n_src", "ns").alias("nu"), F.coalesce("n_dst", "nd").alias("nv"),
+        F.coalesce("h_src", "hs").alias("hu"), F.coalesce("h_dst", "hd").alias("hv"), "d", (F.col("ns") * F.col("nd")).alias("w"),
+    ).filter(F.col("u") != F.col("v"))
+    flip = F.col("u") > F.col("v")
+    side = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)
+    nxt = nxt.select(
+        F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), side("nu", "nv", "ns"), side("nv", "nu", "nd"),
+        side("hu", "hv", "hs"), side("hv", "hu", "hd"), "d", "w",
+    )
+    mean = (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d")
+    return nxt.groupBy("src", "dst").agg(mean, *[F.max(c).alias(c) for c in ("ns", "nd", "hs", "hd")])
+
+
+def _round(cur: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merges of every mutually nearest pair and of hubs' arms, and the edges left after them."""
+    order = F.struct("d", _tie("src", "dst").alias("tie"), "src", "dst", "ns", "nd", "hs", "hd")
+    ends = cur.select(F.explode(F.array("src", "dst")).alias("c"), order.alias("e"))
+    best = cut(ends.groupBy("c").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("deg")))
+    # A pair with one single-neighbour end is an arm and comes from there.
+    mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("deg") == 1).cast("int")).alias("singles"))
+    mutual = mutual.filter("k = 2 and singles <> 1").select(
+        F.col("e.src").alias("keep"), F.col("e.dst").alias("gone"), "e.d", F.lit(0).alias("seq"),
+        (F.col("e.ns") + F.col("e.nd")).alias("n"), F.greatest("e.d", "e.hs", "e.hd").alias("height"),
+    )
+    pairs = cut(mutual.unionByName(_hub_merges(cur, best)))
+    kept = pairs.groupBy("keep").agg(F.max("n").alias("n"), F.max("height").alias("h"))
+    gone = pairs.select("keep", F.col("gone").alias("c")).unionByName(kept.select("keep", F.col("keep").alias("c")))
+    moved = gone.join(kept, "keep").withColumnRenamed("keep", "r")
+    return pairs.withColumn("turn", F.lit(0).cast("long")), cut(_carried(cur, moved), cur)
+
+
 def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str) -> DataFrame:
     """K9. Merges of an average-linkage agglomeration that only joins adjacent regions.
 
     `nodes` (id, x, y), `edges` (src, dst). Each round merges every mutually nearest pair and the arms
-    of hubs; distances to a merged cluster are the size-weighted means of the existing ones. A merge
+    of hubs; distances to a merged cluster are the size-weighted means of the existing ones. Blocks of
+    neighbouring regions take their own rounds first, then one round goes over all borders. A merge
     is as high as its distance, lifted to its children's heights, and merges are numbered by height:
     cutting takes the closest regions together first, wherever they merged. Rows carry
     (merge_step, cluster_a, cluster_b) with leaves 0..N-1 in id order and merge k as N + k, plus one
     leaf of each side (rep_a, rep_b).
     """
+    nodes = cut(nodes.select("id", "x", "y"))
     a = nodes.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = nodes.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
@@ -561,35 +750,15 @@ def regional_linkage(nodes: DataFrame, edges: DataFrame, tier: str) -> DataFrame
         edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().join(a, "src").join(b, "dst")
         .select("src", "dst", d.alias("d"), one.alias("ns"), one.alias("nd"), zero.alias("hs"), zero.alias("hd"))
     )
-    done = []
+    done, phase = [], 0
     while not cur.isEmpty():
-        order = F.struct("d", _tie("src", "dst").alias("tie"), "src", "dst", "ns", "nd", "hs", "hd")
-        ends = cur.select(F.explode(F.array("src", "dst")).alias("c"), order.alias("e"))
-        best = cut(ends.groupBy("c").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("deg")))
-        # A pair with one single-neighbour end is an arm and comes from there.
-        mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.sum((F.col("deg") == 1).cast("int")).alias("singles"))
-        mutual = mutual.filter("k = 2 and singles <> 1").select(
-            F.col("e.src").alias("keep"), F.col("e.dst").alias("gone"), "e.d", F.lit(0).alias("seq"),
-            (F.col("e.ns") + F.col("e.nd")).alias("n"), F.greatest("e.d", "e.hs", "e.hd").alias("height"),
-        )
-        pairs = cut(mutual.unionByName(_hub_merges(cur, best)))
-        done.append(pairs.withColumn("round", F.lit(len(done))))
-        kept = pairs.groupBy("keep").agg(F.max("n").alias("n"), F.max("height").alias("h"))
-        gone = pairs.select("keep", F.col("gone").alias("c")).unionByName(kept.select("keep", F.col("keep").alias("c")))
-        moved = gone.join(kept, "keep").withColumnRenamed("keep", "r")
-        to = lambda end: moved.select(F.col("c").alias(end), F.col("r").alias(f"r_{end}"), F.col("n").alias(f"n_{end}"), F.col("h").alias(f"h_{end}"))  # noqa: B023, E731
-        nxt = cur.join(to("src"), "src", "left").join(to("dst"), "dst", "left").select(
-            F.coalesce("r_src", "src").alias("u"), F.coalesce("r_dst", "dst").alias("v"), F.coalesce("n_src", "ns").alias("nu"), F.coalesce("n_dst", "nd").alias("nv"),
-            F.coalesce("h_src", "hs").alias("hu"), F.coalesce("h_dst", "hd").alias("hv"), "d", (F.col("ns") * F.col("nd")).alias("w"),
-        ).filter(F.col("u") != F.col("v"))
-        flip = F.col("u") > F.col("v")
-        side = lambda x, y, name: F.when(flip, F.col(y)).otherwise(F.col(x)).alias(name)  # noqa: B023, E731
-        nxt = nxt.select(
-            F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"), side("nu", "nv", "ns"), side("nv", "nu", "nd"),
-            side("hu", "hv", "hs"), side("hv", "hu", "hd"), "d", "w",
-        )
-        mean = (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("d")
-        cur = cut(nxt.groupBy("src", "dst").agg(mean, *[F.max(c).alias(c) for c in ("ns", "nd", "hs", "hd")]), cur)
+        whole = 2 * cur.count() <= BLOCK_ENDS
+        pairs, cur = _inside_blocks(cur, nodes, phase, whole)
+        done.append(pairs.withColumn("round", F.lit(2 * phase << 32) + F.col("turn")).drop("turn"))
+        if not whole:
+            pairs, cur = _round(cur)
+            done.append(pairs.withColumn("round", F.lit((2 * phase + 1) << 32) + F.col("turn")).drop("turn"))
+        phase += 1
     if not done:
         raise ValueError("no two regions touch")
     rows = done[0]

@@ -206,3 +206,49 @@ def test_clusters_chosen_by_excess_of_mass(spark, shape):
     for allow_root in (True, False):
         got = {int(r.node_id[1:]) for r in K.select_clusters(tree, own, allow_root).filter("selected").collect()}
         assert got == _chosen(parent, stable, allow_root)
+
+
+def _gradient(spark, wide, high):
+    """A grid whose steps shrink steadily, so that a whole row waits for its last pair."""
+    at = {(i, j): (sum(100 - 0.5 * k for k in range(i)), sum(90 - 0.4 * k for k in range(j))) for i in range(wide) for j in range(high)}
+    name = {p: f"{n:04d}" for n, p in enumerate(sorted(at))}
+    nodes = spark.createDataFrame([(name[p], float(x), float(y)) for p, (x, y) in at.items()], "id string, x double, y double")
+    edges = [(name[p], name[p[0] + a, p[1] + b]) for p in at for a, b in ((0, 1), (1, -1), (1, 0), (1, 1)) if (p[0] + a, p[1] + b) in at]
+    return nodes, spark.createDataFrame(edges, "src string, dst string")
+
+
+def _merge_rows(links):
+    return sorted((round(r.distance, 6), r.n_obs, r.rep_a, r.rep_b) for r in links.collect())
+
+
+def test_blocks_merge_as_rounds_do(spark, monkeypatch):
+    """A block that holds every edge takes the same merges as rounds over the whole graph."""
+    nodes, edges = _gradient(spark, 4, 3)
+    whole = _merge_rows(K.regional_linkage(nodes, edges, "sal"))
+    with monkeypatch.context() as m:
+        m.setattr(K, "BLOCK_ENDS", 0)
+        assert _merge_rows(K.regional_linkage(nodes, edges, "sal")) == whole
+
+
+def test_falling_distances_take_few_rounds(spark, monkeypatch):
+    """On a chain the merges do not depend on blocks; before, 200 regions took 199 rounds."""
+    nodes, edges = _gradient(spark, 200, 1)
+    whole = _merge_rows(K.regional_linkage(nodes, edges, "sal"))
+    rounds, one = [], K._round
+    monkeypatch.setattr(K, "BLOCK_ENDS", 120)
+    monkeypatch.setattr(K, "_round", lambda cur: rounds.append(1) or one(cur))
+    assert _merge_rows(K.regional_linkage(nodes, edges, "sal")) == whole
+    assert len(whole) == 199 and 1 <= len(rounds) <= 8
+
+
+def test_blocks_give_contiguous_trees(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ENDS", 60)
+    nodes, edges = _gradient(spark, 9, 7)
+    rows = sorted(K.regional_linkage(nodes, edges, "sal").collect(), key=lambda r: r.merge_step)
+    assert [r.merge_step for r in rows] == list(range(62)) and rows[-1].n_obs == 63
+    members = {i: {f"{i:04d}"} for i in range(63)}
+    pairs = {frozenset(e) for e in edges.collect()}
+    for r in rows:
+        a, b = members.pop(r.cluster_a), members.pop(r.cluster_b)
+        assert any(frozenset((x, y)) in pairs for x in a for y in b) and len(a | b) == r.n_obs
+        members[63 + r.merge_step] = a | b
