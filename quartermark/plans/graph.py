@@ -17,15 +17,32 @@ from pyspark.sql import functions as F
 from quartermark.operators.windows import row_index, running_sums
 from quartermark.session import cut
 
+
+def held(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """A cut that is joined by shuffles, as are its projections and groups.
+
+    Tables of a loop grow with the input and are joined many times: each broadcast of one that is still
+    under Spark's threshold would go through the driver, in every round.
+    """
+    out = cut(df, replaces)
+    spread = _shuffled(out)
+    spread._cut_path = out._cut_path
+    return spread
+
+
+def _shuffled(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 # --- components (K14) -----------------------------------------------------------
 
 
 def pointer_jump(parents: DataFrame) -> DataFrame:
     """(node, parent) with roots pointing at themselves to (node, root); depth halves per round."""
-    cur = cut(parents.select("node", F.col("parent").alias("root")))
+    cur = held(parents.select("node", F.col("parent").alias("root")))
     while True:
         up = cur.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-        cur = cut(cur.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")), cur)
+        cur = held(cur.join(up, "root").select("node", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("__moved")), cur)
         if cur.filter("__moved").isEmpty():
             return cur.drop("__moved")
 
@@ -41,7 +58,7 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     Alternates two contractions: a node's larger neighbours are hung on its least neighbour, then
     its smaller ones. A hub's neighbours are reduced by `min` before the shuffle and never listed.
     """
-    cur = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    cur = held(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     mark = None
     while True:
         both = _links(cur, "u", "v")
@@ -49,9 +66,9 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         large = both.join(low, "u").filter(F.col("v") >= F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter(F.col("u") != F.col("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        joined = large.join(_shuffled(low2), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        cur = cut(small.filter(F.col("u") != F.col("v")).distinct(), cur)
+        cur = held(small.filter(F.col("u") != F.col("v")).distinct(), cur)
         seen = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break
@@ -261,7 +278,7 @@ def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     ranked = row_index(tree.select("src", "dst", "distance"), [], ["distance", "src", "dst"], "rank")
     text = lambda c: F.col(c).cast("string")
-    cur = cut(
+    cur = held(
         ranked.select(
             "rank", "distance", text("src").alias("u"), text("dst").alias("v"), F.lit(1).cast("long").alias("su"), F.lit(1).cast("long").alias("sv"),
             text("src").alias("tu"), text("dst").alias("tv"),
@@ -277,27 +294,29 @@ def merges(tree: DataFrame, ranges: int | None = None) -> DataFrame:
         above = F.explode(F.sequence(F.col("part") + 1, F.lit(RADIX - 1).cast("long")))
         low = tagged.filter(F.col("part") < RADIX - 1).withColumn("above", above)
         low = low.select("rank", name("u", "above").alias("a"), name("v", "above").alias("b"), "su", "sv")
-        comp = cut(components(low, "a", "b"))
+        comp = held(components(low, "a", "b"))
         ends = F.array(F.struct(F.col("a").alias("node"), F.col("su").alias("n")), F.struct(F.col("b").alias("node"), F.col("sv").alias("n")))
         nodes = low.select(F.explode(ends).alias("e")).select("e.*").distinct()
         size = nodes.join(comp, "node").groupBy("component").agg(F.sum("n").alias("n"))
         last = low.join(comp, low.a == comp.node).groupBy("component").agg(F.max("rank").alias("last"))
-        info = comp.join(size.join(last, "component"), "component")
+        info = comp.join(size.join(_shuffled(last), "component"), "component")
         up = tagged.filter("part > 0").withColumns({"a": name("u", "part"), "b": name("v", "part")})
         for end, k, s, t in (("a", "u", "su", "tu"), ("b", "v", "sv", "tv")):
             side = info.select(F.col("node").alias(end), F.col("component").alias("__c"), F.col("n").alias("__n"), F.col("last").alias("__l"))
-            up = up.join(side, end, "left").withColumns(
+            up = up.join(_shuffled(side), end, "left").withColumns(
                 {
                     k: F.coalesce("__c", k),
                     s: F.coalesce("__n", s),
                     t: F.coalesce(F.concat(F.lit("C"), F.col("__l").cast("string")), t),
                 }
             ).drop("__c", "__n", "__l")
-        cur = cut(tagged.filter("part = 0").select(*cur.columns).unionByName(up.select(*cur.columns)), cur)
+        cur = held(tagged.filter("part = 0").select(*cur.columns).unionByName(up.select(*cur.columns)), cur)
         span //= RADIX
-    return cur.groupBy(F.floor(F.col("rank") / chunk).alias("seg")).applyInPandas(
+    merged = cur.groupBy(F.floor(F.col("rank") / chunk).alias("seg")).applyInPandas(
         lambda pdf: _union_find(pdf), "merge_idx long, left_id string, right_id string, distance double, size long"
     )
+    # Trees read the merges several times.
+    return held(merged, cur)
 
 
 def linkage_to_tree(links: DataFrame, leaves: DataFrame, leaf: str = "id") -> DataFrame:
@@ -308,16 +327,16 @@ def linkage_to_tree(links: DataFrame, leaves: DataFrame, leaf: str = "id") -> Da
     outer = leaves.select(
         F.col(leaf).cast("string").alias("node_id"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("double").alias("distance"), F.lit(True).alias("is_leaf")
     )
-    return inner.unionByName(outer).join(up, "node_id", "left").select("node_id", "parent_id", "size", "distance", "is_leaf")
+    return inner.unionByName(outer).join(_shuffled(up), "node_id", "left").select("node_id", "parent_id", "size", "distance", "is_leaf")
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
     """K5. Leaves below every node, by doubling: a node adds the counts of the nodes 2^k below it."""
-    cur = cut(tree.select("node_id", F.col("parent_id").alias("up"), F.col("is_leaf").cast("long").alias("n")))
+    cur = held(tree.select("node_id", F.col("parent_id").alias("up"), F.col("is_leaf").cast("long").alias("n")))
     while not cur.filter(F.col("up").isNotNull()).isEmpty():
         add = cur.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("node_id")).agg(F.sum("n").alias("more"))
         above = cur.select(F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        cur = cut(
+        cur = held(
             cur.join(add, "node_id", "left")
             .join(above, "up", "left")
             .select("node_id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
@@ -395,6 +414,7 @@ def layered_tree(points: DataFrame, tree: DataFrame, noise_beyond: float | None
 
 def _trunks(tree: DataFrame, m: int) -> DataFrame:
     """Interior nodes with lambda, whether they split, their continuation and their trunk's first node."""
+    tree = held(tree)
     inner = tree.filter(~F.col("is_leaf"))
     lam = F.when(F.col("distance") > 0, 1 / F.col("distance")).otherwise(0.0)
     kids = inner.filter(F.col("parent_id").isNotNull())
@@ -405,16 +425,16 @@ def _trunks(tree: DataFrame, m: int) -> DataFrame:
     base = (
         inner.select("node_id", "parent_id", "size", lam.alias("lam"))
         .join(first.select(F.col("parent_id").alias("node_id"), F.col("big.id").alias("big"), "n_inner"), "node_id", "left")
-        .join(rest.select(F.col("parent_id").alias("node_id"), "second"), "node_id", "left")
+        .join(_shuffled(rest.select(F.col("parent_id").alias("node_id"), "second")), "node_id", "left")
         .join(leafy.select(F.col("parent_id").alias("node_id"), "n_leaf"), "node_id", "left")
         .withColumn("is_split", F.coalesce(F.col("second") >= m, F.lit(False)))
         .withColumn("next", F.when(~F.col("is_split"), F.col("big")))
     )
-    base = cut(base)
+    base = held(base)
     above = base.select(F.col("next").alias("node_id"), F.col("node_id").alias("prev")).filter(F.col("node_id").isNotNull())
     chain = base.join(above, "node_id", "left").select(F.col("node_id").alias("node"), F.coalesce("prev", "node_id").alias("parent"))
     start = pointer_jump(chain).select(F.col("node").alias("node_id"), F.col("root").alias("start"))
-    return cut(base.join(start, "node_id"))
+    return held(base.join(start, "node_id"))
 
 
 def condense(tree: DataFrame, m: int) -> DataFrame:
@@ -441,7 +461,7 @@ def stability(tree: DataFrame, m: int) -> DataFrame:
     t = _trunks(tree, m)
     clusters = condense(tree, m).select(F.col("node_id").alias("start"), "lambda_birth")
     nxt = t.select(F.col("node_id").alias("next"), F.col("size").alias("next_size"))
-    steps = t.join(nxt, "next", "left").join(clusters, "start")
+    steps = t.join(nxt, "next", "left").join(_shuffled(clusters), "start")
     left = (F.col("size") - F.coalesce("next_size", F.lit(0))) * (F.col("lam") - F.col("lambda_birth"))
     return steps.groupBy(F.col("start").alias("node_id")).agg(F.sum(left).alias("stability"))
 
@@ -456,31 +476,31 @@ def select_clusters(condensed: DataFrame, stable: DataFrame, allow_root: bool =
     of the number of clusters, also for a tree that is one long branch. Without `allow_root` a root is
     chosen only if it has no children.
     """
-    base = condensed.select("node_id", "parent_id").join(stable.select("node_id", "stability"), "node_id", "left")
-    base = cut(base.select("node_id", "parent_id", F.coalesce("stability", F.lit(0.0)).alias("stability")))
+    base = condensed.select("node_id", "parent_id").join(_shuffled(stable.select("node_id", "stability")), "node_id", "left")
+    base = held(base.select("node_id", "parent_id", F.coalesce("stability", F.lit(0.0)).alias("stability")))
     kids = base.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
     # floor, add: best = greatest(floor, x + add) with x the best of the open child `to`, if there is one.
     own = F.when(F.lit(allow_root) | F.col("parent_id").isNotNull() | F.col("children").isNull(), F.col("stability")).otherwise(F.lit(float("-inf")))
     start = base.join(kids, "node_id", "left")
     start = start.select("node_id", "parent_id", "stability", own.alias("own"), F.coalesce("children", F.lit(0)).alias("children"))
-    done = cut(start.filter("children = 0").select("node_id", F.col("own").alias("best")))
-    open_ = cut(start.filter("children > 0").select("node_id", F.col("own").alias("floor")))
-    tree = cut(start.filter("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")))
+    done = held(start.filter("children = 0").select("node_id", F.col("own").alias("best")))
+    open_ = held(start.filter("children > 0").select("node_id", F.col("own").alias("floor")))
+    tree = held(start.filter("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("node_id")))
     jumps = None
     while not open_.isEmpty():
         known = tree.join(done.withColumnRenamed("node_id", "child"), "child", "left")
         state = known.groupBy("node_id").agg(
             F.count_if(F.col("best").isNull()).alias("unsettled"), F.sum("best").alias("add"), F.max(F.when(F.col("best").isNull(), F.col("child"))).alias("to"),
         )
-        now = cut(open_.join(state, "node_id"))
+        now = held(open_.join(state, "node_id"))
         chain = now.filter("unsettled = 1").select("node_id", "floor", F.coalesce("add", F.lit(0.0)).alias("add"), "to")
         settled = now.filter("unsettled = 0").select("node_id", F.greatest("floor", "add").alias("best"))
         # Chains double their reach until every one ends at a settled cluster or at one that branches.
-        jumps = cut(chain)
+        jumps = held(chain)
         while True:
             below = jumps.select(F.col("node_id").alias("to"), F.col("floor").alias("f2"), F.col("add").alias("a2"), F.col("to").alias("t2"))
             more = jumps.join(below, "to", "left")
-            longer = cut(
+            longer = held(
                 more.select(
                     "node_id",
                     F.when(F.col("t2").isNull(), F.col("floor")).otherwise(F.greatest("floor", F.col("f2") + F.col("add"))).alias("floor"),
@@ -490,22 +510,22 @@ def select_clusters(condensed: DataFrame, stable: DataFrame, allow_root: bool =
                 )
             )
             moved = not longer.filter("moved").isEmpty()
-            jumps = cut(longer.drop("moved"), longer)
+            jumps = held(longer.drop("moved"), longer)
             if not moved:
                 break
-        ends = jumps.join(settled.withColumnRenamed("node_id", "to"), "to").select("node_id", F.greatest("floor", F.col("best") + F.col("add")).alias("best"))
-        settled = cut(settled.unionByName(ends))
-        done = cut(done.unionByName(settled), done)
-        open_ = cut(open_.join(settled.select("node_id"), "node_id", "left_anti"), open_)
+        ends = jumps.join(_shuffled(settled.withColumnRenamed("node_id", "to")), "to").select("node_id", F.greatest("floor", F.col("best") + F.col("add")).alias("best"))
+        settled = held(settled.unionByName(ends))
+        done = held(done.unionByName(settled), done)
+        open_ = held(open_.join(settled.select("node_id"), "node_id", "left_anti"), open_)
     below = tree.join(done.withColumnRenamed("node_id", "child"), "child").groupBy("node_id").agg(F.sum("best").alias("below"))
-    marked = cut(start.join(done, "node_id").join(below, "node_id", "left").withColumn("fit", F.col("below").isNull() | (F.col("own") >= F.col("below"))))
+    marked = held(start.join(done, "node_id").join(_shuffled(below), "node_id", "left").withColumn("fit", F.col("below").isNull() | (F.col("own") >= F.col("below"))))
     # A cluster is covered if any cluster above it fits: flags are carried up by pointer doubling.
-    up = cut(marked.select("node_id", F.col("parent_id").alias("above"), F.lit(False).alias("covered")))
+    up = held(marked.select("node_id", F.col("parent_id").alias("above"), F.lit(False).alias("covered")))
     fits = marked.select(F.col("node_id").alias("above"), "fit")
-    up = cut(up.join(fits, "above", "left").select("node_id", "above", F.coalesce("fit", F.lit(False)).alias("covered")))
+    up = held(up.join(fits, "above", "left").select("node_id", "above", F.coalesce("fit", F.lit(False)).alias("covered")))
     while not up.filter("above is not null").isEmpty():
         next_ = up.select(F.col("node_id").alias("above"), F.col("above").alias("further"), F.col("covered").alias("c2"))
-        up = cut(up.join(next_, "above", "left").select("node_id", F.col("further").alias("above"), (F.col("covered") | F.coalesce("c2", F.lit(False))).alias("covered")), up)
+        up = held(up.join(next_, "above", "left").select("node_id", F.col("further").alias("above"), (F.col("covered") | F.coalesce("c2", F.lit(False))).alias("covered")), up)
     return marked.join(up.select("node_id", "covered"), "node_id").select("node_id", "stability", "best", (F.col("fit") & ~F.col("covered")).alias("selected"))
 
 

@@ -252,3 +252,25 @@ def test_blocks_give_contiguous_trees(spark, monkeypatch):
         a, b = members.pop(r.cluster_a), members.pop(r.cluster_b)
         assert any(frozenset((x, y)) in pairs for x in a for y in b) and len(a | b) == r.n_obs
         members[63 + r.merge_step] = a | b
+
+
+def test_linkage_broadcasts_no_table_that_grows(spark, monkeypatch):
+    """Loops join by shuffles: a broadcast passes through the driver once per round and join."""
+    from pyspark.sql import DataFrame
+
+    plans, one = [], K.cut
+
+    def seen(df, replaces=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return one(df, replaces)
+
+    monkeypatch.setattr(K, "cut", seen)
+    points = spark.createDataFrame([(i, float(i * i % 97), 0.0) for i in range(40)], "id long, x double, y double")
+    chain = spark.createDataFrame([(i, i + 1, float((i * 7) % 11 + 1)) for i in range(39)], "src long, dst long, distance double")
+    tree = K.linkage_to_tree(K.merges(chain, ranges=8), points)
+    out = K.select_clusters(K.condense(tree, 4), K.stability(tree, 4))
+    assert isinstance(out, DataFrame) and out.count() > 0
+    K.subtree_sizes(tree)
+    # The totals of a running sum have one row per range and may be broadcast.
+    loops = [p for p in plans if "__run" not in p and "__in_" not in p]
+    assert len(loops) > 10 and not [p for p in loops if "BroadcastHashJoin" in p]
