@@ -154,12 +154,12 @@ def obs_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def filled_a(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
-    o = obs(spark, sf) if o is None else o
+    o = obs_table(spark, sf) if o is None else o
     return o.unionByName(I.impute_a(o))
 
 
 def filled(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
-    return I.impute(obs(spark, sf) if o is None else o, crosswalk(spark, sf))
+    return I.impute(obs_table(spark, sf) if o is None else o, crosswalk(spark, sf))
 
 
 def cpi(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,6 +206,7 @@ def sales_long(spark: SparkSession, sf: str, o: DataFrame | None = None) -> Data
 
 def forecasts(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
     """Baseline forecasts of every rental series and every sales series, in table form."""
+    o = obs_table(spark, sf) if o is None else o
     rental = S.seasonal_naive(rental_long(spark, sf, o), 4)
     sales = S.seasonal_naive(sales_long(spark, sf, o), 2, season=1, months=12)
     return S.annotate(rental, TODAY, date(2001, 9, 1), "naive_q", "nowcast_sarima_cpi").unionByName(

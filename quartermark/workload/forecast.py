@@ -12,6 +12,7 @@ from quartermark.plans import models as M
 from quartermark.plans import series as S
 from quartermark.plans import yields as Y
 from quartermark.schemas import METHODS, SERIES_DIMS, schema
+from quartermark.session import cut
 from quartermark.workload import base as B
 from quartermark.workload.base import VIEWS, query, r6
 
@@ -26,8 +27,8 @@ def _long(spark, sf):
     return S.long_frame(B.filled_a(spark, sf))
 
 
-def _rental(spark, sf):
-    return B.rental_long(spark, sf)
+def _rental(spark, sf, o=None):
+    return B.rental_long(spark, sf, o)
 
 
 def _index(spark, sf):
@@ -77,9 +78,10 @@ def _(spark, sf):
     return S.eligible(rows, S.nowcast_h(rows, B.TODAY), 2, 28).withColumn("y", r6("y"))
 
 
-def _fit_inputs(spark, sf):
-    index = S.carry_forward(_index(spark, sf), 12)
-    return joins.with_exog(_rental(spark, sf), index), index
+def _fit_inputs(spark, sf, o=None):
+    # Read by the join with the series and as the path ahead.
+    index = cut(S.carry_forward(_index(spark, sf), 12))
+    return joins.with_exog(_rental(spark, sf, o), index), index
 
 
 def _horizon():
@@ -122,10 +124,11 @@ def _(spark, sf):
     return fc.select("series_id", "geospatial_codes", "ds", "is_nowcast", "cpi_is_projected", "model", "fit_date", "imputation_method")
 
 
-def _models(spark, sf):
-    train, index = _fit_inputs(spark, sf)
+def _models(spark, sf, o=None):
+    o = B.obs_table(spark, sf) if o is None else o
+    train, index = _fit_inputs(spark, sf, o)
     h, fresh = _horizon()
-    return S.model_table(M.fit(train, h, 4, 3, index, keep=fresh), aggs.source_class(B.filled_a(spark, sf)), B.TODAY, "ar_cpi_q", "cpi")
+    return S.model_table(M.fit(train, h, 4, 3, index, keep=fresh), aggs.source_class(B.filled_a(spark, sf, o)), B.TODAY, "ar_cpi_q", "cpi")
 
 
 @query("J10_model_table")
@@ -151,16 +154,17 @@ VIEWS["borrowed"] = """
   GROUP BY y.geospatial_codes, b.dwelling_type, b.bedrooms, y.gy"""
 
 
-def _borrowed(spark, sf):
-    o = B.obs_table(spark, sf)
+def _borrowed(spark, sf, o=None):
+    o = B.obs_table(spark, sf) if o is None else o
     return Y.borrowed_sales(o, B.yields_view(spark, sf, o), B.forecasts(spark, sf, o), B.TODAY)
 
 
 @query("J11_borrowed_models", "SELECT series_id, geospatial_codes, 'bedroom_borrowed' AS model, 'none' AS exog, 'unknown' AS source_class, CAST(NULL AS INTEGER) AS ar_p FROM borrowed")
 def _(spark, sf):
-    fc = _borrowed(spark, sf)
+    o = B.obs_table(spark, sf)
+    fc = _borrowed(spark, sf, o)
     none = spark.createDataFrame([], schema("forecast_models"))
-    out = S.borrowed_models(fc, none, aggs.source_class(B.obs(spark, sf)), B.TODAY)
+    out = S.borrowed_models(fc, none, aggs.source_class(o), B.TODAY)
     return out.select("series_id", "geospatial_codes", "model", "exog", "source_class", "ar_p")
 
 
@@ -264,8 +268,9 @@ def _(spark, sf):
 @query("D13_attach_forecast", """
 SELECT a.series_id, a.n_points, count(f.ds) AS n_forecast, round(max(f.y_hat), 6) AS top FROM (SELECT unique_id AS series_id, count(*) AS n_points FROM long GROUP BY 1) a LEFT JOIN fc f USING (series_id) GROUP BY ALL""")
 def _(spark, sf):
-    series = aggs.to_series(filters.medians(B.filled_a(spark, sf)), SERIES_DIMS).withColumn("series_id", C.series_id())
-    out = joins.attach_forecast(series, aggs.forecast_series(B.forecasts(spark, sf), ["series_id"]), ["series_id"])
+    o = B.obs_table(spark, sf)
+    series = aggs.to_series(filters.medians(B.filled_a(spark, sf, o)), SERIES_DIMS).withColumn("series_id", C.series_id())
+    out = joins.attach_forecast(series, aggs.forecast_series(B.forecasts(spark, sf, o), ["series_id"]), ["series_id"])
     top = F.array_max(F.transform("forecast", lambda p: p["y_hat"]))
     return out.select("series_id", F.size("points").cast("bigint").alias("n_points"), F.coalesce(F.size("forecast"), F.lit(0)).cast("bigint").alias("n_forecast"), r6(top).alias("top"))
 
