@@ -138,7 +138,9 @@ def _(spark, sf):
 
 @query("C3_region_models")
 def _(spark, sf):
-    out = filters.region_models(_models(spark, sf), "suburb", "20003")
+    # Series are fitted one by one, so only those of the region are.
+    own = (F.col("geospatial_type") == "suburb") & C.has_code("geospatial_codes", "20003")
+    out = filters.region_models(_models(spark, sf, cut(B.obs(spark, sf).filter(own))), "suburb", "20003")
     return out.withColumn("n_coefficients", F.size("coefficients")).drop("coefficients")
 
 

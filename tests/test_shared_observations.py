@@ -17,3 +17,13 @@ def test_observations_are_derived_once(spark, monkeypatch, name):
     out = QUERIES[name](spark, SF)
     assert len(derived) == 1 and len(written) == 1
     assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_models_of_a_region_fit_its_series_only(spark, monkeypatch):
+    from quartermark.plans import models as M
+
+    code = "20003"
+    ids, fit = [], M.fit
+    monkeypatch.setattr(M, "fit", lambda train, *a, **k: ids.extend(r[0] for r in train.select("unique_id").distinct().collect()) or fit(train, *a, **k))
+    QUERIES["C3_region_models"](spark, SF)
+    assert ids and all(code in i.split("|")[2].split("-") for i in ids)
