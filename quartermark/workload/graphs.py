@@ -28,7 +28,8 @@ def line_tree(spark, sf):
     """Spanning tree of points on a line: neighbours in order."""
     at = windows.row_index(line_points(spark, sf), [], ["x", "id"], "pos")
     nxt = at.select((F.col("pos") - 1).alias("pos"), F.col("id").alias("id2"), F.col("x").alias("x2"))
-    pair = at.join(nxt, "pos")
+    # Both sides are all points: by shuffles, also while they are under the broadcast threshold.
+    pair = at.join(nxt.hint("merge"), "pos")
     return pair.select(F.least("id", "id2").alias("src"), F.greatest("id", "id2").alias("dst"), (F.col("x2") - F.col("x")).alias("distance"))
 
 
