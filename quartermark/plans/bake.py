@@ -19,6 +19,7 @@ from quartermark.plans import series as S
 from quartermark.plans import spatial as P
 from quartermark.plans import yields as Y
 from quartermark.schemas import METHODS, schema
+from quartermark.session import cut
 from quartermark.sources import sinks
 
 
@@ -57,7 +58,7 @@ def bake(
 
     save(cpi, "cpi")
     cross = save(P.crosswalk(regions, parents), "crosswalk")
-    rows = save(I.impute(obs, cross), "rental_sales")
+    rows = save(I.impute(cut(obs), cross), "rental_sales")
 
     sal, sal_stats, sal_links = hierarchy(regions, rows, "sal", cuts)
     lga, lga_stats, lga_links = hierarchy(parents, rows, "lga", parent_cuts)

@@ -162,12 +162,22 @@ def strip_derived(df: DataFrame) -> DataFrame:
     return df.filter(~C.is_imputed())
 
 
+def first_class(rows: DataFrame) -> DataFrame:
+    """Observed rows with class A behind them. Only class A is written: `rows` should be a written table already."""
+    obs = strip_derived(rows)
+    return append_derived(obs, cut(impute_a(obs)))
+
+
+def later_classes(first: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """`first_class` with classes C, B and D behind it; C and B, which D reads, are written."""
+    c = impute_c(first)
+    second = append_derived(first, cut(append_derived(c, impute_b(first))))
+    return append_derived(second, impute_d(second, crosswalk))
+
+
 def impute(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """I5. The whole job: strip, recompute, append. Running it on its own output changes nothing.
 
-    `working` is read by three later classes, so it is written once after class A and once after B.
+    `rows` is read by every class; each class' own rows are written, the observed ones are not copied.
     """
-    obs = strip_derived(rows)
-    first = cut(append_derived(obs, impute_a(obs)))
-    second = cut(append_derived(append_derived(first, impute_c(first)), impute_b(first)))
-    return append_derived(second, impute_d(second, crosswalk))
+    return later_classes(first_class(rows), crosswalk)

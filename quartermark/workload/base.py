@@ -12,6 +12,7 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quartermark.plans import impute as I
@@ -48,35 +49,64 @@ def r6(c: Column | str, digits: int = 6) -> Column:
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    s = F.col("l_suppkey")
-    house = F.col("l_linenumber") % 2 == 0
-    beds = (F.when(house, 2).otherwise(1) + F.col("l_partkey") % 3).cast("string")
-    slices = F.array(
-        F.struct(F.when(house, "house").otherwise("unit").alias("dwelling_type"), beds.alias("bedrooms")),
-        F.struct(F.lit("all").alias("dwelling_type"), F.lit("all").alias("bedrooms")),
-    )
-    return li.select(
-        s.alias("s"),
-        F.floor(s / 10).cast("bigint").alias("p"),
-        (s % 10).alias("m"),
+    """Line items with the number of their slice: 0 for a missing third, else 1 to 5, 8 more for units."""
+    third = F.coalesce((F.col("l_partkey") % 3).cast("int") + 3, F.lit(0))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("s"),
+        F.floor(F.col("l_suppkey") / 10).cast("bigint").alias("p"),
+        (F.col("l_suppkey") % 10).alias("m"),
         F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 3).alias("rent"),
         F.floor("l_extendedprice").alias("price"),
-        F.col("l_shipdate").alias("d"),
-        F.explode(slices).alias("x"),
-    ).select("*", "x.*").drop("x")
+        F.col("l_shipdate").cast("date").alias("d"),
+        F.when(F.col("l_linenumber") % 2 == 0, third).otherwise(third + 8).alias("own"),
+    )
+
+
+#: The slice of all line items.
+EVERY = 16
+
+
+def _with_slices(facts: DataFrame) -> DataFrame:
+    """Each line item in its own slice and in that of all."""
+    return facts.withColumn("slice", F.explode(F.array("own", F.lit(EVERY))))
+
+
+def _dwelling() -> Column:
+    return F.when(F.col("slice") == EVERY, "all").when(F.col("slice") < 8, "house").otherwise("unit")
+
+
+def _bedrooms() -> Column:
+    third = F.col("slice") % 8
+    return F.when(F.col("slice") == EVERY, "all").when(third > 0, (third - 3 + F.when(F.col("slice") < 8, 2).otherwise(1)).cast("string"))
+
 
+def _medians(rows: DataFrame, region: Column, bucket: Column, value: str) -> DataFrame:
+    """r, time_bucket, slice, med, cnt: median and number of the rows of each (region, bucket, slice).
 
-def _rent_rows(base: DataFrame, name: Column, codes: Column, tier: str) -> DataFrame:
-    bucket = F.make_date(F.year("d"), F.quarter("d") * 3, F.lit(1))
+    Groups are small and nearly all values differ, so buffers per group, merged before the shuffle, only
+    cost: rows are sorted once, and the middle one looks at its successor. Sorting spills, so a group may
+    be large. Keys stay numbers; names are made from them once per group.
+    """
+    ordered = W.partitionBy("r", "time_bucket", "slice").orderBy(F.col("v").asc_nulls_last())
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = rows.select(region.alias("r"), bucket.alias("time_bucket"), "slice", F.col(value).alias("v")).select(
+        "r", "time_bucket", "slice", "v",
+        F.lead("v").over(ordered).alias("after"),
+        F.row_number().over(ordered).alias("place"),
+        F.count("v").over(whole).alias("n"),
+        F.count(F.lit(1)).over(whole).alias("cnt"),
+    )
+    middle = ranked.filter(F.col("place") == F.greatest(F.lit(1), F.expr("(n + 1) div 2")))
+    v, after = F.col("v").cast("double"), F.col("after").cast("double")
+    med = F.when((F.col("n") > 0) & (F.col("n") % 2 == 0), (v + after) / 2).otherwise(v)
+    return middle.select("r", "time_bucket", "slice", med.alias("med"), F.col("cnt").cast("double").alias("cnt"))
+
+
+def _rent_rows(rented: DataFrame, region: Column, name: Column, codes: Column, tier: str) -> DataFrame:
+    """Rows of a tier; `name` and `codes` are made of the region's number `r`."""
     keys = ["geospatial", "geospatial_codes", "time_bucket", "dwelling_type", "bedrooms"]
-    agg = (
-        base.select(
-            name.alias("geospatial"), codes.alias("geospatial_codes"), bucket.alias("time_bucket"),
-            "dwelling_type", "bedrooms", "rent",
-        )
-        .groupBy(*keys)
-        .agg(F.median("rent").alias("med"), F.count(F.lit(1)).cast("double").alias("cnt"))
+    agg = _medians(rented, region, F.make_date(F.year("d"), F.quarter("d") * 3, F.lit(1)), "rent").withColumns(
+        {"geospatial": name, "geospatial_codes": codes, "dwelling_type": _dwelling(), "bedrooms": _bedrooms()}
     )
     both = F.array(
         F.struct(F.lit("median").alias("statistic"), F.col("med").alias("value")),
@@ -95,38 +125,35 @@ def _rent_rows(base: DataFrame, name: Column, codes: Column, tier: str) -> DataF
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Observations: suburb and parent rental medians with counts, suburb sales medians."""
     base = _facts(spark, sf)
-    s, m = F.col("s"), F.col("m")
+    s, m, r = F.col("s"), F.col("m"), F.col("r")
     code = lambda n: (n + 20000).cast("string")
-    pair = s - m % 2
-    grouped = m < 6
-    label = F.when(grouped, F.concat(F.lit("group "), code(pair))).otherwise(F.concat(F.lit("suburb "), code(s)))
-    codes = F.when(grouped, F.concat(code(pair), F.lit("-"), code(pair + 1))).otherwise(code(s))
-    rented = base.filter(m < 8)
-    parent_name = F.concat(F.lit("parent "), F.col("p").cast("string"))
-    parent_code = (F.col("p") + 90000).cast("string")
-    sold = (
-        base.filter((F.col("dwelling_type") == "house") | ((F.col("dwelling_type") == "unit") & (s % 3 != 0)))
-        .groupBy(
-            F.concat(F.lit("suburb "), code(s)).alias("geospatial"),
-            code(s).alias("geospatial_codes"),
-            F.make_date(F.year("d"), F.lit(1), F.lit(1)).alias("time_bucket"),
-            "dwelling_type",
-        )
-        .agg((F.median("price") * 10).alias("value"))
-        .select(
-            "geospatial", "geospatial_codes", "time_bucket", "dwelling_type",
-            F.lit("all").alias("bedrooms"),
-            F.lit("median").alias("statistic"),
-            "value",
-            F.lit("suburb").alias("geospatial_type"),
-            F.lit("sales").alias("data_type"),
-            F.lit("annual").alias("data_frequency"),
-            F.lit("Table 1").alias("source_sheet"),
-        )
+    # A pair of suburbs has the number of its first; pairs and single suburbs differ in the last digit.
+    region = F.when(m < 6, s - m % 2).otherwise(s)
+    grouped = r % 10 < 6
+    label = F.when(grouped, F.concat(F.lit("group "), code(r))).otherwise(F.concat(F.lit("suburb "), code(r)))
+    codes = F.when(grouped, F.concat(code(r), F.lit("-"), code(r + 1))).otherwise(code(r))
+    rented = _with_slices(base.filter(m < 8))
+    parent_name = F.concat(F.lit("parent "), r.cast("string"))
+    parent_code = (r + 90000).cast("string")
+    # A dwelling's sales are one group whatever the bedrooms.
+    dwelling = F.when(F.col("own") < 8, 0).otherwise(8).alias("slice")
+    sales = base.filter((F.col("own") < 8) | (s % 3 != 0)).select("s", "d", "price", dwelling)
+    sold = _medians(sales, s, F.make_date(F.year("d"), F.lit(1), F.lit(1)), "price").select(
+        F.concat(F.lit("suburb "), code(r)).alias("geospatial"),
+        code(r).alias("geospatial_codes"),
+        "time_bucket",
+        _dwelling().alias("dwelling_type"),
+        F.lit("all").alias("bedrooms"),
+        F.lit("median").alias("statistic"),
+        (F.col("med") * 10).alias("value"),
+        F.lit("suburb").alias("geospatial_type"),
+        F.lit("sales").alias("data_type"),
+        F.lit("annual").alias("data_frequency"),
+        F.lit("Table 1").alias("source_sheet"),
     )
     rows = (
-        _rent_rows(rented, label, codes, "suburb")
-        .unionByName(_rent_rows(rented, parent_name, parent_code, "lga"))
+        _rent_rows(rented, region, label, codes, "suburb")
+        .unionByName(_rent_rows(rented, F.col("p"), parent_name, parent_code, "lga"))
         .unionByName(sold)
     )
     return rows.withColumns(
@@ -195,25 +222,33 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def rental_long(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+def rental_long(spark: SparkSession, sf: str, o: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """Filtering on the market before the ids are built lets the other market's branch drop out."""
-    return S.long_frame(filled_a(spark, sf, o).filter(F.col("data_type") == "rental"))
+    rows = filled_a(spark, sf, o) if first is None else first
+    return S.long_frame(rows.filter(F.col("data_type") == "rental"))
 
 
 def sales_long(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
     return S.long_frame((obs(spark, sf) if o is None else o).filter(F.col("data_type") == "sales"))
 
 
-def forecasts(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
+def forecasts(spark: SparkSession, sf: str, o: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """Baseline forecasts of every rental series and every sales series, in table form."""
     o = obs_table(spark, sf) if o is None else o
-    rental = S.seasonal_naive(rental_long(spark, sf, o), 4)
+    rental = S.seasonal_naive(rental_long(spark, sf, o, first), 4)
     sales = S.seasonal_naive(sales_long(spark, sf, o), 2, season=1, months=12)
     return S.annotate(rental, TODAY, date(2001, 9, 1), "naive_q", "nowcast_sarima_cpi").unionByName(
         S.annotate(sales, TODAY, None, "naive_annual", "nowcast_sarima_annual")
     )
 
 
+def filled_and_forecasts(spark: SparkSession, sf: str, o: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """`filled` and `forecasts` of the same observations; class A, which both read, is derived once."""
+    o = obs_table(spark, sf) if o is None else o
+    first = I.first_class(o)
+    return I.later_classes(first, crosswalk(spark, sf)), forecasts(spark, sf, o, first)
+
+
 def yields_view(spark: SparkSession, sf: str, o: DataFrame | None = None) -> DataFrame:
     o = obs_table(spark, sf) if o is None else o
     direct = Y.direct_yields(o)

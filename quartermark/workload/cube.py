@@ -230,7 +230,7 @@ def _(spark, sf):
 
 @query("D17_presence", "SELECT * FROM poly")
 def _(spark, sf):
-    return joins.presence(B.filled(spark, sf, o := B.obs_table(spark, sf)), B.forecasts(spark, sf, o))
+    return joins.presence(*B.filled_and_forecasts(spark, sf))
 
 
 @query("D18_smallest_cluster", """
@@ -350,8 +350,7 @@ def _(spark, sf):
 
 
 def _bitmaps(spark, sf):
-    o = B.obs_table(spark, sf)
-    return bitmaps.class_bitmaps(bitmaps.presence_keys(B.filled(spark, sf, o), B.forecasts(spark, sf, o)))
+    return bitmaps.class_bitmaps(bitmaps.presence_keys(*B.filled_and_forecasts(spark, sf)))
 
 
 @query("E9_coverage", """
@@ -581,7 +580,7 @@ def _(spark, sf):
 
 @query("H3_pairwise_diffs", "SELECT * FROM diffs")
 def _(spark, sf):
-    return sets.pairwise_diffs(joins.presence(B.filled(spark, sf, o := B.obs_table(spark, sf)), B.forecasts(spark, sf, o)))
+    return sets.pairwise_diffs(joins.presence(*B.filled_and_forecasts(spark, sf)))
 
 
 @query("H4_orphan_codes", """
