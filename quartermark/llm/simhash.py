@@ -14,11 +14,14 @@ such a variant, and a variant has at most one fingerprint per such bit, so the w
 proportion to the rows however many near copies meet.
 
 `similar` serves similarities where many bits differ, on the sets of shingles themselves. Rows meet on
-the first shingles of their sets in one order of all, those that a sample finds common last: so many that
-two sets of the similarity share at least one. Only these are written; sets that pairs name are made
-again from the texts. Of meetings of the same sets one is kept. Each row of a meeting is compared with a few leaders first; then rows
-that are not connected to the first leader are compared with all rows of the meeting that they are not
-connected to, unless sizes and places rule the pair out. Every link is confirmed on the sets, so the result is exact.
+the first shingles of their sets in one order of all, the common ones last: so many that two sets of the
+similarity share at least one. A sample tells which are common, then a count of the keys of all rows. Only
+these keys are written; sets that pairs name are made again from the texts. Of meetings of the same sets
+one is kept. Each row of a meeting is compared with a few leaders first, those with the fewest shingles
+that are rarer than the key: near copies of one text are nearest to these. Then rows that are not connected
+to the first leader are compared with all rows of the meeting that they are not connected to, unless sizes
+and places rule the pair out. A pair that shares one of the last keys before is left to its earlier
+meeting. Every link is confirmed on the sets, so the result is exact.
 
 Texts without words have fingerprint zero and link like any other. Copies of a fingerprint are one
 row of the table. Null ids take part in links but are never a component's id.
@@ -51,8 +54,12 @@ REFERENCES = 12
 MEETING = 32
 #: Rows of the sample that tells common shingles from rare ones, the hash buckets it counts in, and the least count that is kept.
 SAMPLE, BUCKETS, COMMON = 20_000, 1 << 22, 4
+#: Least count of a key over all rows that makes it common, and how many of these the order takes at most (the commonest).
+COMMON_KEY, COMMON_KEYS = 8, 1 << 20
 #: Rows of a meeting that all others are compared with before pairs are formed.
 LEADERS = 8
+#: Keys before that of a meeting by which a pair is told to have met.
+BEFORE = 8
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -220,8 +227,13 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Twice the base-2 logarithm of counts, as bytes."""
+    return (2 * np.log2(counts)).astype(np.uint8)
+
+
 def _levels(docs: DataFrame, text: str, width: int, sample: int) -> np.ndarray:
-    """Twice the base-2 logarithm of how often the shingles of each hash bucket occur in about `sample` rows."""
+    """Level of the shingles of each hash bucket, by how often they occur in about `sample` rows; counts stand for all rows."""
     rows = docs.count()
     if rows > sample:
         docs = docs.sample(sample / rows, seed=SEED)
@@ -239,29 +251,61 @@ def _levels(docs: DataFrame, text: str, width: int, sample: int) -> np.ndarray:
     found = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     found = found.filter(F.col("n") >= COMMON).select("cell", F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
-    levels[found.column("cell").to_numpy()] = 2 * np.log2(found.column("n").to_numpy())
+    levels[found.column("cell").to_numpy()] = _level(found.column("n").to_numpy() * max(1, rows / sample))
     return levels
 
 
+def _prefix(own: np.ndarray, order: tuple[bytes, bytes, bytes], similarity: float) -> np.ndarray:
+    """The shingles of a set that come first in the order: sets of at least that similarity share one."""
+    buckets, keys, key_levels = (np.frombuffer(x, t) for x, t in zip(order, (np.uint8, np.uint64, np.uint8)))
+    level = buckets[(own % np.uint64(BUCKETS)).view(np.int64)]
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        level = np.where(keys[at] == own, np.maximum(level, key_levels[at]), level)
+    return own[np.argsort(level, kind="stable")[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]]
+
+
+def _order(docs: DataFrame, text: str, width: int, similarity: float, sample: int) -> tuple[bytes, bytes, bytes]:
+    """Levels of hash buckets, then sorted keys with levels of their own: the order that `_prefix` follows.
+
+    A sample of a bounded size misses what is rare in it but common in many rows. So the first shingles in
+    the sample's order are counted over all rows, and those that are common there come later as well.
+    """
+    buckets = _levels(docs, text, width, sample).tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast((buckets, b"", b""))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keys = [_prefix(_set(x, width), shared.value, similarity) for x in as_bytes(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["key"])
+
+    counts = docs.select(text).mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    common, least = cut(counts.filter(F.col("n") >= COMMON_KEY)), COMMON_KEY
+    while common.filter(F.col("n") >= least).count() > COMMON_KEYS:
+        least *= 2
+    found = common.filter(F.col("n") >= least).toArrow()
+    discard(common)
+    keys = found.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(keys)
+    return buckets, keys[by].tobytes(), _level(found.column("n").to_numpy()[by]).tobytes()
+
+
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, sample: int = SAMPLE) -> DataFrame:
     """doc_id, digest (of the text), node (of its shingle set), size (of the set), keys of every row; null texts count as empty.
 
     Keys are the shingles that come first in one order of all: sets of at least that similarity share
-    one. Shingles that are common in the sample come last; that only saves work, any order finds the
-    same pairs.
+    one. Common shingles come last; that only saves work, any order finds the same pairs.
     """
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, text, width, sample).tobytes())
+    order = docs.sparkSession.sparkContext.broadcast(_order(docs, text, width, similarity, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(levels.value, np.uint8)
         for b in slices(batches):
             nodes, sizes, keys = [], [], []
             for x in as_bytes(b.column(2)):
                 own = _set(x, width)
-                order = np.argsort(level[(own % np.uint64(BUCKETS)).view(np.int64)], kind="stable")
                 nodes.append(_node(own))
                 sizes.append(len(own))
-                keys.append(own[order[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]].tobytes())
+                keys.append(_prefix(own, order.value, similarity).tobytes())
             columns = [b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "node", "size", "keys"])
 
@@ -297,10 +341,19 @@ def _distinct_meetings(met: DataFrame) -> DataFrame:
     return met.join(first, "key", "left_semi")
 
 
+def _with_before(met: DataFrame) -> DataFrame:
+    """Meetings with `before`: the keys of the last meetings of the same set that come earlier in the order."""
+    return met.withColumn("before", F.collect_list("key").over(W.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1)))
+
+
 def _possible(similarity: float) -> Column:
-    """Whether sets a and b that first meet at this key can share enough: no more than what comes from there on."""
+    """Whether sets a and b may first meet at this key and can share enough: no more than what comes from there on.
+
+    A pair that shares a key before has met there, and is judged there.
+    """
     rest = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
-    return rest * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
+    enough = rest * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
+    return enough & ~F.arrays_overlap("a.before", "b.before")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -340,21 +393,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 def similar(rows: DataFrame, docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the nodes with similar others; `rows` are the signatures of `docs`."""
-    row, near = F.struct("node", "size", "place"), _possible(similarity)
+    row, near = F.struct("node", "size", "place", "before"), _possible(similarity)
     every = cut(_meetings(rows))
-    met = cut(_distinct_meetings(every), replaces=every)
-    leaders = met.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(row, F.xxhash64("node", F.lit(i))) for i in range(LEADERS)))).alias("b"))
-    led = met.select("key", row.alias("a")).join(leaders.select("key", F.explode("b").alias("b")), "key")
+    met = cut(_with_before(_distinct_meetings(every)), replaces=every)
+    central = ["place", F.xxhash64("node"), "node"]
+    leaders = met.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*central))).filter(F.col("rank") <= LEADERS)
+    led = met.select("key", row.alias("a")).join(leaders.select("key", row.alias("b")), "key")
     first = cut(_pairs(led.filter(F.col("a.node") != F.col("b.node")).filter(near)))
     ends = lambda pairs: pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     sets = cut(_sets(rows, docs, text, width, ends(first)))
     links = cut(_confirmed(first, sets, similarity))
     named = met.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    heads = F.min_by("label", F.xxhash64("node", F.lit(0)))
+    heads = F.min_by("label", F.struct(*central))
     open_ = named.groupBy("key").agg(heads.alias("led"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "led")
     again = cut(named.join(open_, "key"), replaces=met)
     left = again.filter(F.col("label") != F.col("led")).alias("a")
-    apart = left.join(again.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & near)
+    once = (F.col("b.label") == F.col("b.led")) | (F.col("a.node") < F.col("b.node"))
+    apart = left.join(again.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & once & near)
     rest = cut(_pairs(apart).join(first, ["src", "dst"], "left_anti"), replaces=again)
     new = ends(rest).join(sets.select("node"), "node", "left_anti")
     more = cut(sets.unionByName(_sets(rows, docs, text, width, new)), replaces=sets)

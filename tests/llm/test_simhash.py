@@ -199,3 +199,32 @@ def test_meetings_of_the_same_sets_are_one(spark):
     got = {tuple(r) for r in simhash._distinct_meetings(rows).select("key", "node", "place").collect()}
     assert got == {x for x in met if x[0] in (5, 9)}
     assert simhash._distinct_meetings(rows.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_needs_few_comparisons(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.integers(2, 4) if i != 77 else 0):
+            words[rng.integers(150)] = word()
+        rows.append((len(rows), " ".join(words)))
+    compared, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, *others: compared.append(pairs.count()) or confirmed(pairs, *others))
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    found = classes(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.doc_id for r in kept} == set(found.values())
+    assert sum(compared) <= 10 * len(rows), compared
+
+
+def test_keys_that_are_common_outside_the_sample_come_last(spark):
+    rng = np.random.default_rng(22)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage = [word() for _ in range(30)]
+    rows = [(i, " ".join(passage + [word() for _ in range(100)])) for i in range(60)]
+    signed = simhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"), sample=1).collect()
+    common = set(simhash.shingle_hashes(" ".join(passage).encode(), 5).tolist())
+    met = [len(common & set(np.frombuffer(r["keys"], np.uint64).tolist())) for r in signed]
+    assert sum(met) <= 120
